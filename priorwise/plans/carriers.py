@@ -15,7 +15,7 @@ K2 weekends  one row per (season, round) of orders; circuit = (5*round + season)
              race_date = first order date, sprint weekend when round % 4 = 0
 K3 entries   K1 pairs minus (driver + round) % 17 = 0, plus one entry-only
              driver (-round) per weekend
-K4 laps      events: driver = user_id, round = day of month,
+K4 laps      events: driver = user_id, season = 1995 + day % 7, round = hour % 12 + 1,
              click/view/signup -> FP1/FP2/FP3, lap ms = value * 1000
 K8 predictions  score = season-prior mean qualifying position (F3)
 K9 sprint    K1 rows with round % 4 = 0, finish by quantity asc
@@ -119,8 +119,8 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "signup"))
     k = F.get_json_object("props", "$.k").try_cast("int")
     return ev.select(
-        F.lit(2024).cast("int").alias("season"),
-        F.dayofmonth("ts").alias("round"),
+        (F.lit(1995) + F.dayofmonth("ts") % 7).cast("int").alias("season"),
+        (F.hour("ts") % 12 + 1).cast("int").alias("round"),
         F.when(F.col("event_type") == "click", "FP1").when(F.col("event_type") == "view", "FP2")
          .otherwise("FP3").alias("session_type"),
         F.col("user_id").alias("driver_id"),
@@ -130,6 +130,17 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def session_results(spark: SparkSession, sf_dir: str, k4: DataFrame | None = None) -> DataFrame:
+    """K4 session results: reported best = slowest kept lap (NULL when (driver + round) % 4 = 0),
+    reported position = driver % 20 + 1 except on rounds divisible by 5 (no positions)."""
+    k4 = k4 if k4 is not None else laps(spark, sf_dir)
+    g = k4.groupBy("season", "round", "session_type", "driver_id").agg(F.max("lap_time_ms").alias("__mx"))
+    return g.select(
+        "season", "round", "session_type", "driver_id",
+        F.when((F.col("driver_id") + F.col("round")) % 4 != 0, F.col("__mx")).alias("best_lap_time_ms"),
+        F.when(F.col("round") % 5 != 0, F.col("driver_id") % 20 + 1).cast("bigint").alias("position"))
+
+
 def sprint_results(spark: SparkSession, sf_dir: str, k1: DataFrame | None = None) -> DataFrame:
     """K9: sprint results on rounds divisible by 4, finish by quantity ascending."""
     k1 = k1 if k1 is not None else results(spark, sf_dir)
@@ -211,8 +222,8 @@ k3 AS (
 
 K4_SQL = """
 k4 AS (
-  SELECT CAST(2024 AS INTEGER) AS season,
-         CAST(dayofmonth(ts) AS INTEGER) AS round,
+  SELECT CAST(1995 + dayofmonth(ts) % 7 AS INTEGER) AS season,
+         CAST(hour(ts) % 12 + 1 AS INTEGER) AS round,
          CASE WHEN event_type = 'click' THEN 'FP1' WHEN event_type = 'view' THEN 'FP2' ELSE 'FP3' END
            AS session_type,
          user_id AS driver_id, event_id,
@@ -221,6 +232,14 @@ k4 AS (
   FROM events WHERE event_type IN ('click', 'view', 'signup')
 )"""
 
+K4S_SQL = """
+k4s AS (
+  SELECT season, round, session_type, driver_id,
+         CASE WHEN (driver_id + round) % 4 = 0 THEN NULL ELSE max(lap_time_ms) END AS best_lap_time_ms,
+         CAST(CASE WHEN round % 5 = 0 THEN NULL ELSE driver_id % 20 + 1 END AS BIGINT) AS position
+  FROM k4 GROUP BY 1, 2, 3, 4
+)"""
+
 K9_SQL = f"""
 k9 AS (
   SELECT season, round, driver_id, constructor_id, grid_position,
@@ -247,8 +266,12 @@ def with_carriers(body: str, *names: str) -> str:
         parts.append(K2_SQL)
     if "k3" in need:
         parts.append(K3_SQL)
+    if "k4s" in need:
+        need.add("k4")
     if "k4" in need:
         parts.append(K4_SQL)
+    if "k4s" in need:
+        parts.append(K4S_SQL)
     if "k9" in need:
         parts.append(K9_SQL)
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + body

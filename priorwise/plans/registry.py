@@ -49,3 +49,4 @@ def load_all() -> None:
     from priorwise.plans import queries_etl  # noqa: F401
     from priorwise.plans import queries_model  # noqa: F401
     from priorwise.plans import queries_score  # noqa: F401
+    from priorwise.plans import queries_spine  # noqa: F401
