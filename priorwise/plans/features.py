@@ -262,3 +262,34 @@ def build_baseline(sp: DataFrame, facts: DataFrame, entries: DataFrame) -> DataF
 def features_baseline(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = baseline_inputs(spark, sf)
     return build_baseline(sp, facts, K.entries(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# F13 - F17 building blocks
+# ---------------------------------------------------------------------------
+def attach_practice(frame: DataFrame, practice: DataFrame,
+                    keys: tuple[str, ...] = ("season", "round", "driver_id")) -> DataFrame:
+    """practice features at the round; sessions 0-filled; when the round has
+    any practice, entities with 0 sessions are dropped. The per-round flag is a
+    grouped aggregate joined back, not a window, so a crowded round stays split."""
+    keys = list(keys)
+    out = frame.join(practice, keys, "left").withColumn(
+        "practice_sessions", F.coalesce(F.col("practice_sessions"), F.lit(0)))
+    has = practice.groupBy("season", "round").agg(F.max("practice_sessions").alias("__has"))
+    out = out.join(has, ["season", "round"], "left")
+    return out.where((F.col("practice_sessions") > 0) | (F.coalesce(F.col("__has"), F.lit(0)) == 0)).drop("__has")
+
+
+def attach_override(spine: DataFrame, other: DataFrame, group: str = "constructor_id",
+                    keys: tuple[str, ...] = ("season", "round", "driver_id")) -> DataFrame:
+    """Left-join a round table by entity; its group overrides the spine's when present."""
+    o = other.withColumnRenamed(group, "__g")
+    out = spine.join(o, list(keys), "left")
+    return out.withColumn(group, F.coalesce(F.col("__g"), F.col(group))).drop("__g")
+
+
+def round_group_delta(df: DataFrame, value: str, out: str, group: str = "constructor_id") -> DataFrame:
+    """own value minus the group's mean in the round (self included)."""
+    m = df.groupBy("season", "round", group).agg(F.avg(value).alias("__gm"))
+    return df.join(m, ["season", "round", group], "left") \
+        .withColumn(out, F.col(value) - F.col("__gm")).drop("__gm")

@@ -285,7 +285,8 @@ def q_asof_finish_minus_grid(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # the assembled 40-column baseline frame
 # ---------------------------------------------------------------------------
-F12_SQL = _sql(CTE_F3 + CTE_F4 + CTE_F5 + CTE_F6 + CTE_F7 + CTE_F8 + CTE_F9 + CTE_F10 + CTE_F11, f"""
+CTE_ALL = CTE_F3 + CTE_F4 + CTE_F5 + CTE_F6 + CTE_F7 + CTE_F8 + CTE_F9 + CTE_F10 + CTE_F11
+F12_SELECT = f"""
 SELECT CAST(s.season AS BIGINT) AS season, CAST(s.round AS BIGINT) AS round, s.weekend_id, s.race_name,
        CAST(s.circuit_id AS BIGINT) AS circuit_id, s.race_date, s.driver_id, s.constructor_id,
        'baseline' AS checkpoint, 'Q' AS session_type,
@@ -311,7 +312,9 @@ JOIN f5 USING (season, round, driver_id) JOIN f6 USING (season, round, driver_id
 JOIN f7 USING (season, round, driver_id) JOIN f8d USING (season, round, driver_id)
 JOIN f8c USING (season, round, driver_id) JOIN f9d USING (season, round, driver_id)
 JOIN f9c USING (season, round, driver_id) JOIN f10 USING (season, round, driver_id)
-JOIN f11 USING (season, round, driver_id)""")
+JOIN f11 USING (season, round, driver_id)"""
+F12_SQL = _sql(CTE_ALL, F12_SELECT)
+CTE_F12 = CTE_ALL + ",\nf12 AS (" + F12_SELECT + "\n)"
 
 
 @register("features_baseline", F12_SQL)

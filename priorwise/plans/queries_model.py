@@ -1 +1,530 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for training frames, models (M1-M19) and the assembled
+post-practice / post-qualifying frames (F13-F19).
+
+As-of point of the registered jobs: season 2000, round 7, training seasons
+1995..2000. Boosted trees keep the reference's depth and learning rate but
+use few trees so the registered jobs stay quick; the tree count is a
+parameter of the operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from priorwise.functions.schema import align
+from priorwise.operators import sessions as P
+from priorwise.operators import train as M
+from priorwise.operators.asof import Agg, prior_stats
+from priorwise.plans import carriers as K
+from priorwise.plans import features as FT
+from priorwise.plans.queries_asof import CTE_F12, SQL_SP
+from priorwise.plans.queries_spine import P3_SQL
+from priorwise.plans.carriers import with_carriers
+from priorwise.plans.registry import big, r6, register
+from priorwise.session import scratch_path
+
+AS_OF = (2000, 7)
+START, TRAIN_END = 1995, 2000
+TREES = 10
+CONTRACT = FT.BASELINE_CONTRACT
+ID_COLS = ["driver_id", "constructor_id", "circuit_id"]
+NUMERIC = [n for n, t in CONTRACT if t in ("bigint", "double") and n not in ID_COLS + ["season", "round"]]
+CATEGORICAL = ["track_type"]
+
+
+def _sql(ctes: str, select: str, *extra: str) -> str:
+    return with_carriers(SQL_SP + CTE_F12 + ctes + "\n" + select, "k1", "k2", "k3", *extra)
+
+
+AS_OF_SQL = (f"f.season BETWEEN {START} AND {min(AS_OF[0], TRAIN_END)} "
+             f"AND (f.season < {AS_OF[0]} OR f.round < {AS_OF[1]})")
+
+M1_CTE = f""",
+m1 AS (
+  SELECT f.*, q.qualifying_position
+  FROM f12 f JOIN k1 q ON q.season = f.season AND q.round = f.round
+                      AND q.driver_id = f.driver_id AND q.constructor_id = f.constructor_id
+  WHERE {AS_OF_SQL} AND q.qualifying_position IS NOT NULL
+)"""
+M2_CTE = f""",
+m2 AS (
+  SELECT f.*, q.finish_position, CAST(q.dnf AS BIGINT) AS dnf
+  FROM f12 f JOIN k1 q ON q.season = f.season AND q.round = f.round
+                      AND q.driver_id = f.driver_id AND q.constructor_id = f.constructor_id
+  WHERE {AS_OF_SQL}
+)"""
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return K.results(spark, sf).select(big("season").alias("season"), big("round").alias("round"),
+                                       "driver_id", "constructor_id", "qualifying_position",
+                                       "finish_position", big("dnf").alias("dnf"))
+
+
+def m1_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return M.train_frame(FT.features_baseline(spark, sf), _labels(spark, sf), ["qualifying_position"],
+                         *AS_OF, START, TRAIN_END, drop_null=["qualifying_position"])
+
+
+def m2_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return M.train_frame(FT.features_baseline(spark, sf), _labels(spark, sf), ["finish_position", "dnf"],
+                         *AS_OF, START, TRAIN_END)
+
+
+@register("train_frame_quali", _sql(M1_CTE, "SELECT * FROM m1"))
+def q_train_frame_quali(spark: SparkSession, sf: str) -> DataFrame:
+    return m1_frame(spark, sf)
+
+
+@register("train_frame_race", _sql(M2_CTE, "SELECT * FROM m2"))
+def q_train_frame_race(spark: SparkSession, sf: str) -> DataFrame:
+    return m2_frame(spark, sf)
+
+
+def _sanitize_sql() -> str:
+    cols = []
+    for n, t in CONTRACT:
+        if t == "string" or n in ID_COLS:
+            cols.append(f"coalesce(CAST({n} AS VARCHAR), '{M.MISSING}') AS {n}")
+        else:
+            cols.append(f"CAST({n} AS DOUBLE) AS {n}")
+    cols.append("CAST(qualifying_position AS DOUBLE) AS qualifying_position")
+    return "SELECT " + ", ".join(cols) + " FROM m1"
+
+
+@register("sanitize", _sql(M1_CTE, _sanitize_sql()))
+def q_sanitize(spark: SparkSession, sf: str) -> DataFrame:
+    return M.sanitize(m1_frame(spark, sf), id_cols=ID_COLS)
+
+
+def _impute_sql() -> str:
+    parts = []
+    for c in NUMERIC:
+        parts.append(f"""SELECT '{c}' AS column_name, round(quantile_cont({c}, 0.5), 6) AS median,
+  CAST(count({c}) AS BIGINT) AS nonnull, CAST(count(*) AS BIGINT) AS rows,
+  CASE WHEN count({c}) = 0 THEN 'drop' WHEN count({c}) < count(*) THEN 'impute_indicator' ELSE 'impute' END
+    AS action FROM m1""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("impute_median_indicator", _sql(M1_CTE, _impute_sql()))
+def q_impute_median_indicator(spark: SparkSession, sf: str) -> DataFrame:
+    st = M.fit_impute(m1_frame(spark, sf), NUMERIC)
+    stack = ", ".join(f"'{c}', `{c}__median`, `{c}__nonnull`" for c in NUMERIC)
+    rows = st.selectExpr(f"stack({len(NUMERIC)}, {stack}) AS (column_name, median, nonnull)", "__rows AS rows")
+    action = (F.when(F.col("nonnull") == 0, "drop").when(F.col("nonnull") < F.col("rows"), "impute_indicator")
+              .otherwise("impute"))
+    return rows.select("column_name", r6("median").alias("median"), big("nonnull").alias("nonnull"),
+                       big("rows").alias("rows"), action.alias("action"))
+
+
+@register("onehot_codes", _sql(M1_CTE, """
+, vals AS (
+  SELECT 'track_type' AS column_name, coalesce(track_type, '__MISSING__') AS value FROM m1
+  UNION ALL SELECT 'circuit_id', CAST(circuit_id AS VARCHAR) FROM m1
+)
+SELECT column_name, value, CAST(freq AS BIGINT) AS freq,
+       CAST(row_number() OVER (PARTITION BY column_name ORDER BY freq DESC, value) - 1 AS BIGINT) AS idx
+FROM (SELECT column_name, value, count(*) AS freq FROM vals GROUP BY 1, 2) t"""))
+def q_onehot_codes(spark: SparkSession, sf: str) -> DataFrame:
+    s = M.sanitize(m1_frame(spark, sf), id_cols=ID_COLS)
+    idx = M.onehot_index(s, ["track_type", "circuit_id"])
+    return idx.select(F.col("column").alias("column_name"), "value", big("freq").alias("freq"), "idx")
+
+
+@register("recency_weight", _sql(M2_CTE, """SELECT season, round, driver_id,
+  round(CAST(1.0 AS DOUBLE) + 0.1 * CAST(season - (SELECT min(season) FROM m2) AS DOUBLE), 6) AS weight FROM m2"""))
+def q_recency_weight(spark: SparkSession, sf: str) -> DataFrame:
+    w = M.recency_weight(m2_frame(spark, sf))
+    return w.select("season", "round", "driver_id", r6("weight").alias("weight"))
+
+
+@register("base_rate_recent", _sql(M2_CTE, """SELECT round(avg(CAST(dnf AS DOUBLE)), 6) AS base_rate,
+  CAST(count(*) AS BIGINT) AS rows, min(season) AS from_season, max(season) AS to_season
+FROM m2 WHERE season >= (SELECT max(season) FROM m2) - 6"""))
+def q_base_rate_recent(spark: SparkSession, sf: str) -> DataFrame:
+    b = M.base_rate_recent(m2_frame(spark, sf))
+    return b.select(r6("base_rate").alias("base_rate"), big("rows").alias("rows"),
+                    big("from_season").alias("from_season"), big("to_season").alias("to_season"))
+
+
+@register("calibration_split", _sql(M2_CTE, """SELECT CASE WHEN season < (SELECT max(season) FROM m2)
+  THEN 'train' ELSE 'calibrate' END AS split, CAST(count(*) AS BIGINT) AS rows,
+  min(season) AS from_season, max(season) AS to_season FROM m2 GROUP BY 1"""))
+def q_calibration_split(spark: SparkSession, sf: str) -> DataFrame:
+    c = M.calibration_split(m2_frame(spark, sf))
+    return c.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.min("season").alias("from_season"),
+                                  F.max("season").alias("to_season"))
+
+
+@register("rescale_to_rate", _sql(M2_CTE, """
+, base AS (SELECT avg(CAST(dnf AS DOUBLE)) AS base_rate FROM m2 WHERE season >= (SELECT max(season) FROM m2) - 6),
+sc AS (SELECT season, round, driver_id, coalesce(driver_season_dnf_rate_prior, 0.0) AS p FROM f12
+       WHERE season = 2000),
+mn AS (SELECT season, round, avg(p) AS mean_p FROM sc GROUP BY 1, 2)
+SELECT s.season, s.round, s.driver_id,
+       round(CASE WHEN m.mean_p > 0 THEN least(1.0, greatest(0.0, s.p * b.base_rate / m.mean_p)) ELSE s.p END, 6)
+         AS p_rescaled
+FROM sc s JOIN mn m USING (season, round) CROSS JOIN base b"""))
+def q_rescale_to_rate(spark: SparkSession, sf: str) -> DataFrame:
+    base = M.base_rate_recent(m2_frame(spark, sf))
+    f = FT.features_baseline(spark, sf).where(F.col("season") == 2000)
+    sc = f.select("season", "round", "driver_id",
+                  F.coalesce(F.col("driver_season_dnf_rate_prior"), F.lit(0.0)).alias("p"))
+    r = M.rescale_to_rate(sc, base)
+    return r.select("season", "round", "driver_id", r6("p_rescaled").alias("p_rescaled"))
+
+
+ALIGN_COLS = ["driver_q_avg_pos_season_prior", "driver_season_dnf_rate_prior", "practice_best_ms",
+              "driver_constructor_tenure_rounds_prior"]
+
+
+@register("align_features", _sql("", f"""SELECT CAST(driver_q_avg_pos_season_prior AS DOUBLE) AS driver_q_avg_pos_season_prior,
+  CAST(driver_season_dnf_rate_prior AS DOUBLE) AS driver_season_dnf_rate_prior,
+  CAST(NULL AS DOUBLE) AS practice_best_ms,
+  CAST(driver_constructor_tenure_rounds_prior AS DOUBLE) AS driver_constructor_tenure_rounds_prior
+FROM f12 WHERE season = {AS_OF[0]} AND round = {AS_OF[1]}"""))
+def q_align_features(spark: SparkSession, sf: str) -> DataFrame:
+    f = FT.features_baseline(spark, sf).where((F.col("season") == AS_OF[0]) & (F.col("round") == AS_OF[1]))
+    return align(f.withColumn("extra_col", F.lit(1)), ALIGN_COLS)
+
+
+@register("train_cutoff", with_carriers(f"""
+SELECT CAST(least((SELECT max(season) FROM k1 WHERE qualifying_position IS NOT NULL),
+                  (SELECT max(season) FROM k1 WHERE finish_position IS NOT NULL), {TRAIN_END}) + 1 AS BIGINT)
+         AS target_season, CAST(1 AS BIGINT) AS target_round""", "k1"))
+def q_train_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    k1 = K.results(spark, sf)
+    return M.train_cutoff(k1.where(F.col("qualifying_position").isNotNull()),
+                          k1.where(F.col("finish_position").isNotNull()), TRAIN_END)
+
+
+# ---------------------------------------------------------------------------
+# Models (rows-only checks)
+# ---------------------------------------------------------------------------
+def _prep(df: DataFrame) -> DataFrame:
+    """Sanitised model input, checkpointed to the shared folder: estimators
+    scan their input several times (indexers, then every boosting round), so
+    the long feature lineage is cut once instead of being recomputed."""
+    from priorwise.session import checkpoint_dir
+
+    s = M.sanitize(df, id_cols=ID_COLS, exclude=["season", "round", "driver_id"])
+    s = s.fillna(0.0, subset=[c for c in NUMERIC if c in s.columns])
+    checkpoint_dir(df.sparkSession)
+    return s.checkpoint(eager=True)
+
+
+def _scoring_rows(spark: SparkSession, sf: str) -> DataFrame:
+    f = FT.features_baseline(spark, sf).where((F.col("season") == AS_OF[0]) & (F.col("round") == AS_OF[1]))
+    return _prep(f)
+
+
+def fit_position(spark: SparkSession, sf: str, trees: int = TREES):
+    est = M.position_regressor("qualifying_position", trees=trees)
+    train = _prep(m1_frame(spark, sf))
+    return M.feature_pipeline(NUMERIC, CATEGORICAL, est).fit(train)
+
+
+@register("model_position")
+def q_model_position(spark: SparkSession, sf: str) -> DataFrame:
+    model = fit_position(spark, sf)
+    return model.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
+                                                           F.col("prediction").alias("score"))
+
+
+@register("model_finish")
+def q_model_finish(spark: SparkSession, sf: str) -> DataFrame:
+    train = M.recency_weight(_prep(m2_frame(spark, sf)).where(F.col("finish_position").isNotNull()))
+    est = M.position_regressor("finish_position", trees=TREES, weight="weight", min_instances=5)
+    model = M.feature_pipeline(NUMERIC, CATEGORICAL, est).fit(train)
+    return model.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
+                                                           F.col("prediction").alias("score"))
+
+
+def fit_event(spark: SparkSession, sf: str, frame: DataFrame | None = None):
+    tr = frame if frame is not None else _prep(m2_frame(spark, sf))
+    base = M.base_rate_recent(tr).first()["base_rate"]
+    if base is None or base <= 0 or base >= 1:
+        return None, base
+    tr = M.class_weight(M.recency_weight(tr), "dnf", base)
+    est = M.event_classifier("dnf", trees=TREES, weight="event_weight")
+    return M.feature_pipeline(NUMERIC, CATEGORICAL, est).fit(tr), base
+
+
+@register("model_event")
+def q_model_event(spark: SparkSession, sf: str) -> DataFrame:
+    model, base = fit_event(spark, sf)
+    rows = _scoring_rows(spark, sf)
+    if model is None:  # constant majority predictor
+        return rows.select("season", "round", "driver_id", F.lit(float(base >= 0.5)).alias("p"))
+    return M.event_probability(model, rows).select("season", "round", "driver_id", "p")
+
+
+@register("calibrate_isotonic")
+def q_calibrate_isotonic(spark: SparkSession, sf: str) -> DataFrame:
+    frame = M.calibration_split(_prep(m2_frame(spark, sf)))
+    model, _ = fit_event(spark, sf, frame.where(F.col("split") == "train").drop("split"))
+    cal = frame.where(F.col("split") == "calibrate").drop("split")
+    scored = M.event_probability(model, cal).select("p", F.col("dnf").cast("double").alias("dnf"))
+    iso = M.calibrate_isotonic(scored, "p", "dnf").fit(scored)
+    out = iso.transform(M.event_probability(model, _scoring_rows(spark, sf)).select("season", "round", "driver_id", "p"))
+    return out.select("season", "round", "driver_id", "p", F.col("p_cal"))
+
+
+@register("score_frame")
+def q_score_frame(spark: SparkSession, sf: str) -> DataFrame:
+    from priorwise.operators.dist import rank_by_score
+
+    model = fit_position(spark, sf)
+    s = model.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
+                                                         F.col("prediction").alias("score"))
+    return rank_by_score(s)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml import PipelineModel
+
+    model = fit_position(spark, sf)
+    path = scratch_path(spark, f"models/quali/as_of={AS_OF[0]}-{AS_OF[1]:02d}")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    return loaded.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
+                                                            F.col("prediction").alias("score"))
+
+
+@register("importance_topk")
+def q_importance_topk(spark: SparkSession, sf: str) -> DataFrame:
+    model = fit_position(spark, sf)
+    return M.importance_topk(model, 10, spark)
+
+
+@register("importance_values")
+def q_importance_values(spark: SparkSession, sf: str) -> DataFrame:
+    model = fit_position(spark, sf)
+    top = [r["feature"] for r in M.importance_topk(model, 5, spark).collect()]
+    src = [c for c in top if c in NUMERIC]
+    f = FT.features_baseline(spark, sf).where((F.col("season") == AS_OF[0]) & (F.col("round") == AS_OF[1]))
+    return f.select("driver_id", *src)
+
+
+# ---------------------------------------------------------------------------
+# Post-practice and post-qualifying frames
+# ---------------------------------------------------------------------------
+def practice_features(spark: SparkSession, sf: str) -> DataFrame:
+    k4 = K.laps(spark, sf)
+    p3 = P.session_best(K.session_results(spark, sf, k4), k4)
+    return P.practice_rank_gap_z(P.practice_agg(p3))
+
+
+P8_CTE = """,
+p7 AS (
+  SELECT season, round, driver_id, count(DISTINCT session_type) AS practice_sessions,
+         min(best_lap_time_ms) AS practice_best_ms
+  FROM p3 GROUP BY 1, 2, 3
+),
+p8 AS (
+  SELECT *, CAST(CASE WHEN practice_best_ms IS NOT NULL THEN
+                 rank() OVER (PARTITION BY season, round ORDER BY practice_best_ms ASC NULLS LAST) END AS BIGINT)
+              AS practice_rank
+  FROM p7
+)"""
+
+
+@register("features_post_practice", _sql(P3_SQL + P8_CTE + """,
+j AS (
+  SELECT f.season, f.round, f.driver_id, f.constructor_id, f.driver_q_avg_pos_season_prior,
+         CAST(coalesce(p.practice_sessions, 0) AS BIGINT) AS practice_sessions,
+         round(p.practice_best_ms, 6) AS practice_best_ms, p.practice_rank
+  FROM f12 f LEFT JOIN p8 p ON p.season = f.season AND p.round = f.round AND p.driver_id = f.driver_id
+)""", """SELECT * EXCLUDE (mx) FROM (SELECT *, max(practice_sessions) OVER (PARTITION BY season, round) AS mx FROM j) t
+WHERE practice_sessions > 0 OR mx = 0""", "k4s"))
+def q_features_post_practice(spark: SparkSession, sf: str) -> DataFrame:
+    f = FT.features_baseline(spark, sf).select("season", "round", "driver_id", "constructor_id",
+                                               "driver_q_avg_pos_season_prior")
+    pr = practice_features(spark, sf).select(big("season").alias("season"), big("round").alias("round"),
+                                             "driver_id", "practice_sessions", "practice_best_ms", "practice_rank")
+    out = FT.attach_practice(f, pr)
+    return out.select("season", "round", "driver_id", "constructor_id", "driver_q_avg_pos_season_prior",
+                      big("practice_sessions").alias("practice_sessions"),
+                      r6("practice_best_ms").alias("practice_best_ms"), "practice_rank")
+
+
+POSTQ_CTE = """,
+kq AS (SELECT season, round, driver_id, constructor_id AS q_constructor_id, qualifying_position FROM k1),
+f14 AS (
+  SELECT s.season, s.round, s.driver_id, coalesce(q.q_constructor_id, s.constructor_id) AS constructor_id,
+         q.qualifying_position
+  FROM sp s LEFT JOIN kq q ON q.season = s.season AND q.round = s.round AND q.driver_id = s.driver_id
+),
+f15 AS (
+  SELECT f.season, f.round, f.driver_id, coalesce(k.constructor_id, f.constructor_id) AS constructor_id,
+         f.qualifying_position, k.finish_position AS sprint_finish, k.grid_position AS sprint_grid,
+         k.points AS sprint_points, CAST(k.dnf AS BIGINT) AS sprint_dnf
+  FROM f14 f LEFT JOIN k9 k ON k.season = f.season AND k.round = f.round AND k.driver_id = f.driver_id
+),
+f16d AS (
+  SELECT s.season, s.round, s.driver_id,
+         round(avg(f.finish_position), 6) AS sprint_avg_finish_season_prior,
+         round(avg(f.dnf), 6) AS sprint_dnf_rate_season_prior
+  FROM f15 s LEFT JOIN k9 f ON f.driver_id = s.driver_id AND f.season = s.season AND f.round < s.round
+  GROUP BY 1, 2, 3
+),
+f16c AS (
+  SELECT s.season, s.round, s.driver_id, round(avg(f.finish_position), 6) AS constructor_sprint_avg_finish_season_prior
+  FROM f15 s LEFT JOIN k9 f ON f.constructor_id = s.constructor_id AND f.season = s.season AND f.round < s.round
+  GROUP BY 1, 2, 3
+),
+f17 AS (
+  SELECT season, round, driver_id,
+         round(qualifying_position - avg(qualifying_position) OVER (PARTITION BY season, round, constructor_id), 6)
+           AS quali_vs_constructor_mean
+  FROM f15
+),
+f18d AS (
+  SELECT s.season, s.round, s.driver_id,
+         round(avg(f.finish_position), 6) AS race_avg_finish_season_prior,
+         round(avg(f.dnf), 6) AS race_dnf_rate_season_prior
+  FROM f15 s LEFT JOIN k1 f ON f.driver_id = s.driver_id AND f.season = s.season AND f.round < s.round
+  GROUP BY 1, 2, 3
+),
+f18c AS (
+  SELECT s.season, s.round, s.driver_id, round(avg(f.finish_position), 6) AS constructor_race_avg_finish_season_prior
+  FROM f15 s LEFT JOIN k1 f ON f.constructor_id = s.constructor_id AND f.season = s.season AND f.round < s.round
+  GROUP BY 1, 2, 3
+)"""
+
+POSTQ_KEYS = "CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id"
+
+
+def post_quali_base(spark: SparkSession, sf: str) -> DataFrame:
+    """F14 + F15: spine with round qualifying and sprint attached, constructors overridden."""
+    sp = FT.baseline_spine(spark, sf).select("season", "round", "driver_id", "constructor_id")
+    k1 = K.results(spark, sf)
+    out = FT.attach_override(sp, k1.select("season", "round", "driver_id", "constructor_id", "qualifying_position"))
+    k9 = K.sprint_results(spark, sf, k1).select(
+        "season", "round", "driver_id", "constructor_id", F.col("finish_position").alias("sprint_finish"),
+        F.col("grid_position").alias("sprint_grid"), F.col("points").alias("sprint_points"),
+        big("dnf").alias("sprint_dnf"))
+    return FT.attach_override(out, k9)
+
+
+@register("attach_override", _sql(POSTQ_CTE, f"SELECT {POSTQ_KEYS}, constructor_id, qualifying_position FROM f14",
+                                  "k9"))
+def q_attach_override(spark: SparkSession, sf: str) -> DataFrame:
+    sp = FT.baseline_spine(spark, sf).select("season", "round", "driver_id", "constructor_id")
+    k1 = K.results(spark, sf).select("season", "round", "driver_id", "constructor_id", "qualifying_position")
+    out = FT.attach_override(sp, k1)
+    return out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
+                      "constructor_id", "qualifying_position")
+
+
+@register("attach_sprint", _sql(POSTQ_CTE, f"""SELECT {POSTQ_KEYS}, constructor_id, sprint_finish, sprint_grid,
+  sprint_points, sprint_dnf FROM f15""", "k9"))
+def q_attach_sprint(spark: SparkSession, sf: str) -> DataFrame:
+    b = post_quali_base(spark, sf)
+    return b.select(big("season").alias("season"), big("round").alias("round"), "driver_id", "constructor_id",
+                    "sprint_finish", "sprint_grid", "sprint_points", "sprint_dnf")
+
+
+def sprint_priors(base: DataFrame, k9: DataFrame) -> DataFrame:
+    out = prior_stats(base, k9, ["driver_id"], [
+        Agg("sprint_avg_finish_season_prior", "avg", "finish_position"),
+        Agg("sprint_dnf_rate_season_prior", "avg", "dnf")], scope="season")
+    out = prior_stats(out, k9, ["constructor_id"], [
+        Agg("constructor_sprint_avg_finish_season_prior", "avg", "finish_position")], scope="season")
+    return out.withColumns({c: r6(c) for c in ["sprint_avg_finish_season_prior", "sprint_dnf_rate_season_prior",
+                                               "constructor_sprint_avg_finish_season_prior"]})
+
+
+@register("asof_sprint", _sql(POSTQ_CTE, f"""SELECT {POSTQ_KEYS}, d.sprint_avg_finish_season_prior,
+  d.sprint_dnf_rate_season_prior, c.constructor_sprint_avg_finish_season_prior
+FROM f16d d JOIN f16c c USING (season, round, driver_id)""", "k9"))
+def q_asof_sprint(spark: SparkSession, sf: str) -> DataFrame:
+    b = post_quali_base(spark, sf)
+    out = sprint_priors(b, K.sprint_results(spark, sf))
+    return out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
+                      "sprint_avg_finish_season_prior", "sprint_dnf_rate_season_prior",
+                      "constructor_sprint_avg_finish_season_prior")
+
+
+@register("round_group_delta", _sql(POSTQ_CTE, f"SELECT {POSTQ_KEYS}, quali_vs_constructor_mean FROM f17", "k9"))
+def q_round_group_delta(spark: SparkSession, sf: str) -> DataFrame:
+    b = post_quali_base(spark, sf)
+    out = FT.round_group_delta(b, "qualifying_position", "quali_vs_constructor_mean")
+    return out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
+                      r6("quali_vs_constructor_mean").alias("quali_vs_constructor_mean"))
+
+
+def race_priors(base: DataFrame, k1: DataFrame) -> DataFrame:
+    out = prior_stats(base, k1, ["driver_id"], [
+        Agg("race_avg_finish_season_prior", "avg", "finish_position"),
+        Agg("race_dnf_rate_season_prior", "avg", "dnf")], scope="season")
+    out = prior_stats(out, k1, ["constructor_id"], [
+        Agg("constructor_race_avg_finish_season_prior", "avg", "finish_position")], scope="season")
+    return out.withColumns({c: r6(c) for c in ["race_avg_finish_season_prior", "race_dnf_rate_season_prior",
+                                               "constructor_race_avg_finish_season_prior"]})
+
+
+@register("asof_race_form", _sql(POSTQ_CTE, f"""SELECT {POSTQ_KEYS}, d.race_avg_finish_season_prior,
+  d.race_dnf_rate_season_prior, c.constructor_race_avg_finish_season_prior
+FROM f18d d JOIN f18c c USING (season, round, driver_id)""", "k9"))
+def q_asof_race_form(spark: SparkSession, sf: str) -> DataFrame:
+    b = post_quali_base(spark, sf)
+    out = race_priors(b, K.results(spark, sf))
+    return out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
+                      "race_avg_finish_season_prior", "race_dnf_rate_season_prior",
+                      "constructor_race_avg_finish_season_prior")
+
+
+LONGRUN_CTE = """,
+pv AS (
+  SELECT k.*, row_number() OVER (PARTITION BY season, round, session_type, driver_id ORDER BY lap_time_ms, event_id) AS rn,
+         count(*) OVER (PARTITION BY season, round, session_type, driver_id) AS n
+  FROM k4 k WHERE NOT coalesce(in_out, false) AND lap_time_ms IS NOT NULL
+),
+lr AS (
+  SELECT season, round, session_type, driver_id,
+         avg(CASE WHEN n < 5 OR (rn > floor(n * 0.2) AND rn <= n - floor(n * 0.2)) THEN lap_time_ms END) AS trimmed
+  FROM pv GROUP BY 1, 2, 3, 4
+),
+lrp AS (
+  SELECT * FROM (SELECT *, CASE session_type WHEN 'FP2' THEN 1 WHEN 'FP3' THEN 2 WHEN 'FP1' THEN 3 END AS p FROM lr) x
+  WHERE p = (SELECT min(CASE session_type WHEN 'FP2' THEN 1 WHEN 'FP3' THEN 2 WHEN 'FP1' THEN 3 END)
+             FROM lr y WHERE y.season = x.season AND y.round = x.round)
+)"""
+
+
+@register("features_post_quali", _sql(POSTQ_CTE + P3_SQL + P8_CTE + LONGRUN_CTE, f"""
+SELECT CAST(b.season AS BIGINT) AS season, CAST(b.round AS BIGINT) AS round, b.driver_id, b.constructor_id,
+       b.qualifying_position, b.sprint_finish, d.sprint_avg_finish_season_prior,
+       g.quali_vs_constructor_mean, r.race_avg_finish_season_prior, c.constructor_race_avg_finish_season_prior,
+       CAST(coalesce(p.practice_sessions, 0) AS BIGINT) AS practice_sessions, p.practice_rank,
+       round(l.trimmed, 6) AS practice_longrun_trimmed_ms
+FROM f15 b
+JOIN f16d d USING (season, round, driver_id)
+JOIN f17 g USING (season, round, driver_id)
+JOIN f18d r USING (season, round, driver_id)
+JOIN f18c c USING (season, round, driver_id)
+LEFT JOIN p8 p ON p.season = b.season AND p.round = b.round AND p.driver_id = b.driver_id
+LEFT JOIN lrp l ON l.season = b.season AND l.round = b.round AND l.driver_id = b.driver_id""", "k9", "k4s"))
+def q_features_post_quali(spark: SparkSession, sf: str) -> DataFrame:
+    k1 = K.results(spark, sf)
+    b = post_quali_base(spark, sf)
+    b = sprint_priors(b, K.sprint_results(spark, sf, k1))
+    b = FT.round_group_delta(b, "qualifying_position", "quali_vs_constructor_mean")
+    b = race_priors(b, k1)
+    pr = practice_features(spark, sf).select(big("season").alias("season"), big("round").alias("round"),
+                                             "driver_id", "practice_sessions", "practice_rank")
+    k4 = K.laps(spark, sf)
+    lr = P.preferred_session(P.longrun_summary(k4)).select(
+        big("season").alias("season"), big("round").alias("round"), "driver_id", "practice_longrun_trimmed_ms")
+    b = b.withColumns({"season": big("season"), "round": big("round")})
+    out = (b.join(pr, ["season", "round", "driver_id"], "left")
+           .join(lr, ["season", "round", "driver_id"], "left"))
+    return out.select("season", "round", "driver_id", "constructor_id", "qualifying_position", "sprint_finish",
+                      "sprint_avg_finish_season_prior", r6("quali_vs_constructor_mean").alias("quali_vs_constructor_mean"),
+                      "race_avg_finish_season_prior", "constructor_race_avg_finish_season_prior",
+                      F.coalesce(F.col("practice_sessions"), F.lit(0)).cast("bigint").alias("practice_sessions"),
+                      "practice_rank", r6("practice_longrun_trimmed_ms").alias("practice_longrun_trimmed_ms"))
