@@ -202,13 +202,23 @@ def rank_corr(pred: DataFrame, actual: DataFrame, entity: str = "driver_id",
         return F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0
 
     m = m.withColumn("__ra", avg_rank("score")).withColumn("__rb", avg_rank("__a"))
-    return m.groupBy(*period).agg(F.corr("__ra", "__rb").alias("spearman"),
-                                  F.count(F.lit(1)).alias("n"))
+    # rounds where either ranking is constant have no correlation (NULL); they are
+    # left out of corr() so ANSI mode never divides by zero
+    st = m.groupBy(*period).agg(F.count(F.lit(1)).alias("n"),
+                                (F.min("__ra") < F.max("__ra")).alias("__va"),
+                                (F.min("__rb") < F.max("__rb")).alias("__vb"))
+    ok = st.where(F.col("__va") & F.col("__vb")).select(*period)
+    c = m.join(ok, period, "left_semi").groupBy(*period).agg(F.corr("__ra", "__rb").alias("spearman"))
+    return st.join(c, period, "left").select(*period, "spearman", "n")
 
 
 def brier_topk(dist: DataFrame, actual: DataFrame, k: int, entity: str = "driver_id",
-               actual_col: str = "finish_position", period: Sequence[str] = PERIOD) -> DataFrame:
-    """V11 Brier score of P(position <= k) per round, from a position distribution."""
+               actual_col: str = "finish_position", period: Sequence[str] = PERIOD,
+               samples: int | None = None) -> DataFrame:
+    """V11 Brier score of P(position <= k) per round, from a position distribution.
+
+    With ``samples`` (sampled distributions, probabilities = count / samples)
+    the score is computed on integer counts, so it is exact."""
     period = list(period)
     p = (dist.where(F.col("position").cast("string").rlike("^[0-9]+$"))
          .withColumn("__pos", F.col("position").cast("bigint")))
@@ -217,6 +227,10 @@ def brier_topk(dist: DataFrame, actual: DataFrame, k: int, entity: str = "driver
     act = actual.select(*period, entity,
                         F.when(F.col(actual_col) <= k, 1.0).otherwise(0.0).alias("__y"))
     m = pk.join(act, period + [entity], "left").fillna(0.0, subset=["__y"])
+    if samples:
+        d = F.round(F.col("__p") * samples).cast("bigint") - (F.col("__y") * samples).cast("bigint")
+        return m.groupBy(*period).agg(
+            (F.sum(d * d) / (F.count(F.lit(1)) * float(samples) ** 2)).alias(f"brier_top{k}"))
     return m.groupBy(*period).agg(F.avg((F.col("__p") - F.col("__y")) ** 2).alias(f"brier_top{k}"))
 
 

@@ -254,3 +254,233 @@ def q_eval_range_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = V.eval_range_summary(_eval_top(spark, sf))
     return s.select(big("season").alias("season"), big("rounds").alias("rounds"), r6("mae").alias("mae"),
                     *[r6(c).alias(c) for c in ["exact_rate", "top1_rate", "top3_rate", "top5_rate"]])
+
+
+# ---------------------------------------------------------------------------
+# V1 - V3, V5: compare / evaluate against actual qualifying and race results
+# ---------------------------------------------------------------------------
+def _actual(spark: SparkSession, sf: str) -> DataFrame:
+    return K.results(spark, sf)
+
+
+def _keys(df: DataFrame, *extra) -> DataFrame:
+    return df.select(big("season").alias("season"), big("round").alias("round"), *extra)
+
+
+V1_CTE = """,
+v1 AS (
+  SELECT p.season, p.round, p.driver_id, p.predicted_position, a.qualifying_position AS actual_position,
+         abs(p.predicted_position - a.qualifying_position) AS abs_error,
+         coalesce(CAST(a.qualifying_position AS VARCHAR), 'NO_QUALI_RESULT') AS actual_text
+  FROM k8r p LEFT JOIN k1 a ON a.season = p.season AND a.round = p.round AND a.driver_id = p.driver_id
+)"""
+
+
+@register("compare_top", _sql(V1_CTE, """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+  driver_id, predicted_position, actual_position, abs_error, actual_text FROM v1"""))
+def q_compare_top(spark: SparkSession, sf: str) -> DataFrame:
+    d = V.compare_top(k8_predictions(spark, sf), _actual(spark, sf))
+    return _keys(d, "driver_id", "predicted_position", "actual_position", "abs_error", "actual_text")
+
+
+@register("compare_top_summary", _sql(V1_CTE, """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+  round(avg(CASE WHEN actual_position IS NOT NULL THEN abs_error END), 6) AS mae,
+  CAST(sum(CASE WHEN actual_position IS NOT NULL AND abs_error = 0 THEN 1 ELSE 0 END) AS BIGINT) AS exact,
+  count(actual_position) AS valid, CAST(sum(CASE WHEN actual_position IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing
+FROM v1 GROUP BY 1, 2"""))
+def q_compare_top_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = V.compare_top_summary(V.compare_top(k8_predictions(spark, sf), _actual(spark, sf)))
+    return _keys(s, r6("mae").alias("mae"), "exact", "valid", "missing")
+
+
+D3_CTE = D3_SQL[D3_SQL.index(",\ndraws AS"):D3_SQL.index("SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id,\n  CAST(position")]
+D3_CTE = D3_CTE + """,
+d3 AS (SELECT season, round, driver_id, CAST(position AS BIGINT) AS position, count(*) / 500.0 AS probability
+       FROM ranked GROUP BY 1, 2, 3, 4)"""
+
+
+def _d3(spark: SparkSession, sf: str) -> DataFrame:
+    return D.rank_distribution(k8_scores(spark, sf), samples=SAMPLES, temperature=TEMPERATURE, seed=SEED,
+                               dense=False)
+
+
+@register("compare_dist", _sql(D3_CTE, """SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
+  count(*) AS hits, round(avg(d.probability), 6) AS avg_p_actual
+FROM d3 d JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
+                   AND a.qualifying_position = d.position
+GROUP BY 1, 2"""))
+def q_compare_dist(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.compare_dist(_d3(spark, sf), _actual(spark, sf))
+    return _keys(c, "hits", r6("avg_p_actual").alias("avg_p_actual"))
+
+
+@register("eval_dist", _sql(D3_CTE, """SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
+  round(avg(CASE WHEN a.qualifying_position = d.position THEN d.probability END), 6) AS avg_p_actual
+FROM d3 d LEFT JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
+WHERE EXISTS (SELECT 1 FROM k1 x WHERE x.season = d.season AND x.round = d.round)
+GROUP BY 1, 2"""))
+def q_eval_dist(spark: SparkSession, sf: str) -> DataFrame:
+    e = V.eval_dist(_d3(spark, sf), _actual(spark, sf))
+    return _keys(e, r6("avg_p_actual").alias("avg_p_actual"))
+
+
+D4_CTE = D4_SQL[D4_SQL.index(",\nk8d AS"):D4_SQL.index("SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id,\n  position,")]
+D4_CTE = D4_CTE + """,
+d4 AS (SELECT season, round, driver_id, position, count(*) / 500.0 AS probability FROM ranked GROUP BY 1, 2, 3, 4)"""
+
+
+def _d4(spark: SparkSession, sf: str) -> DataFrame:
+    return D.rank_distribution(k8_with_dnf(spark, sf), samples=SAMPLES, temperature=RACE_TEMPERATURE, seed=SEED,
+                               withdraw_prob="dnf_prob", dense=False)
+
+
+@register("compare_dist_dnf", _sql(D4_CTE, """SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
+  count(CASE WHEN d.position = CASE WHEN coalesce(a.dnf, 0) = 1 OR a.finish_position IS NULL THEN 'DNF'
+                                    ELSE CAST(a.finish_position AS VARCHAR) END THEN 1 END) AS hits,
+  round(avg(CASE WHEN d.position = CASE WHEN coalesce(a.dnf, 0) = 1 OR a.finish_position IS NULL THEN 'DNF'
+                                        ELSE CAST(a.finish_position AS VARCHAR) END THEN d.probability END), 6)
+    AS avg_p_actual
+FROM d4 d LEFT JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
+GROUP BY 1, 2"""))
+def q_compare_dist_dnf(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.compare_dist_dnf(_d4(spark, sf), _actual(spark, sf))
+    return _keys(c, "hits", r6("avg_p_actual").alias("avg_p_actual"))
+
+
+@register("eval_dist_dnf", _sql(D4_CTE, """, act AS (
+  SELECT season, round, driver_id, CASE WHEN coalesce(dnf, 0) = 1 OR finish_position IS NULL THEN 'DNF'
+                                        ELSE CAST(finish_position AS VARCHAR) END AS label FROM k1)
+SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
+  round(avg(CASE WHEN d.position = a.label THEN d.probability END), 6) AS avg_p_actual
+FROM d4 d LEFT JOIN act a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
+WHERE EXISTS (SELECT 1 FROM k1 x WHERE x.season = d.season AND x.round = d.round)
+GROUP BY 1, 2"""))
+def q_eval_dist_dnf(spark: SparkSession, sf: str) -> DataFrame:
+    e = V.eval_dist(_d4(spark, sf), _actual(spark, sf), actual_col="finish_position", with_dnf=True)
+    return _keys(e, r6("avg_p_actual").alias("avg_p_actual"))
+
+
+# ---------------------------------------------------------------------------
+# Coverage, latest round, weekend lookup, availability
+# ---------------------------------------------------------------------------
+IN_PROGRESS = (2001, 5)   # results published up to this round of the last season
+
+
+def _published(spark: SparkSession, sf: str) -> DataFrame:
+    k1 = _actual(spark, sf)
+    return k1.where((F.col("season") < IN_PROGRESS[0]) | (F.col("round") <= IN_PROGRESS[1]))
+
+
+COV_CTE = f""",
+pub AS (SELECT * FROM k1 WHERE season < {IN_PROGRESS[0]} OR round <= {IN_PROGRESS[1]}),
+cov AS (
+  SELECT coalesce(c.season, r.season) AS season, coalesce(c.n, 0) AS calendar_rounds,
+         coalesce(r.n, 0) AS result_rounds
+  FROM (SELECT season, count(DISTINCT round) AS n FROM k2 GROUP BY 1) c
+  FULL OUTER JOIN (SELECT season, count(DISTINCT round) AS n FROM pub GROUP BY 1) r ON c.season = r.season
+)"""
+
+
+@register("coverage", _sql(COV_CTE, """SELECT CAST(season AS BIGINT) AS season, calendar_rounds, result_rounds,
+  CAST(CASE WHEN calendar_rounds > 0 AND result_rounds >= calendar_rounds THEN 1 ELSE 0 END AS BIGINT) AS complete
+FROM cov"""))
+def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.coverage(K.weekends(spark, sf), _published(spark, sf))
+    return c.select(big("season").alias("season"), "calendar_rounds", "result_rounds", big("complete").alias("complete"))
+
+
+@register("coverage_summary", _sql(COV_CTE, """SELECT
+  CAST((SELECT min(season) FROM cov WHERE result_rounds >= calendar_rounds AND calendar_rounds > 0) AS BIGINT) AS trained_from,
+  CAST((SELECT max(season) FROM cov WHERE result_rounds >= calendar_rounds AND calendar_rounds > 0) AS BIGINT) AS trained_to,
+  (SELECT count(*) FROM cov WHERE result_rounds >= calendar_rounds AND calendar_rounds > 0) AS complete_seasons,
+  CAST(season AS BIGINT) AS current_season, result_rounds AS current_done, calendar_rounds AS current_total
+FROM cov WHERE season = (SELECT max(season) FROM cov)"""))
+def q_coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = V.coverage_summary(V.coverage(K.weekends(spark, sf), _published(spark, sf)))
+    return s.select(big("trained_from").alias("trained_from"), big("trained_to").alias("trained_to"),
+                    "complete_seasons", big("current_season").alias("current_season"), "current_done",
+                    "current_total")
+
+
+@register("latest_round", with_carriers(f""",
+pub AS (SELECT * FROM k1 WHERE season < {IN_PROGRESS[0]} OR round <= {IN_PROGRESS[1]}),
+u AS (SELECT season, max(round) AS round FROM pub GROUP BY 1
+      UNION ALL SELECT season, max(round) FROM k4 GROUP BY 1)
+SELECT CAST(season AS BIGINT) AS season, CAST(max(round) AS BIGINT) AS round FROM u
+WHERE season = (SELECT max(season) FROM u) GROUP BY 1""", "k1", "k4"))
+def q_latest_round(spark: SparkSession, sf: str) -> DataFrame:
+    l = V.latest_round([_published(spark, sf), K.laps(spark, sf)])
+    return l.select(big("season").alias("season"), big("round").alias("round"))
+
+
+@register("weekend_info", with_carriers("""SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+  weekend_id, race_date, sprint_date, CAST(sprint_date IS NOT NULL AS BIGINT) AS has_sprint
+FROM k2 WHERE (season = 2000 AND round IN (4, 5)) OR season = 1999""", "k2"))
+def q_weekend_info(spark: SparkSession, sf: str) -> DataFrame:
+    wk = K.weekends(spark, sf)
+    parts = [V.weekend_info(wk, 2000, 4), V.weekend_info(wk, 2000, 5), wk.where(F.col("season") == 1999)
+             .withColumn("has_sprint", F.col("sprint_date").isNotNull().cast("int"))]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.select(big("season").alias("season"), big("round").alias("round"), "weekend_id", "race_date",
+                    "sprint_date", big("has_sprint").alias("has_sprint"))
+
+
+@register("availability_matrix", with_carriers("""
+, u AS (SELECT DISTINCT season, round, 'practice' AS ds FROM k4
+        UNION ALL SELECT DISTINCT season, round, 'race' FROM k1
+        UNION ALL SELECT DISTINCT season, round, 'sprint' FROM k9)
+SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+  count(CASE WHEN ds = 'practice' THEN 1 END) AS practice, count(CASE WHEN ds = 'race' THEN 1 END) AS race,
+  count(CASE WHEN ds = 'sprint' THEN 1 END) AS sprint
+FROM u GROUP BY 1, 2""", "k4", "k9"))
+def q_availability_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    k1 = _actual(spark, sf)
+    m = V.availability_matrix({"practice": K.laps(spark, sf), "race": k1,
+                               "sprint": K.sprint_results(spark, sf, k1)})
+    return m.select(big("season").alias("season"), big("round").alias("round"), "practice", "race", "sprint")
+
+
+# ---------------------------------------------------------------------------
+# Proper scores
+# ---------------------------------------------------------------------------
+@register("brier_topk", _sql(D3_CTE, """, pk AS (
+  SELECT season, round, driver_id, sum(CASE WHEN position <= 3 THEN probability ELSE 0.0 END) AS p FROM d3 GROUP BY 1, 2, 3)
+SELECT CAST(p.season AS BIGINT) AS season, CAST(p.round AS BIGINT) AS round,
+  round(sum(power(CAST(round(p.p * 500) AS BIGINT) - CASE WHEN a.qualifying_position <= 3 THEN 500 ELSE 0 END, 2))
+        / (count(*) * 250000.0), 6) AS brier_top3
+FROM pk p LEFT JOIN k1 a ON a.season = p.season AND a.round = p.round AND a.driver_id = p.driver_id
+GROUP BY 1, 2"""))
+def q_brier_topk(spark: SparkSession, sf: str) -> DataFrame:
+    b = V.brier_topk(_d3(spark, sf), _actual(spark, sf), 3, actual_col="qualifying_position", samples=SAMPLES)
+    return _keys(b, r6("brier_top3").alias("brier_top3"))
+
+
+@register("log_loss", _sql(D3_CTE, """, pa AS (
+  SELECT d.season, d.round, d.driver_id,
+         sum(CASE WHEN d.position = a.qualifying_position THEN d.probability ELSE 0.0 END) AS p
+  FROM d3 d JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
+  WHERE a.qualifying_position IS NOT NULL GROUP BY 1, 2, 3)
+SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+  round(avg(-ln(greatest(p, 1e-15))), 6) AS log_loss, count(*) AS n
+FROM pa GROUP BY 1, 2"""))
+def q_log_loss(spark: SparkSession, sf: str) -> DataFrame:
+    l = V.log_loss(_d3(spark, sf), _actual(spark, sf), actual_col="qualifying_position")
+    return _keys(l, r6("log_loss").alias("log_loss"), "n")
+
+
+@register("rank_corr", _sql("", """, m AS (
+  SELECT p.season, p.round, p.score, CAST(a.finish_position AS DOUBLE) AS a
+  FROM k8 p JOIN k1 a ON a.season = p.season AND a.round = p.round AND a.driver_id = p.driver_id
+  WHERE a.finish_position IS NOT NULL AND p.score IS NOT NULL),
+r AS (
+  SELECT season, round,
+    rank() OVER (PARTITION BY season, round ORDER BY score)
+      + (count(*) OVER (PARTITION BY season, round, score) - 1) / 2.0 AS ra,
+    rank() OVER (PARTITION BY season, round ORDER BY a)
+      + (count(*) OVER (PARTITION BY season, round, a) - 1) / 2.0 AS rb
+  FROM m)
+SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, round(corr(ra, rb), 6) AS spearman,
+  count(*) AS n FROM r GROUP BY 1, 2"""))
+def q_rank_corr(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.rank_corr(k8_scores(spark, sf), _actual(spark, sf))
+    return _keys(c, r6("spearman").alias("spearman"), "n")
