@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,16 @@ def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is. Pure ASCII text takes the quick built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)) \
         .otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def by_bytes(batches: Iterator[pd.Series], limit: int = 8_000_000) -> Iterator[pd.Series]:
+    """Cut series of texts so that a piece has at most ``limit`` characters (or is one text): bounds memory."""
+    for texts in batches:
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            n = len(t) if t else 0
+            if i > start and size + n > limit:
+                yield texts.iloc[start:i]
+                start, size = i, 0
+            size += n
+        yield texts.iloc[start:]
