@@ -51,4 +51,5 @@ def by_bytes(batches: Iterator[pd.Series], limit: int = 8_000_000) -> Iterator[p
                 yield texts.iloc[start:i]
                 start, size = i, 0
             size += n
-        yield texts.iloc[start:]
+        if len(texts):
+            yield texts.iloc[start:]

@@ -80,7 +80,8 @@ def _add_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, packed in zip(f["part"], f["counts"]):
             add = np.frombuffer(zlib.decompress(packed), np.int64)
             sums[part] = sums[part] + add if part in sums else add
-    yield pd.DataFrame({"part": list(sums), "counts": [zlib.compress(v.tobytes(), 1) for v in sums.values()]})
+    if sums:
+        yield pd.DataFrame({"part": list(sums), "counts": [zlib.compress(v.tobytes(), 1) for v in sums.values()]})
 
 
 def _prefixes(k: int, percent: int, counts, hot_cell: int):
@@ -101,7 +102,8 @@ def _prefixes(k: int, percent: int, counts, hot_cell: int):
                 node, count = _node_id(doc_id, d), count[first]
                 salts = np.where(count > hot_cell, (d[1] & 0xFFFFFF) % (count // hot_cell + 1), -1)
                 rows.append((node, d[0], n, s[first].view(np.int64), salts.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["id", "s1", "n", "tokens", "salts"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "s1", "n", "tokens", "salts"])
 
     return run
 
