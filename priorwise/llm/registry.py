@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from priorwise.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup  # noqa: F401
+    from priorwise.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, language, line_dedup, url_filter  # noqa: F401
