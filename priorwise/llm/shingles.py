@@ -58,17 +58,43 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts[start:]
 
 
+def _run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run [start, end) of bytes; no run starts at 0."""
+    up, down = _POWERS.of(len(buf) + 1)
+    sums = np.cumsum(_BYTE[buf] * up[:-1], dtype=np.uint64)
+    return mix((sums[ends - 1] - sums[starts - 1]) * down[starts])
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with white space around each, and where each begins (and the end)."""
+    buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    return buf, np.cumsum([1] + [len(t) + 1 for t in texts])
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in turn, and where each text's words begin (and the end)."""
-    buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    buf, begins = _joined(texts)
     white = _WHITE[buf]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    up, down = _POWERS.of(len(buf) + 1)
-    sums = np.cumsum(_BYTE[buf] * up[:-1], dtype=np.uint64)
-    hashes = mix((sums[ends - 1] - sums[starts - 1]) * down[starts])  # a word never starts at 0
-    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(starts, begins)
+    return _run_hashes(buf, starts, ends), np.searchsorted(starts, begins)
+
+
+def token_hashes(texts: list[bytes], kinds: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like word_hashes for runs of one kind of byte (kind 0 parts them), with bytes folded by ``fold``.
+
+    Also gives each run's kind, and whether it has two bytes or more, all of them folded: words in capitals.
+    """
+    buf, begins = _joined(texts)
+    kind = kinds[buf]
+    edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    starts, ends = edge, np.append(edge[1:], len(buf))
+    inside = kind[starts] > 0
+    starts, ends = starts[inside], ends[inside]
+    folded = fold[buf]
+    upper = np.cumsum((folded != buf) & (kind == 1))
+    caps = (upper[ends - 1] - upper[starts - 1] == ends - starts) & (ends - starts > 1)
+    return _run_hashes(folded, starts, ends), np.searchsorted(starts, begins), kind[starts], caps
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
