@@ -114,14 +114,15 @@ class LanguageModel:
                  smoothing: float = 0.5, rare_script: float = 0.001):
         self.langs, self.bits, self.penalty, self.clip = sorted(counts), bits, penalty, clip
         size = 1 << bits
-        both = np.array([counts[l] for l in self.langs], float).reshape(len(self.langs), -1)
+        both = np.array([counts[l] for l in self.langs], float).reshape(len(self.langs), 2 * size + N_SCRIPTS)
         logs = []
         for part in (both[:, :size], both[:, size:2 * size]):
             p = part + smoothing
             logs.append(np.log(p / p.sum(1, keepdims=True)))
         # a row for each cell: the score of each language against the mean of all
-        self.table = np.concatenate(logs, 1).T.astype(np.float32) if len(self.langs) else np.zeros((2 * size, 0), np.float32)
-        self.table -= self.table.mean(1, keepdims=True) if len(self.langs) else 0
+        self.table = np.concatenate(logs, 1).T.astype(np.float32)
+        if self.langs:
+            self.table -= self.table.mean(1, keepdims=True)
         scripts = both[:, 2 * size:]
         seen = scripts > rare_script * scripts.sum(1, keepdims=True)
         # cost of a language for a word of a script that it isn't written in, if some language is
