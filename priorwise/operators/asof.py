@@ -10,14 +10,16 @@ Recipe (range frames, no per-round loop): the fact rows and the spine rows
 are unioned into one frame, a window with a *range* frame ending at -1 sums
 the pre-aggregated fact columns of strictly earlier periods, and the spine
 rows are kept. Same-period peers (and the row's own result) are excluded by
-the range frame. The spine rows travel through the window, so no join back
-is needed; each call costs one shuffle keyed by the entity key.
+the range frame. For entity keys the spine rows travel through the window, so no join
+back is needed; each call costs one shuffle keyed by the entity key. Keys that many rows of
+a period share go through ``group_prior_stats``.
 
 Plan-shape rules kept here:
 
 1. facts are pre-aggregated to (key, period) before the window (partial
-   aggregation happens map side; a hot key collapses to one row per period);
-2. every window is partitioned by an entity key, never ``over()``.
+   aggregation happens map side; a hot key's facts collapse to one row per period);
+2. every window is partitioned by an entity key, or holds grid rows only, never ``over()``;
+3. medians keep raw values: a season of one entity, bounded by its rounds.
 """
 
 from __future__ import annotations
@@ -155,8 +157,25 @@ def prior_stats(spine: DataFrame, facts: DataFrame | Sequence[DataFrame], keys:
     return out.drop(*drop)
 
 
+def group_prior_stats(spine: DataFrame, facts: DataFrame | Sequence[DataFrame], keys: Sequence[str],
+                      aggs: Sequence[Agg], scope: str = "season", base: DataFrame | None = None) -> DataFrame:
+    """``prior_stats`` for keys that many spine rows of a period share (a group, a group at a place).
+
+    The priors are computed on the distinct (key, period) grid, where a hot key has one row a period, and
+    joined back by equality, so the spine rows of a hot key never meet in one window task and a
+    skewed join can be split. ``base``: a frame with the same keys and periods to take the grid from, where
+    ``spine`` already carries a long lineage (it would be computed twice).
+    """
+    at = [*keys, SEASON, ROUND]
+    grid = (base if base is not None else spine).select(*at).where(F.col(keys[-1]).isNotNull()).distinct()
+    priors = prior_stats(grid, facts, keys, aggs, scope)
+    out = spine.join(priors, at, "left")
+    zero = {a.out: F.coalesce(F.col(a.out), F.lit(0).cast("bigint")) for a in aggs if a.kind in ("count", "rows")}
+    return out.withColumns(zero)
+
+
 def leave_one_out_delta(spine: DataFrame, facts: DataFrame, group: str, entity: str,
-                        measure: str, out: str) -> DataFrame:
+                        measure: str, out: str, base: DataFrame | None = None) -> DataFrame:
     """entity's season-prior mean within its group minus the mean of the
     other entities' season-prior means in that group (B2).
 
@@ -167,7 +186,7 @@ def leave_one_out_delta(spine: DataFrame, facts: DataFrame, group: str, entity:
     """
     pairs = facts.where(F.col(group).isNotNull() & F.col(entity).isNotNull()) \
         .select(group, entity, SEASON).distinct()
-    rounds = spine.select(group, SEASON, ROUND).distinct()
+    rounds = (base if base is not None else spine).select(group, SEASON, ROUND).distinct()
     # grid = pairs of the season x rounds where the group is on the spine
     grid = pairs.join(rounds, [group, SEASON])
     means = prior_stats(grid, facts, [group, entity],

@@ -2,10 +2,11 @@
 
 Plackett-Luce sampling is expressed as data-parallel rows: a draw is the
 order of ``score / T + ln(-ln(u))`` ascending (Gumbel-max; lower score is
-better), with ``u`` a deterministic hash of (seed, group, sample, entity).
-So every group and every sample is computed at once, with one shuffle by
-(group, sample) for the ranking and one aggregation by (group, entity,
-position); no Python and no driver loop.
+better), with ``u`` a deterministic function of (seed, group, sample, entity).
+Every group and every sample is computed at once. Each entity is shuffled once
+per *block* of draws, by (group, block); the draws of the block are exploded
+after that shuffle, ranked and counted where they are, and only counts
+move again. No Python and no driver loop.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD = ["season", "round"]
-_TWO32 = 4294967296.0
+M31 = 2147483647       # prime modulus of the draw generator
+LOW = 2097152          # 2^21: low bits of a draw
 
 
 def rank_by_score(scores: DataFrame, group: Sequence[str] = PERIOD, entity: str = "driver_id",
@@ -26,89 +28,107 @@ def rank_by_score(scores: DataFrame, group: Sequence[str] = PERIOD, entity: str
     return scores.withColumn("predicted_position", F.row_number().over(w).cast("bigint"))
 
 
+def fill_scores(scores: DataFrame, group: Sequence[str] = PERIOD, score: str = "score") -> DataFrame:
+    """Unknown scores take the largest known score of their group (0 when none is known)."""
+    top = scores.groupBy(*group).agg(F.max(score).alias("__top"))
+    return scores.join(top, list(group)).withColumn(
+        score, F.coalesce(F.col(score), F.col("__top"), F.lit(0.0))).drop("__top")
+
+
 def softmax_group(scores: DataFrame, temperature: float = 1.0, group: Sequence[str] = PERIOD,
                   score: str = "score", out: str = "p_win") -> DataFrame:
-    """Softmax of utilities -score/T within each group (shifted by the group max)."""
+    """Softmax of utilities -score/T within each group (shifted by the group max).
+
+    Group max and sum are folded aggregates joined back, so a large group is never one task."""
     if temperature <= 0:
         raise ValueError("temperature must be > 0")
-    wg = Window.partitionBy(*group)
-    u = -F.col(score) / F.lit(float(temperature))
-    df = scores.withColumn("__u", u)
-    df = df.withColumn("__e", F.exp(F.col("__u") - F.max("__u").over(wg)))
-    return df.withColumn(out, F.col("__e") / F.sum("__e").over(wg)).drop("__u", "__e")
+    group = list(group)
+    df = fill_scores(scores, group, score).withColumn("__u", -F.col(score) / F.lit(float(temperature)))
+    df = df.join(df.groupBy(*group).agg(F.max("__u").alias("__m")), group)
+    df = df.withColumn("__e", F.exp(F.col("__u") - F.col("__m")))
+    total = df.groupBy(*group).agg(F.sum("__e").alias("__s"))
+    return df.join(total, group).withColumn(out, F.col("__e") / F.col("__s")).drop("__u", "__m", "__e", "__s")
+
 
+def draw_constants(df: DataFrame, seed: str, group: Sequence[str], entity: str, name: str) -> DataFrame:
+    """Two 28-bit constants of (seed, group, entity), hashed once for all draws."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.concat_ws("-", *[F.col(g).cast("string") for g in group]),
+                          F.col(entity).cast("string")))
+    return df.withColumn("__h", h).withColumns({
+        f"{name}a": F.conv(F.substring("__h", 1, 7), 16, 10).cast("bigint") + 1,
+        f"{name}b": F.conv(F.substring("__h", 9, 7), 16, 10).cast("bigint") + 1}).drop("__h")
 
-def hash_uniform(*parts: Column | str) -> Column:
-    """Deterministic uniform in (0, 1) from the parts: (h + 0.5) / 2^32 with h the
-    first 32 bits of md5 of the '|'-joined parts (same value in any SQL engine)."""
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8), 16, 10)
-    return (h.cast("double") + 0.5) / F.lit(_TWO32)
 
+#: One draw from constants a, b and the sample number: steps (name, SQL) that both engines compute alike in 64 bits.
+DRAW_STEPS = [("x", f"({{a}} + {{t}} * 48271) % {M31}"), ("x", f"({{x}} * {{x}} + {{b}}) % {M31}"),
+              ("x", f"({{x}} * 69621 + {{t}}) % {M31}"), ("x", f"({{x}} * {{x}} + {{a}}) % {M31}"),
+              ("y", f"({{x}} * 16807 + {{b}} * 3) % {M31}"), ("y", f"({{y}} * {{y}} + {{x}}) % {M31}")]
+#: Uniform in (0, 1) with 52 bits from the last x and y.
+DRAW_UNIFORM = f"({{x}} * {LOW} + {{y}} % {LOW} + 0.5D) / {float(M31 * LOW)}D"
 
-def _group_key(group: Sequence[str]) -> Column:
-    return F.concat_ws("-", *[F.col(g).cast("string") for g in group])
+
+def uniform(df: DataFrame, name: str, sample: str, out: str) -> DataFrame:
+    """Column ``out``: uniform draw number ``sample`` of the constants ``name``."""
+    cols = {"a": f"{name}a", "b": f"{name}b", "t": sample, "x": f"{name}x", "y": f"{name}y"}
+    for step, sql in DRAW_STEPS:
+        df = df.withColumn(f"{name}{step}", F.expr(sql.format(**cols)))
+    return df.withColumn(out, F.expr(DRAW_UNIFORM.format(**cols))).drop(f"{name}x", f"{name}y")
 
 
 def rank_distribution(scores: DataFrame, samples: int = 5000, temperature: float = 1.0,
                       seed: int = 42, group: Sequence[str] = PERIOD, entity: str = "driver_id",
                       score: str = "score", withdraw_prob: str | None = None,
-                      dense: bool = True) -> DataFrame:
-    """P(entity finishes at position) for every group at once.
+                      dense: bool = True, block: int = 250) -> DataFrame:
+    """Draws and probability of (entity, position) for every group at once.
 
     Without ``withdraw_prob`` (D3) positions are bigint 1..n. With it (D4)
-    each entity is withdrawn in a draw when a second hash uniform is below its
+    each entity is withdrawn in a draw when a second uniform is below its
     probability; the others are ranked; positions are text '1'..'n' plus 'DNF'.
-    ``dense`` emits every (entity, position) pair including zero probabilities.
+    ``dense`` emits every (entity, position) pair including zeros: n * n rows a group,
+    so groups should be of bounded size; the comparisons need no dense grid.
     """
     if temperature <= 0:
         raise ValueError("temperature must be > 0")
     group = list(group)
-    base = scores.select(*group, entity, score, *([withdraw_prob] if withdraw_prob else []))
-    base = base.withColumn("__g", _group_key(group))
-    draws = base.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = hash_uniform(F.lit(seed), F.col("__g"), F.col("sample"), F.col(entity))
-    draws = draws.withColumn("__key", F.col(score) / F.lit(float(temperature)) + F.log(-F.log(u)))
+    base = fill_scores(scores.select(*group, entity, score, *([withdraw_prob] if withdraw_prob else [])), group, score)
+    drawn = draw_constants(base, str(seed), group, entity, "__k")
     if withdraw_prob:
-        u2 = hash_uniform(F.lit(f"{seed}:out"), F.col("__g"), F.col("sample"), F.col(entity))
-        draws = draws.withColumn("__out", u2 < F.coalesce(F.col(withdraw_prob), F.lit(0.0)))
-        ranked_in = draws.where(~F.col("__out"))
-    else:
-        ranked_in = draws
-    w = Window.partitionBy(*group, "sample").orderBy(F.col("__key"), F.col(entity))
-    ranked = ranked_in.select(*group, entity, F.row_number().over(w).cast("bigint").alias("position"))
-    counts = ranked.groupBy(*group, entity, "position").agg(F.count(F.lit(1)).alias("__c"))
+        drawn = draw_constants(drawn, f"{seed}:out", group, entity, "__w")
+    # a fixed number of partitions: few rows come in, ``block`` times as many are made of each
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = drawn.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // block)))) \
+        .repartition(parts, *group, "__block")
+    first = F.col("__block").cast("bigint") * block
+    draws = blocks.withColumn("__t", F.explode(F.sequence(first, F.least(first + block, F.lit(samples)) - 1)))
+    draws = uniform(draws, "__k", "__t", "__u")
+    draws = draws.withColumn("__key", F.col(score) / F.lit(float(temperature)) + F.log(-F.log("__u")))
+    w = Window.partitionBy(*group, "__block", "__t").orderBy("__key", entity)
     if withdraw_prob:
-        outs = (draws.where(F.col("__out")).groupBy(*group, entity)
-                .agg(F.count(F.lit(1)).alias("__c")).withColumn("position", F.lit("DNF")))
-        counts = counts.withColumn("position", F.col("position").cast("string")) \
-            .unionByName(outs.select(*group, entity, "position", "__c"))
+        draws = uniform(draws, "__w", "__t", "__v")
+        draws = draws.withColumn("__out", F.col("__v") < F.coalesce(F.col(withdraw_prob), F.lit(0.0)))
+        w = Window.partitionBy(*group, "__block", "__t", "__out").orderBy("__key", entity)
+        position = F.when(F.col("__out"), "DNF").otherwise(F.row_number().over(w).cast("string"))
+    else:
+        position = F.row_number().over(w).cast("bigint")
+    counts = draws.select(*group, entity, position.alias("position")) \
+        .groupBy(*group, entity, "position").agg(F.count(F.lit(1)).alias("draws"))
     if dense:
-        wn = Window.partitionBy(*group)
-        grid = base.select(*group, entity).withColumn("__n", F.count(F.lit(1)).over(wn))
-        grid = grid.withColumn("position", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                                F.col("__n").cast("bigint"))))
-        if withdraw_prob:
-            grid = grid.withColumn("position", F.col("position").cast("string"))
-            dnf_rows = base.select(*group, entity).withColumn("position", F.lit("DNF"))
-            grid = grid.drop("__n").unionByName(dnf_rows)
-        else:
-            grid = grid.drop("__n")
-        counts = grid.join(counts, group + [entity, "position"], "left")
-    return counts.select(*group, entity, "position",
-                         (F.coalesce(F.col("__c"), F.lit(0)) / F.lit(float(samples))).alias("probability"))
-
-
-def dense_matrix(dist: DataFrame, entities: DataFrame, group: Sequence[str] = PERIOD,
-                 entity: str = "driver_id") -> DataFrame:
-    """Every (entity, position 1..n) of a group, zeros filled, from sparse probabilities."""
+        counts = dense_matrix(counts, base, group, entity, withdrawn=bool(withdraw_prob))
+    return counts.withColumn("probability", F.col("draws") / F.lit(float(samples)))
+
+
+def dense_matrix(counts: DataFrame, entities: DataFrame, group: Sequence[str] = PERIOD,
+                 entity: str = "driver_id", withdrawn: bool = False) -> DataFrame:
+    """Every (entity, position 1..n) of a group (and 'DNF'), zeros filled, from sparse draw counts."""
     group = list(group)
-    wn = Window.partitionBy(*group)
-    grid = entities.select(*group, entity).distinct().withColumn("__n", F.count(F.lit(1)).over(wn))
-    grid = grid.withColumn("position", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n").cast("bigint"))))
-    sparse = dist.withColumn("position", F.col("position").cast("bigint"))
-    return (grid.drop("__n").join(sparse, group + [entity, "position"], "left")
-            .withColumn("probability", F.coalesce(F.col("probability"), F.lit(0.0))))
+    members = entities.select(*group, entity).distinct()
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    places = F.sequence(F.lit(1).cast("bigint"), F.col("__n"))
+    if withdrawn:
+        places = F.concat(F.transform(places, lambda p: p.cast("string")), F.array(F.lit("DNF")))
+    grid = members.join(sizes, group).withColumn("position", F.explode(places)).drop("__n")
+    return grid.join(counts, group + [entity, "position"], "left") \
+        .withColumn("draws", F.coalesce(F.col("draws"), F.lit(0).cast("bigint")))
 
 
 def parse_tags(tags: str | None) -> set[str]:

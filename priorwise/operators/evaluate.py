@@ -45,25 +45,54 @@ def eval_top(pred: DataFrame, actual: DataFrame, entity: str = "driver_id",
     return m.groupBy(*period).agg(*aggs)
 
 
-def eval_dist(dist: DataFrame, actual: DataFrame, entity: str = "driver_id",
-              actual_col: str = "qualifying_position", period: Sequence[str] = PERIOD,
-              with_dnf: bool = False) -> DataFrame:
-    """V5: per round mean probability assigned to the actual position.
-
-    ``with_dnf``: positions are text and the actual label is computed on the
-    actuals *before* joining (X8), so a missing actual never hits.
+def actual_hits(entities: DataFrame, counts: DataFrame, actual: DataFrame, entity: str = "driver_id",
+                actual_col: str = "qualifying_position", period: Sequence[str] = PERIOD,
+                with_dnf: bool = False, missing_is_dnf: bool = False) -> DataFrame:
+    """Each predicted entity with its actual position and the draws that put it there.
+
+    An actual position counts if it lies in 1..n of the group's n predicted entities, or is 'DNF'; a position
+    that was never drawn has 0 draws, so sparse counts say the same as a dense matrix would.
+    ``with_dnf``: positions are text (X8). ``missing_is_dnf``: an entity without an actual row counts as DNF
+    (the label is made after the left join); otherwise it has no actual.
     """
     period = list(period)
+    members = entities.select(*period, entity).distinct()
+    sizes = members.groupBy(*period).agg(F.count(F.lit(1)).alias("__n"))
+    cols = [actual_col, *(["dnf"] if with_dnf else [])]
+    act = actual.select(*period, entity, *cols, F.lit(1).alias("__there"))
+    m = members.join(sizes, period).join(act, period + [entity], "left")
+    number = F.col(actual_col).cast("bigint")
+    inside = number.between(1, F.col("__n"))
     if with_dnf:
-        act = actual.select(*period, entity, actual_position_label(actual_col).alias("__actual"))
-        pos = F.col("position").cast("string")
+        label = actual_position_label(actual_col)
+        there = F.lit(True) if missing_is_dnf else F.col("__there").isNotNull()
+        position = F.when(there & ((label == DNF) | inside), label)
     else:
-        act = actual.select(*period, entity, F.col(actual_col).cast("bigint").alias("__actual"))
-        pos = F.col("position").cast("bigint")
-    m = (dist.join(actual.select(*period).distinct(), period, "left_semi")
-         .join(act, period + [entity], "left"))
-    hit = pos == F.col("__actual")
-    return m.groupBy(*period).agg(F.avg(F.when(hit, F.col("probability"))).alias("avg_p_actual"))
+        position = F.when(inside, number)
+    m = m.select(*period, entity, position.alias("position"))
+    return m.join(counts.select(*period, entity, "position", "draws"), period + [entity, "position"], "left") \
+        .select(*period, entity, F.col("position").alias("actual_position"),
+                F.when(F.col("position").isNotNull(), F.coalesce(F.col("draws"), F.lit(0))).alias("draws"))
+
+
+def mean_probability(hits: DataFrame, samples: int, period: Sequence[str] = PERIOD) -> DataFrame:
+    """Per group: entities with an actual position, and the mean probability put on it (from whole counts)."""
+    n = F.count("actual_position")
+    return hits.groupBy(*period).agg(
+        n.alias("hits"), (F.sum("draws") / F.when(n > 0, n * F.lit(float(samples)))).alias("avg_p_actual"))
+
+
+def eval_dist(entities: DataFrame, counts: DataFrame, actual: DataFrame, samples: int, entity: str = "driver_id",
+              actual_col: str = "qualifying_position", period: Sequence[str] = PERIOD,
+              with_dnf: bool = False) -> DataFrame:
+    """V5: per round mean probability assigned to the actual position; rounds without actual rows are skipped.
+
+    ``with_dnf``: the actual label is computed on the actuals *before* joining (X8),
+    so a missing actual never counts.
+    """
+    played = entities.join(actual.select(*period).distinct(), list(period), "left_semi")
+    hits = actual_hits(played, counts, actual, entity, actual_col, period, with_dnf)
+    return mean_probability(hits, samples, period).select(*period, "avg_p_actual")
 
 
 def eval_range_summary(top_rounds: DataFrame, dist_rounds: DataFrame | None = None,
@@ -109,27 +138,16 @@ def compare_top_summary(detail: DataFrame, period: Sequence[str] = PERIOD) -> Da
     )
 
 
-def compare_dist(dist: DataFrame, actual: DataFrame, entity: str = "driver_id",
-                 actual_col: str = "qualifying_position", period: Sequence[str] = PERIOD) -> DataFrame:
-    """V2: hits = (entity, position) equal to the actual; mean probability at the actual."""
-    period = list(period)
-    act = actual.select(*period, entity, F.col(actual_col).cast("bigint").alias("position"))
-    hits = dist.withColumn("position", F.col("position").cast("bigint")).join(act, period + [entity, "position"])
-    return hits.groupBy(*period).agg(F.count(F.lit(1)).alias("hits"),
-                                     F.avg("probability").alias("avg_p_actual"))
-
-
-def compare_dist_dnf(dist: DataFrame, actual: DataFrame, entity: str = "driver_id",
-                     period: Sequence[str] = PERIOD) -> DataFrame:
-    """V3: label computed *after* a left join, so an entity without an actual counts as DNF."""
-    period = list(period)
-    act = actual.select(*period, entity, "finish_position", "dnf")
-    m = dist.join(act, period + [entity], "left")
-    m = m.withColumn("actual_pos", actual_position_label())
-    hit = F.col("position").cast("string") == F.col("actual_pos")
-    return m.groupBy(*period).agg(
-        F.count(F.when(hit, 1)).alias("hits"),
-        F.avg(F.when(hit, F.col("probability"))).alias("avg_p_actual"))
+def compare_dist(entities: DataFrame, counts: DataFrame, actual: DataFrame, samples: int,
+                 entity: str = "driver_id", actual_col: str = "qualifying_position",
+                 period: Sequence[str] = PERIOD, with_dnf: bool = False) -> tuple[DataFrame, DataFrame]:
+    """V2 / V3: (detail, summary). The detail has each entity with an actual position and its probability, the
+    summary the number of these and the mean. V3 (``with_dnf``) labels after a left join, so an entity
+    without an actual counts as DNF."""
+    hits = actual_hits(entities, counts, actual, entity, actual_col, period, with_dnf, missing_is_dnf=with_dnf)
+    hits = hits.where(F.col("actual_position").isNotNull())
+    detail = hits.withColumn("probability", F.col("draws") / F.lit(float(samples)))
+    return detail, mean_probability(hits, samples, period)
 
 
 def coverage(calendar: DataFrame, results: DataFrame) -> DataFrame:
@@ -158,18 +176,17 @@ def coverage_summary(cov: DataFrame) -> DataFrame:
 
 
 def latest_round(per_dataset: Sequence[DataFrame]) -> DataFrame:
-    """V8: latest (season, round) available across datasets; default round 1.
+    """V8: latest (season, round) available across datasets; round 1 of an unknown season when there is none.
 
     Each input carries (season, round); the latest season overall is taken
     and the highest round seen in it in any dataset.
     """
     u = None
-    for i, d in enumerate(per_dataset):
+    for d in per_dataset:
         part = d.select("season", "round").groupBy("season").agg(F.max("round").alias("round"))
         u = part if u is None else u.unionByName(part)
-    top = u.agg(F.max("season").alias("season"))
-    return (u.join(top, "season").groupBy("season")
-            .agg(F.coalesce(F.max("round"), F.lit(1)).alias("round")))
+    best = u.agg(F.max(F.struct("season", "round")).alias("b"))  # always one row
+    return best.select("b.season", F.coalesce("b.round", F.lit(1)).alias("round"))
 
 
 def weekend_info(weekends: DataFrame, season: int, round_: int) -> DataFrame:
@@ -212,26 +229,29 @@ def rank_corr(pred: DataFrame, actual: DataFrame, entity: str = "driver_id",
     return st.join(c, period, "left").select(*period, "spearman", "n")
 
 
-def brier_topk(dist: DataFrame, actual: DataFrame, k: int, entity: str = "driver_id",
-               actual_col: str = "finish_position", period: Sequence[str] = PERIOD,
-               samples: int | None = None) -> DataFrame:
-    """V11 Brier score of P(position <= k) per round, from a position distribution.
-
-    With ``samples`` (sampled distributions, probabilities = count / samples)
-    the score is computed on integer counts, so it is exact."""
+def brier(counts: DataFrame, actual: DataFrame, samples: int, out: str, drawn: Column, happened: Column,
+          entity: str = "driver_id", period: Sequence[str] = PERIOD) -> DataFrame:
+    """V11 Brier score of an event per round: ``drawn`` says which drawn positions are the event,
+    ``happened`` whether it came true. Computed on whole draw counts, so the sum is exact."""
     period = list(period)
-    p = (dist.where(F.col("position").cast("string").rlike("^[0-9]+$"))
-         .withColumn("__pos", F.col("position").cast("bigint")))
-    pk = p.groupBy(*period, entity).agg(F.sum(F.when(F.col("__pos") <= k, F.col("probability"))
-                                              .otherwise(0.0)).alias("__p"))
-    act = actual.select(*period, entity,
-                        F.when(F.col(actual_col) <= k, 1.0).otherwise(0.0).alias("__y"))
-    m = pk.join(act, period + [entity], "left").fillna(0.0, subset=["__y"])
-    if samples:
-        d = F.round(F.col("__p") * samples).cast("bigint") - (F.col("__y") * samples).cast("bigint")
-        return m.groupBy(*period).agg(
-            (F.sum(d * d) / (F.count(F.lit(1)) * float(samples) ** 2)).alias(f"brier_top{k}"))
-    return m.groupBy(*period).agg(F.avg((F.col("__p") - F.col("__y")) ** 2).alias(f"brier_top{k}"))
+    p = counts.groupBy(*period, entity).agg(F.sum(F.when(drawn, F.col("draws")).otherwise(0)).alias("__c"))
+    y = actual.select(*period, entity, F.when(happened, F.lit(samples)).otherwise(0).alias("__y"))
+    d = F.col("__c") - F.coalesce(F.col("__y"), F.lit(0))
+    return p.join(y, period + [entity], "left").groupBy(*period).agg(
+        (F.sum(d * d) / (F.count(F.lit(1)) * F.lit(float(samples) ** 2))).alias(out))
+
+
+def brier_topk(counts: DataFrame, actual: DataFrame, k: int, samples: int, entity: str = "driver_id",
+               actual_col: str = "finish_position", period: Sequence[str] = PERIOD) -> DataFrame:
+    """V11 Brier score of P(position <= k) per round."""
+    return brier(counts, actual, samples, f"brier_top{k}", F.col("position").try_cast("bigint") <= k,
+                 F.col(actual_col) <= k, entity, period)
+
+
+def brier_dnf(counts: DataFrame, actual: DataFrame, samples: int, entity: str = "driver_id",
+              period: Sequence[str] = PERIOD) -> DataFrame:
+    """V11 Brier score of the withdrawal probability per round."""
+    return brier(counts, actual, samples, "brier_dnf", F.col("position") == DNF, F.col("dnf") == 1, entity, period)
 
 
 def log_loss(dist: DataFrame, actual: DataFrame, entity: str = "driver_id",

@@ -58,11 +58,11 @@ def rank_fallback(results: DataFrame, session: Sequence[str] = SESSION) -> DataF
     """When no row of a session has a position and some have a best lap,
     positions become the competition rank of the best lap (ties share the
     lowest rank; NULL laps stay unranked)."""
-    ws = Window.partitionBy(*session)
+    known = results.groupBy(*session).agg((F.count("position") == 0).alias("__none"))
     wr = Window.partitionBy(*session).orderBy(F.col("best_lap_time_ms").asc_nulls_last())
-    fallback = (F.count("position").over(ws) == 0) & (F.count("best_lap_time_ms").over(ws) > 0)
     ranked = F.when(F.col("best_lap_time_ms").isNotNull(), F.rank().over(wr))
-    return results.withColumn("position", F.when(fallback, ranked).otherwise(F.col("position")).cast("bigint"))
+    return results.join(known, list(session)).withColumn(
+        "position", F.when(F.col("__none"), ranked).otherwise(F.col("position")).cast("bigint")).drop("__none")
 
 
 def dedupe_best(results: DataFrame, session: Sequence[str] = SESSION) -> DataFrame:
@@ -106,15 +106,16 @@ def practice_rank_gap_z(agg: DataFrame, value: str = "practice_best_ms",
                         period: Sequence[str] = ("season", "round")) -> DataFrame:
     """Within-round rank (min method), gap to the best and z-score with the
     sample std; z = 0.0 for everyone when the std is NULL or 0."""
-    wp = Window.partitionBy(*period)
+    stats = agg.groupBy(*period).agg(F.min(value).alias("__min"), F.avg(value).alias("__avg"),
+                                     F.stddev_samp(value).alias("__std"))
     wr = Window.partitionBy(*period).orderBy(F.col(value).asc_nulls_last())
-    std = F.stddev_samp(value).over(wp)
-    z = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise((F.col(value) - F.avg(value).over(wp)) / std)
-    return agg.withColumns({
+    std = F.col("__std")
+    z = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise((F.col(value) - F.col("__avg")) / std)
+    return agg.join(stats, list(period)).withColumns({
         "practice_rank": F.when(F.col(value).isNotNull(), F.rank().over(wr)).cast("bigint"),
-        "practice_gap_to_best_ms": F.col(value) - F.min(value).over(wp),
+        "practice_gap_to_best_ms": F.col(value) - F.col("__min"),
         "practice_z": z,
-    })
+    }).drop("__min", "__avg", "__std")
 
 
 def preferred_session(df: DataFrame, period: Sequence[str] = ("season", "round"),

@@ -23,8 +23,7 @@ def dedupe_first(entries: DataFrame, keys: Sequence[str] = ("season", "round", "
 
 
 def _calendar(weekends: DataFrame) -> DataFrame:
-    # one row per period: bounded by the calendar, so broadcast is safe
-    return F.broadcast(weekends.select(*[c for c in CALENDAR_COLS if c in weekends.columns]))
+    return weekends.select(*[c for c in CALENDAR_COLS if c in weekends.columns])
 
 
 def entries_carry_forward(drivers: DataFrame, prev_results: DataFrame, weekends: DataFrame) -> DataFrame:

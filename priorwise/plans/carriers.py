@@ -16,7 +16,7 @@ K2 weekends  one row per (season, round) of orders; circuit = (5*round + season)
 K3 entries   K1 pairs minus (driver + round) % 17 = 0, plus one entry-only
              driver (-round) per weekend
 K4 laps      events: driver = user_id, season = 1995 + day % 7, round = hour % 12 + 1,
-             click/view/signup -> FP1/FP2/FP3, lap ms = value * 1000
+             click, purchase -> FP1; view, error -> FP2; signup -> FP3; lap ms = value * 1000
 K8 predictions  score = season-prior mean qualifying position (F3)
 K9 sprint    K1 rows with round % 4 = 0, finish by quantity asc
 """
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from priorwise.session import scratch_path
 from priorwise.sources.tables import table
 
 # Fixed values of the carrier definitions.
@@ -37,7 +38,34 @@ STREET_CIRCUITS = (0, 1)
 PERMANENT_CIRCUITS = (2, 3)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A carrier as a season-partitioned canonical table in the shared folder, written once a session.
+
+    Features, training frames and scores read the table: seasons prune, and the input tables are scanned once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        root = scratch_path(spark, f"canonical-{name}")
+        df = build()
+        df.write.partitionBy("season").parquet(root)
+        _STORED[key] = root
+    df = spark.read.parquet(_STORED[key])
+    return df.select("season", *[c for c in df.columns if c != "season"])
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the stored table of per (season, round, driver) results."""
+    return stored(spark, sf_dir, "results", lambda: build_results(spark, sf_dir))
+
+
+def weekends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the stored calendar."""
+    return stored(spark, sf_dir, "weekends", lambda: build_weekends(spark, sf_dir))
+
+
+def build_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: per (season, round, driver) results from lineitem joined to orders."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
@@ -68,7 +96,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("qualifying_position").alias("grid_position"), "finish_position", "dnf", "rev", "qty")
 
 
-def weekends(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_weekends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: one row per (season, round) with weekend id, circuit and dates."""
     od = table(spark, sf_dir, "orders").select("o_orderdate")
     wk = od.groupBy(
@@ -94,7 +122,7 @@ def track_types(spark: SparkSession) -> DataFrame:
 
 def weekend_track_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping by weekend id (the ``by_weekend_id`` shape) derived from K2."""
-    return (weekends(spark, sf_dir).join(F.broadcast(track_types(spark)), "circuit_id")
+    return (weekends(spark, sf_dir).join(track_types(spark), "circuit_id")
             .select("weekend_id", "track_type"))
 
 
@@ -110,18 +138,17 @@ def entries(spark: SparkSession, sf_dir: str, k1: DataFrame | None = None,
         (F.col("round") % N_GROUPS).cast("bigint").alias("constructor_id"))
     pairs = from_results.unionByName(entry_only)
     wk = k2.select("season", "round", "circuit_id", "race_date")
-    # one row per weekend: the calendar is bounded (rounds x seasons), broadcast is safe
-    return pairs.join(F.broadcast(wk), ["season", "round"])
+    return pairs.join(wk, ["season", "round"])
 
 
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: lap rows per (round, session, driver); null lap every 13th event, in/out laps when k % 10 = 0."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "signup"))
+    ev = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").try_cast("int")
     return ev.select(
         (F.lit(1995) + F.dayofmonth("ts") % 7).cast("int").alias("season"),
         (F.hour("ts") % 12 + 1).cast("int").alias("round"),
-        F.when(F.col("event_type") == "click", "FP1").when(F.col("event_type") == "view", "FP2")
+        F.when(F.col("event_type").isin("click", "purchase"), "FP1").when(F.col("event_type").isin("view", "error"), "FP2")
          .otherwise("FP3").alias("session_type"),
         F.col("user_id").alias("driver_id"),
         F.col("event_id"),
@@ -224,12 +251,13 @@ K4_SQL = """
 k4 AS (
   SELECT CAST(1995 + dayofmonth(ts) % 7 AS INTEGER) AS season,
          CAST(hour(ts) % 12 + 1 AS INTEGER) AS round,
-         CASE WHEN event_type = 'click' THEN 'FP1' WHEN event_type = 'view' THEN 'FP2' ELSE 'FP3' END
+         CASE WHEN event_type IN ('click', 'purchase') THEN 'FP1' WHEN event_type IN ('view', 'error') THEN 'FP2'
+              ELSE 'FP3' END
            AS session_type,
          user_id AS driver_id, event_id,
          CASE WHEN event_id % 13 <> 0 THEN value * 1000 END AS lap_time_ms,
          (TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0) AS in_out
-  FROM events WHERE event_type IN ('click', 'view', 'signup')
+  FROM events
 )"""
 
 K4S_SQL = """

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorwise.functions.schema import enforce
-from priorwise.operators.asof import Agg, leave_one_out_delta, prior_stats
+from priorwise.operators.asof import Agg, group_prior_stats, leave_one_out_delta, prior_stats
 from priorwise.plans import carriers as K
-from priorwise.plans.registry import r6
 
 F3_COLS = ["driver_season_quali_count_prior", "driver_q_avg_pos_season_prior",
            "driver_q_med_pos_season_prior", "driver_q_best_pos_season_prior",
@@ -33,7 +32,7 @@ F11_COLS = ["driver_finish_minus_grid_avg_season_prior", "driver_finish_minus_gr
 
 Q = "qualifying_position"
 
-# The 40-column baseline contract, in order (name, Spark type).
+# The 40-column baseline contract, in order (name, Spark type).
 BASELINE_CONTRACT = [
     ("season", "bigint"), ("round", "bigint"), ("weekend_id", "string"), ("race_name", "string"),
     ("circuit_id", "bigint"), ("race_date", "string"), ("driver_id", "bigint"),
@@ -65,28 +64,25 @@ BASELINE_CONTRACT = [
 # F1 / F2: spine joins
 # ---------------------------------------------------------------------------
 def attach_weekend(spine: DataFrame, weekends: DataFrame) -> DataFrame:
-    """spine left-joined to weekends on (season, round, circuit, race_date) -> weekend_id.
-
-    The calendar has one row per period, so it is broadcast (bounded by
-    seasons x rounds, independent of the fact volume)."""
+    """spine left-joined to weekends on (season, round, circuit, race_date) -> weekend_id."""
     wk = weekends.select("season", "round", "circuit_id", "race_date", "weekend_id", "race_name")
-    return spine.join(F.broadcast(wk), ["season", "round", "circuit_id", "race_date"], "left")
+    return spine.join(wk, ["season", "round", "circuit_id", "race_date"], "left")
 
 
 def attach_track_type(spine: DataFrame, mapping: DataFrame) -> DataFrame:
     """track type by weekend id, or by (season, round) when the mapping has those keys."""
     if "weekend_id" in mapping.columns:
         m = mapping.select("weekend_id", "track_type").dropDuplicates(["weekend_id"])
-        return spine.join(F.broadcast(m), "weekend_id", "left")
+        return spine.join(m, "weekend_id", "left")
     m = mapping.select("season", "round", "track_type").dropDuplicates(["season", "round"])
-    return spine.join(F.broadcast(m), ["season", "round"], "left")
+    return spine.join(m, ["season", "round"], "left")
 
 
 def with_context(facts: DataFrame, weekends: DataFrame, mapping: DataFrame) -> DataFrame:
     """Facts with circuit, weekend id and track type (for the track-scope priors)."""
     wk = weekends.select("season", "round", "circuit_id", "weekend_id")
     cols = [c for c in facts.columns if c not in ("circuit_id", "weekend_id")]
-    out = facts.select(*cols).join(F.broadcast(wk), ["season", "round"])
+    out = facts.select(*cols).join(wk, ["season", "round"])
     return attach_track_type(out, mapping)
 
 
@@ -124,25 +120,24 @@ def entity_season_form(sp: DataFrame, facts: DataFrame) -> DataFrame:
         Agg("driver_q_best_pos_season_prior", "min", Q, "bigint"),
         Agg("driver_q_worst_pos_season_prior", "max", Q, "bigint"),
     ], scope="season")
-    return out.withColumns({c: r6(c) for c in ["driver_q_avg_pos_season_prior", "driver_q_med_pos_season_prior"]})
+    return out
 
 
-def group_season_form(sp: DataFrame, facts: DataFrame) -> DataFrame:
+def group_season_form(sp: DataFrame, facts: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """constructor season form over all its cars (pre-aggregated per period)."""
-    out = prior_stats(sp, facts, ["constructor_id"], [
+    out = group_prior_stats(sp, facts, ["constructor_id"], [
         Agg("constructor_season_quali_count_prior", "count", Q),
         Agg("constructor_q_avg_pos_season_prior", "avg", Q),
         Agg("constructor_q_best_pos_season_prior", "min", Q, "bigint"),
-    ], scope="season")
-    return out.withColumn("constructor_q_avg_pos_season_prior", r6("constructor_q_avg_pos_season_prior"))
+    ], scope="season", base=base if base is not None else sp)
+    return out
 
 
-def teammate_delta(sp: DataFrame, facts: DataFrame) -> DataFrame:
+def teammate_delta(sp: DataFrame, facts: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """leave-one-out teammate delta of season-prior qualifying means."""
     out = leave_one_out_delta(sp, facts, "constructor_id", "driver_id", Q,
-                              "driver_vs_teammate_q_avg_delta_season_prior")
-    return out.withColumn("driver_vs_teammate_q_avg_delta_season_prior",
-                          r6("driver_vs_teammate_q_avg_delta_season_prior"))
+                              "driver_vs_teammate_q_avg_delta_season_prior", base)
+    return out
 
 
 def reliability(sp: DataFrame, race_facts: DataFrame) -> DataFrame:
@@ -154,8 +149,8 @@ def reliability(sp: DataFrame, race_facts: DataFrame) -> DataFrame:
     dnfs = F.coalesce(F.col("__dnfs"), F.lit(0)).cast("bigint")
     return out.withColumns({
         "driver_season_dnfs_prior": dnfs,
-        "driver_season_dnf_rate_prior": r6(F.col("__dnfs") / F.when(
-            F.col("driver_season_race_starts_prior") > 0, F.col("driver_season_race_starts_prior"))),
+        "driver_season_dnf_rate_prior": F.col("__dnfs") / F.when(
+            F.col("driver_season_race_starts_prior") > 0, F.col("driver_season_race_starts_prior")),
     }).drop("__dnfs")
 
 
@@ -164,40 +159,37 @@ def career_form(sp: DataFrame, facts: DataFrame) -> DataFrame:
     out = prior_stats(sp, facts, ["driver_id"], [
         Agg("driver_career_quali_count_prior", "count", Q),
         Agg("driver_q_avg_pos_career_prior", "avg", Q)], scope="career")
-    out = prior_stats(out, facts, ["constructor_id"], [
+    out = group_prior_stats(out, facts, ["constructor_id"], [
         Agg("constructor_career_quali_count_prior", "count", Q),
-        Agg("constructor_q_avg_pos_career_prior", "avg", Q)], scope="career")
-    return out.withColumns({c: r6(c) for c in ["driver_q_avg_pos_career_prior",
-                                               "constructor_q_avg_pos_career_prior"]})
+        Agg("constructor_q_avg_pos_career_prior", "avg", Q)], scope="career", base=sp)
+    return out
 
 
-def circuit_form(sp: DataFrame, facts: DataFrame, who: str = "both") -> DataFrame:
+def circuit_form(sp: DataFrame, facts: DataFrame, who: str = "both", base: DataFrame | None = None) -> DataFrame:
     """F8: (entity, circuit) and (group, circuit) priors over earlier periods."""
     out = sp
     if who in ("driver", "both"):
         out = prior_stats(out, facts, ["driver_id", "circuit_id"], [
             Agg("driver_q_count_at_circuit_prior", "count", Q),
             Agg("driver_q_avg_pos_at_circuit_prior", "avg", Q)], scope="track")
-        out = out.withColumn("driver_q_avg_pos_at_circuit_prior", r6("driver_q_avg_pos_at_circuit_prior"))
     if who in ("constructor", "both"):
-        out = prior_stats(out, facts, ["constructor_id", "circuit_id"], [
+        out = group_prior_stats(out, facts, ["constructor_id", "circuit_id"], [
             Agg("constructor_q_count_at_circuit_prior", "count", Q),
-            Agg("constructor_q_avg_pos_at_circuit_prior", "avg", Q)], scope="track")
-        out = out.withColumn("constructor_q_avg_pos_at_circuit_prior",
-                             r6("constructor_q_avg_pos_at_circuit_prior"))
+            Agg("constructor_q_avg_pos_at_circuit_prior", "avg", Q)], scope="track",
+            base=base if base is not None else sp)
     return out
 
 
-def track_type_form(sp: DataFrame, facts: DataFrame) -> DataFrame:
+def track_type_form(sp: DataFrame, facts: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """(entity, type) and (group, type) priors; 0 / null when the type is unknown."""
     out = prior_stats(sp, facts, ["driver_id", "track_type"], [
         Agg("driver_q_count_at_track_type_prior", "count", Q),
         Agg("driver_q_avg_pos_at_track_type_prior", "avg", Q)], scope="track")
-    out = prior_stats(out, facts, ["constructor_id", "track_type"], [
+    out = group_prior_stats(out, facts, ["constructor_id", "track_type"], [
         Agg("constructor_q_count_at_track_type_prior", "count", Q),
-        Agg("constructor_q_avg_pos_at_track_type_prior", "avg", Q)], scope="track")
-    return out.withColumns({c: r6(c) for c in ["driver_q_avg_pos_at_track_type_prior",
-                                               "constructor_q_avg_pos_at_track_type_prior"]})
+        Agg("constructor_q_avg_pos_at_track_type_prior", "avg", Q)], scope="track",
+        base=base if base is not None else sp)
+    return out
 
 
 def tenure(sp: DataFrame, entries: DataFrame) -> DataFrame:
@@ -214,8 +206,7 @@ def finish_minus_grid(sp: DataFrame, facts: DataFrame) -> DataFrame:
     out = prior_stats(out, facts, ["driver_id"], [
         Agg("driver_finish_minus_grid_avg_career_prior", "avg", "fmg"),
         Agg("driver_finish_minus_grid_count_career_prior", "count", "fmg")], scope="career")
-    return out.withColumns({c: r6(c) for c in ["driver_finish_minus_grid_avg_season_prior",
-                                               "driver_finish_minus_grid_avg_career_prior"]})
+    return out
 
 
 def build_baseline(sp: DataFrame, facts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -240,28 +231,32 @@ def build_baseline(sp: DataFrame, facts: DataFrame, entries: DataFrame) -> DataF
         "driver_season_dnf_rate_prior": F.col("__dnfs") / F.when(
             F.col("driver_season_race_starts_prior") > 0, F.col("driver_season_race_starts_prior")),
     }).drop("__dnfs")
-    out = group_season_form(out, facts)
+    out = group_season_form(out, facts, sp)
     out = prior_stats(out, facts, ["driver_id"], [
         Agg("driver_career_quali_count_prior", "count", Q),
         Agg("driver_q_avg_pos_career_prior", "avg", Q),
         Agg("driver_finish_minus_grid_avg_career_prior", "avg", "fmg"),
         Agg("driver_finish_minus_grid_count_career_prior", "count", "fmg")], scope="career")
-    out = prior_stats(out, facts, ["constructor_id"], [
+    out = group_prior_stats(out, facts, ["constructor_id"], [
         Agg("constructor_career_quali_count_prior", "count", Q),
-        Agg("constructor_q_avg_pos_career_prior", "avg", Q)], scope="career")
-    out = circuit_form(out, facts)
-    out = track_type_form(out, facts)
+        Agg("constructor_q_avg_pos_career_prior", "avg", Q)], scope="career", base=sp)
+    out = circuit_form(out, facts, base=sp)
+    out = track_type_form(out, facts, sp)
     out = tenure(out, entries)
-    out = teammate_delta(out, facts)
+    out = teammate_delta(out, facts, sp)
     out = out.withColumns({"checkpoint": F.lit("baseline"), "session_type": F.lit("Q")})
-    doubles = [n for n, t in BASELINE_CONTRACT if t == "double"]
-    out = out.withColumns({c: r6(c) for c in doubles})
     return enforce(out, BASELINE_CONTRACT)
 
 
 def features_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    sp, facts = baseline_inputs(spark, sf)
-    return build_baseline(sp, facts, K.entries(spark, sf))
+    """F12 as a stored, season-partitioned table: training and scoring frames read it with pruning."""
+
+    def build() -> DataFrame:
+        sp, facts = baseline_inputs(spark, sf)
+        # the entries are the spine's own rows: no second scan of the carriers
+        return build_baseline(sp, facts, sp.select("season", "round", "driver_id", "constructor_id"))
+
+    return enforce(K.stored(spark, sf, "features_baseline", build), BASELINE_CONTRACT)
 
 
 # ---------------------------------------------------------------------------

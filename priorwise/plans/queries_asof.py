@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.operators.asof import Agg
 from priorwise.plans import carriers as K
 from priorwise.plans import features as FT
 from priorwise.plans.carriers import with_carriers
-from priorwise.plans.registry import big, r6, register
+from priorwise.plans.registry import big, register, rounded, rounded_sql
 
 KEYS = ["season", "round", "driver_id"]
 
@@ -51,8 +50,8 @@ CTE_F3 = f""",
 f3 AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.qualifying_position) AS driver_season_quali_count_prior,
-         round(avg(f.qualifying_position), 6) AS driver_q_avg_pos_season_prior,
-         round(quantile_cont(f.qualifying_position, 0.5), 6) AS driver_q_med_pos_season_prior,
+         avg(f.qualifying_position) AS driver_q_avg_pos_season_prior,
+         quantile_cont(f.qualifying_position, 0.5) AS driver_q_med_pos_season_prior,
          min(f.qualifying_position) AS driver_q_best_pos_season_prior,
          max(f.qualifying_position) AS driver_q_worst_pos_season_prior
   FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND {SP_PRIOR}
@@ -63,7 +62,7 @@ CTE_F4 = f""",
 f4 AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.qualifying_position) AS constructor_season_quali_count_prior,
-         round(avg(f.qualifying_position), 6) AS constructor_q_avg_pos_season_prior,
+         avg(f.qualifying_position) AS constructor_q_avg_pos_season_prior,
          min(f.qualifying_position) AS constructor_q_best_pos_season_prior
   FROM sp s LEFT JOIN kf f ON f.constructor_id = s.constructor_id AND {SP_PRIOR}
   GROUP BY 1, 2, 3
@@ -81,7 +80,7 @@ f5_tot AS (
 ),
 f5 AS (
   SELECT s.season, s.round, s.driver_id,
-         round(p.m - (t.tot - p.m) / CASE WHEN t.cnt > 1 THEN t.cnt - 1 END, 6)
+         p.m - (t.tot - p.m) / CASE WHEN t.cnt > 1 THEN t.cnt - 1 END
            AS driver_vs_teammate_q_avg_delta_season_prior
   FROM sp s
   LEFT JOIN f5_pm p ON p.season = s.season AND p.round = s.round
@@ -94,7 +93,7 @@ f6 AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.driver_id) AS driver_season_race_starts_prior,
          CAST(coalesce(sum(f.dnf), 0) AS BIGINT) AS driver_season_dnfs_prior,
-         round(CAST(sum(f.dnf) AS DOUBLE) / nullif(count(f.driver_id), 0), 6) AS driver_season_dnf_rate_prior
+         CAST(sum(f.dnf) AS DOUBLE) / nullif(count(f.driver_id), 0) AS driver_season_dnf_rate_prior
   FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND {SP_PRIOR}
   GROUP BY 1, 2, 3
 )"""
@@ -103,14 +102,14 @@ CTE_F7 = """,
 f7d AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.qualifying_position) AS driver_career_quali_count_prior,
-         round(avg(f.qualifying_position), 6) AS driver_q_avg_pos_career_prior
+         avg(f.qualifying_position) AS driver_q_avg_pos_career_prior
   FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND f.season < s.season
   GROUP BY 1, 2, 3
 ),
 f7c AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.qualifying_position) AS constructor_career_quali_count_prior,
-         round(avg(f.qualifying_position), 6) AS constructor_q_avg_pos_career_prior
+         avg(f.qualifying_position) AS constructor_q_avg_pos_career_prior
   FROM sp s LEFT JOIN kf f ON f.constructor_id = s.constructor_id AND f.season < s.season
   GROUP BY 1, 2, 3
 ),
@@ -123,14 +122,14 @@ CTE_F8 = f""",
 f8d AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.qualifying_position) AS driver_q_count_at_circuit_prior,
-         round(avg(f.qualifying_position), 6) AS driver_q_avg_pos_at_circuit_prior
+         avg(f.qualifying_position) AS driver_q_avg_pos_at_circuit_prior
   FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND f.circuit_id = s.circuit_id AND {TP_PRIOR}
   GROUP BY 1, 2, 3
 ),
 f8c AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.qualifying_position) AS constructor_q_count_at_circuit_prior,
-         round(avg(f.qualifying_position), 6) AS constructor_q_avg_pos_at_circuit_prior
+         avg(f.qualifying_position) AS constructor_q_avg_pos_at_circuit_prior
   FROM sp s LEFT JOIN kf f ON f.constructor_id = s.constructor_id AND f.circuit_id = s.circuit_id
                           AND {TP_PRIOR}
   GROUP BY 1, 2, 3
@@ -140,14 +139,14 @@ CTE_F9 = f""",
 f9d AS (
   SELECT s.season, s.round, s.driver_id, s.track_type,
          count(f.qualifying_position) AS driver_q_count_at_track_type_prior,
-         round(avg(f.qualifying_position), 6) AS driver_q_avg_pos_at_track_type_prior
+         avg(f.qualifying_position) AS driver_q_avg_pos_at_track_type_prior
   FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND f.track_type = s.track_type AND {TP_PRIOR}
   GROUP BY 1, 2, 3, 4
 ),
 f9c AS (
   SELECT s.season, s.round, s.driver_id,
          count(f.qualifying_position) AS constructor_q_count_at_track_type_prior,
-         round(avg(f.qualifying_position), 6) AS constructor_q_avg_pos_at_track_type_prior
+         avg(f.qualifying_position) AS constructor_q_avg_pos_at_track_type_prior
   FROM sp s LEFT JOIN kf f ON f.constructor_id = s.constructor_id AND f.track_type = s.track_type
                           AND {TP_PRIOR}
   GROUP BY 1, 2, 3
@@ -165,14 +164,14 @@ f10 AS (
 CTE_F11 = f""",
 f11s AS (
   SELECT s.season, s.round, s.driver_id,
-         round(avg(f.fmg), 6) AS driver_finish_minus_grid_avg_season_prior,
+         avg(f.fmg) AS driver_finish_minus_grid_avg_season_prior,
          count(f.fmg) AS driver_finish_minus_grid_count_season_prior
   FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND {SP_PRIOR}
   GROUP BY 1, 2, 3
 ),
 f11c AS (
   SELECT s.season, s.round, s.driver_id,
-         round(avg(f.fmg), 6) AS driver_finish_minus_grid_avg_career_prior,
+         avg(f.fmg) AS driver_finish_minus_grid_avg_career_prior,
          count(f.fmg) AS driver_finish_minus_grid_count_career_prior
   FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND f.season < s.season
   GROUP BY 1, 2, 3
@@ -209,77 +208,86 @@ def q_track_type_join(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # F3 - F11
 # ---------------------------------------------------------------------------
-@register("asof_entity_season", _sql(CTE_F3, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f3"))
+@register("asof_entity_season", _sql(CTE_F3, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(driver_q_avg_pos_season_prior, 6) AS driver_q_avg_pos_season_prior, round(driver_q_med_pos_season_prior, 6) AS driver_q_med_pos_season_prior)
+FROM f3"""))
 def q_asof_entity_season(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.entity_season_form(sp, facts)
-    return out.select(*_keys_out(out), *FT.F3_COLS)
+    return rounded(out.select(*_keys_out(out), *FT.F3_COLS))
 
 
-@register("asof_group_season", _sql(CTE_F4, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f4"))
+@register("asof_group_season", _sql(CTE_F4, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(constructor_q_avg_pos_season_prior, 6) AS constructor_q_avg_pos_season_prior)
+FROM f4"""))
 def q_asof_group_season(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.group_season_form(sp, facts)
-    return out.select(*_keys_out(out), *FT.F4_COLS)
+    return rounded(out.select(*_keys_out(out), *FT.F4_COLS))
 
 
-@register("asof_teammate_delta", _sql(CTE_F5, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f5"))
+@register("asof_teammate_delta", _sql(CTE_F5, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(driver_vs_teammate_q_avg_delta_season_prior, 6) AS driver_vs_teammate_q_avg_delta_season_prior)
+FROM f5"""))
 def q_asof_teammate_delta(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.teammate_delta(sp, facts)
-    return out.select(*_keys_out(out), "driver_vs_teammate_q_avg_delta_season_prior")
+    return rounded(out.select(*_keys_out(out), "driver_vs_teammate_q_avg_delta_season_prior"))
 
 
-@register("asof_reliability", _sql(CTE_F6, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f6"))
+@register("asof_reliability", _sql(CTE_F6, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(driver_season_dnf_rate_prior, 6) AS driver_season_dnf_rate_prior)
+FROM f6"""))
 def q_asof_reliability(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.reliability(sp, facts)
-    return out.select(*_keys_out(out), *FT.F6_COLS)
+    return rounded(out.select(*_keys_out(out), *FT.F6_COLS))
 
 
-@register("asof_career", _sql(CTE_F7, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f7"))
+@register("asof_career", _sql(CTE_F7, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(driver_q_avg_pos_career_prior, 6) AS driver_q_avg_pos_career_prior, round(constructor_q_avg_pos_career_prior, 6) AS constructor_q_avg_pos_career_prior)
+FROM f7"""))
 def q_asof_career(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.career_form(sp, facts)
-    return out.select(*_keys_out(out), *FT.F7_COLS)
+    return rounded(out.select(*_keys_out(out), *FT.F7_COLS))
 
 
-@register("asof_context_entity", _sql(CTE_F8, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f8d"))
+@register("asof_context_entity", _sql(CTE_F8, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(driver_q_avg_pos_at_circuit_prior, 6) AS driver_q_avg_pos_at_circuit_prior)
+FROM f8d"""))
 def q_asof_context_entity(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.circuit_form(sp, facts, who="driver")
-    return out.select(*_keys_out(out), *FT.F8D_COLS)
+    return rounded(out.select(*_keys_out(out), *FT.F8D_COLS))
 
 
-@register("asof_context_group", _sql(CTE_F8, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f8c"))
+@register("asof_context_group", _sql(CTE_F8, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(constructor_q_avg_pos_at_circuit_prior, 6) AS constructor_q_avg_pos_at_circuit_prior)
+FROM f8c"""))
 def q_asof_context_group(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.circuit_form(sp, facts, who="constructor")
-    return out.select(*_keys_out(out), *FT.F8C_COLS)
+    return rounded(out.select(*_keys_out(out), *FT.F8C_COLS))
 
 
 @register("asof_context_type", _sql(CTE_F9, f"""SELECT {KEYS_SQL}, d.track_type,
-  d.driver_q_count_at_track_type_prior, d.driver_q_avg_pos_at_track_type_prior,
-  c.constructor_q_count_at_track_type_prior, c.constructor_q_avg_pos_at_track_type_prior
+  d.driver_q_count_at_track_type_prior, round(d.driver_q_avg_pos_at_track_type_prior, 6) AS driver_q_avg_pos_at_track_type_prior,
+  c.constructor_q_count_at_track_type_prior,
+  round(c.constructor_q_avg_pos_at_track_type_prior, 6) AS constructor_q_avg_pos_at_track_type_prior
 FROM f9d d JOIN f9c c USING (season, round, driver_id)"""))
 def q_asof_context_type(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.track_type_form(sp, facts)
-    return out.select(*_keys_out(out), "track_type", *FT.F9_COLS)
+    return rounded(out.select(*_keys_out(out), "track_type", *FT.F9_COLS))
 
 
 @register("asof_tenure", _sql(CTE_F10, f"SELECT {KEYS_SQL}, driver_constructor_tenure_rounds_prior FROM f10"))
 def q_asof_tenure(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.tenure(sp, K.entries(spark, sf))
-    return out.select(*_keys_out(out), "driver_constructor_tenure_rounds_prior")
+    return rounded(out.select(*_keys_out(out), "driver_constructor_tenure_rounds_prior"))
 
 
-@register("asof_finish_minus_grid", _sql(CTE_F11, f"SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) FROM f11"))
+@register("asof_finish_minus_grid", _sql(CTE_F11, f"""SELECT {KEYS_SQL}, * EXCLUDE (season, round, driver_id) REPLACE (round(driver_finish_minus_grid_avg_season_prior, 6) AS driver_finish_minus_grid_avg_season_prior, round(driver_finish_minus_grid_avg_career_prior, 6) AS driver_finish_minus_grid_avg_career_prior)
+FROM f11"""))
 def q_asof_finish_minus_grid(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     out = FT.finish_minus_grid(sp, facts)
-    return out.select(*_keys_out(out), *FT.F11_COLS)
+    return rounded(out.select(*_keys_out(out), *FT.F11_COLS))
 
 
 # ---------------------------------------------------------------------------
@@ -313,13 +321,14 @@ JOIN f7 USING (season, round, driver_id) JOIN f8d USING (season, round, driver_i
 JOIN f8c USING (season, round, driver_id) JOIN f9d USING (season, round, driver_id)
 JOIN f9c USING (season, round, driver_id) JOIN f10 USING (season, round, driver_id)
 JOIN f11 USING (season, round, driver_id)"""
-F12_SQL = _sql(CTE_ALL, F12_SELECT)
+F12_DOUBLES = [n for n, t in FT.BASELINE_CONTRACT if t == "double"]
 CTE_F12 = CTE_ALL + ",\nf12 AS (" + F12_SELECT + "\n)"
+F12_SQL = _sql(CTE_F12, f"SELECT {rounded_sql(F12_DOUBLES)} FROM f12")
 
 
 @register("features_baseline", F12_SQL)
 def q_features_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    return FT.features_baseline(spark, sf)
+    return rounded(FT.features_baseline(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -335,5 +344,3 @@ def q_leak_audit(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     return leak_audit(sp, facts)
 
-
-__all__ = ["Agg"]

@@ -263,7 +263,7 @@ def q_laptime_ms(spark: SparkSession, sf: str) -> DataFrame:
 
 def _status_source(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(big("doc_id").alias("id"),
-                                             F.substring("text", 1, 40).alias("status_raw"))
+                                             F.col("text").alias("status_raw"))
     edges = spark.createDataFrame([(-(i + 1), s) for i, s in enumerate(STATUS_EDGES)], "id bigint, status_raw string")
     return d.unionByName(edges)
 
@@ -272,7 +272,7 @@ def _status_sql(sprint: bool) -> str:
     vals = ", ".join(f"(CAST({-(i + 1)} AS BIGINT), '{s}')" for i, s in enumerate(STATUS_EDGES))
     return f"""
 WITH src AS (
-  SELECT CAST(doc_id AS BIGINT) AS id, substr(text, 1, 40) AS status_raw FROM documents
+  SELECT CAST(doc_id AS BIGINT) AS id, text AS status_raw FROM documents
   UNION ALL SELECT * FROM (VALUES {vals}) t(id, status_raw)
 )
 SELECT id, status_raw, {status_category_sql('status_raw', sprint=sprint)} AS status_category FROM src"""

@@ -13,7 +13,8 @@ from priorwise.operators import evaluate as V
 from priorwise.plans import carriers as K
 from priorwise.plans import snapshots as SN
 from priorwise.plans.carriers import with_carriers
-from priorwise.plans.queries_score import K8_SQL, V4_CTE, k8_predictions
+from priorwise.operators.dist import parse_tags
+from priorwise.plans.queries_score import D3_CTE, K8_SQL, V4_CTE, _d3, k8_predictions
 from priorwise.plans.queries_asof import SQL_SP
 from priorwise.plans.registry import big, r6, register
 from priorwise.session import scratch_path
@@ -77,7 +78,11 @@ def q_union_sessions(spark: SparkSession, sf: str) -> DataFrame:
     fp1 = base.where(F.col("session_type") == "FP1")
     fp2 = base.where(F.col("session_type") == "FP2").drop("position")
     fp3 = base.where(F.col("session_type") == "FP3").drop("position").withColumn("tyre", F.lit("soft"))
-    return T.union_sessions([fp1, fp2, fp3]).select("season", "round", "session_type", "driver_id",
+    root, frames = scratch_path(spark, "sessions"), []
+    for name, frame in (("FP1", fp1), ("FP2", fp2), ("FP3", fp3)):
+        frame.write.parquet(f"{root}/{name}")
+        frames.append(spark.read.parquet(f"{root}/{name}"))
+    return T.union_sessions(frames).select("season", "round", "session_type", "driver_id",
                                                     "best_lap_time_ms", "position", "tyre")
 
 
@@ -97,17 +102,35 @@ def q_prediction_store(spark: SparkSession, sf: str) -> DataFrame:
                        "predicted_position", "score")
 
 
+@register("prediction_tags", _score_sql(D3_CTE, """
+SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, 'quali_dist' AS kind, count(*) AS rows FROM d3 GROUP BY 1, 2
+UNION ALL SELECT CAST(season AS BIGINT), CAST(round AS BIGINT), 'quali_top', count(*) FROM k8r GROUP BY 1, 2"""))
+def q_prediction_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """The tags of a run say which outputs it stores: the order, the distribution, or both."""
+    root = scratch_path(spark, "tagged_predictions")
+    outputs = {"top": lambda: k8_predictions(spark, sf).select("season", "round", "driver_id", "predicted_position"),
+               "dist": lambda: _d3(spark, sf).select("season", "round", "heat", "driver_id", "position", "draws")}
+    for tag in sorted(parse_tags(" Dist,top ")):
+        ST.store_predictions(outputs[tag](), root, stage="post_practice", kind=f"quali_{tag}", metadata={"tags": tag})
+    back = spark.read.option("mergeSchema", True).parquet(root)
+    return back.groupBy(big("season").alias("season"), big("round").alias("round"), "kind").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("evaluation_sink", _score_sql(V4_CTE, """SELECT CAST(season AS BIGINT) AS season,
-  CAST(round AS BIGINT) AS round, mae, exact, top1, top3, top5, n FROM v4"""))
+  CAST(round AS BIGINT) AS round, round(mae, 6) AS mae, exact, top1, top3, top5, n FROM v4"""))
 def q_evaluation_sink(spark: SparkSession, sf: str) -> DataFrame:
     from priorwise.plans.queries_score import _eval_top
 
-    e = _eval_top(spark, sf).select(big("season").alias("season"), big("round").alias("round"), "mae", "exact",
-                                    "top1", "top3", "top5", "n")
+    e = _eval_top(spark, sf).select(big("season").alias("season"), big("round").alias("round"), r6("mae").alias("mae"),
+                                    "exact", "top1", "top3", "top5", "n")
     root = scratch_path(spark, "evaluation")
+    e.write.parquet(f"{root}/staged")  # evaluated once for all writes
+    e = spark.read.parquet(f"{root}/staged")
     ST.save_evaluation(e, V.eval_range_summary(e), f"{root}/quali_top.parquet")
     ST.save_evaluation(e, V.eval_range_summary(e), f"{root}/quali_top.csv")
-    return spark.read.parquet(f"{root}/quali_top.parquet")
+    both = spark.read.parquet(f"{root}/quali_top.parquet")
+    text = spark.read.schema(both.schema).option("header", True).csv(f"{root}/quali_top.csv")
+    return both.intersect(text)  # the CSV says the same
 
 
 @register("only_missing_load", with_carriers("""SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
@@ -120,13 +143,13 @@ def q_only_missing_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("preview_topn", _score_sql("", """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
-  driver_id, round(score, 6) AS score FROM k8 ORDER BY score, season, round, driver_id LIMIT 20"""))
+  driver_id, round(score, 6) AS score FROM k8 ORDER BY score NULLS LAST, season, round, driver_id LIMIT 20"""))
 def q_preview_topn(spark: SparkSession, sf: str) -> DataFrame:
     from priorwise.plans.queries_score import k8_scores
 
     s = k8_scores(spark, sf).select(big("season").alias("season"), big("round").alias("round"), "driver_id",
                                     r6("score").alias("score"))
-    return T.preview_topn(s, [F.col("score"), F.col("season"), F.col("round"), F.col("driver_id")], 20)
+    return T.preview_topn(s, [F.col("score").asc_nulls_last(), F.col("season"), F.col("round"), F.col("driver_id")], 20)
 
 
 @register("mapping_explode", with_carriers("""SELECT CAST(w.season AS BIGINT) AS season,
@@ -134,7 +157,7 @@ def q_preview_topn(spark: SparkSession, sf: str) -> DataFrame:
 def q_mapping_explode(spark: SparkSession, sf: str) -> DataFrame:
     from priorwise.sources.mapping import explode_mapping
 
-    k2 = K.weekends(spark, sf).join(F.broadcast(K.track_types(spark)), "circuit_id")
+    k2 = K.weekends(spark, sf).join(K.track_types(spark), "circuit_id")
     # the by_season_round shape: {season: {round: type}} as nested maps of text keys
     nested = k2.groupBy(F.col("season").cast("string").alias("season")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("round").cast("string"), F.col("track_type"))))

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from priorwise.functions.schema import align
 from priorwise.operators import sessions as P
 from priorwise.operators import train as M
-from priorwise.operators.asof import Agg, prior_stats
+from priorwise.operators.asof import Agg, group_prior_stats, prior_stats
 from priorwise.plans import carriers as K
 from priorwise.plans import features as FT
-from priorwise.plans.queries_asof import CTE_F12, SQL_SP
+from priorwise.plans.queries_asof import CTE_F12, F12_DOUBLES, SQL_SP
 from priorwise.plans.queries_spine import P3_SQL
 from priorwise.plans.carriers import with_carriers
-from priorwise.plans.registry import big, r6, register
+from priorwise.plans.registry import big, r6, register, rounded, rounded_sql
 from priorwise.session import scratch_path
 
 AS_OF = (2000, 7)
@@ -56,6 +56,11 @@ m2 AS (
 )"""
 
 
+def from_as_of() -> F.Column:
+    """The rounds to score: all from the as-of point on."""
+    return (F.col("season") > AS_OF[0]) | ((F.col("season") == AS_OF[0]) & (F.col("round") >= AS_OF[1]))
+
+
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return K.results(spark, sf).select(big("season").alias("season"), big("round").alias("round"),
                                        "driver_id", "constructor_id", "qualifying_position",
@@ -72,14 +77,14 @@ def m2_frame(spark: SparkSession, sf: str) -> DataFrame:
                          *AS_OF, START, TRAIN_END)
 
 
-@register("train_frame_quali", _sql(M1_CTE, "SELECT * FROM m1"))
+@register("train_frame_quali", _sql(M1_CTE, f"SELECT {rounded_sql(F12_DOUBLES)} FROM m1"))
 def q_train_frame_quali(spark: SparkSession, sf: str) -> DataFrame:
-    return m1_frame(spark, sf)
+    return rounded(m1_frame(spark, sf))
 
 
-@register("train_frame_race", _sql(M2_CTE, "SELECT * FROM m2"))
+@register("train_frame_race", _sql(M2_CTE, f"SELECT {rounded_sql(F12_DOUBLES)} FROM m2"))
 def q_train_frame_race(spark: SparkSession, sf: str) -> DataFrame:
-    return m2_frame(spark, sf)
+    return rounded(m2_frame(spark, sf))
 
 
 def _sanitize_sql() -> str:
@@ -88,14 +93,14 @@ def _sanitize_sql() -> str:
         if t == "string" or n in ID_COLS:
             cols.append(f"coalesce(CAST({n} AS VARCHAR), '{M.MISSING}') AS {n}")
         else:
-            cols.append(f"CAST({n} AS DOUBLE) AS {n}")
+            cols.append(f"round(CAST({n} AS DOUBLE), 6) AS {n}")
     cols.append("CAST(qualifying_position AS DOUBLE) AS qualifying_position")
     return "SELECT " + ", ".join(cols) + " FROM m1"
 
 
 @register("sanitize", _sql(M1_CTE, _sanitize_sql()))
 def q_sanitize(spark: SparkSession, sf: str) -> DataFrame:
-    return M.sanitize(m1_frame(spark, sf), id_cols=ID_COLS)
+    return rounded(M.sanitize(m1_frame(spark, sf), id_cols=ID_COLS))
 
 
 def _impute_sql() -> str:
@@ -119,6 +124,25 @@ def q_impute_median_indicator(spark: SparkSession, sf: str) -> DataFrame:
                        big("rows").alias("rows"), action.alias("action"))
 
 
+def _apply_impute_sql() -> str:
+    return "\nUNION ALL\n".join(f"""SELECT season, round, driver_id, '{c}' AS column_name,
+  round(CAST(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM m1)) AS DOUBLE), 6) AS value,
+  CAST({c} IS NULL AS BIGINT) AS was_missing FROM m1 WHERE (SELECT count({c}) FROM m1) > 0""" for c in NUMERIC)
+
+
+@register("impute_apply", _sql(M1_CTE, _apply_impute_sql()))
+def q_impute_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """M4 applied: one row per (row, column) of the imputed frame."""
+    frame = m1_frame(spark, sf)
+    stats = M.fit_impute(frame, NUMERIC).first().asDict()  # one row of column statistics
+    out = M.apply_impute(frame, stats, NUMERIC)
+    kept = [c for c in NUMERIC if c in out.columns]
+    flag = {c: f"cast(`{c}__missing` as bigint)" if f"{c}__missing" in out.columns else "0L" for c in kept}
+    stack = ", ".join(f"'{c}', cast(`{c}` as double), {flag[c]}" for c in kept)
+    rows = out.selectExpr("season", "round", "driver_id", f"stack({len(kept)}, {stack}) AS (column_name, value, was_missing)")
+    return rows.withColumn("value", r6("value"))
+
+
 @register("onehot_codes", _sql(M1_CTE, """
 , vals AS (
   SELECT 'track_type' AS column_name, coalesce(track_type, '__MISSING__') AS value FROM m1
@@ -161,7 +185,7 @@ def q_calibration_split(spark: SparkSession, sf: str) -> DataFrame:
 @register("rescale_to_rate", _sql(M2_CTE, """
 , base AS (SELECT avg(CAST(dnf AS DOUBLE)) AS base_rate FROM m2 WHERE season >= (SELECT max(season) FROM m2) - 6),
 sc AS (SELECT season, round, driver_id, coalesce(driver_season_dnf_rate_prior, 0.0) AS p FROM f12
-       WHERE season = 2000),
+),
 mn AS (SELECT season, round, avg(p) AS mean_p FROM sc GROUP BY 1, 2)
 SELECT s.season, s.round, s.driver_id,
        round(CASE WHEN m.mean_p > 0 THEN least(1.0, greatest(0.0, s.p * b.base_rate / m.mean_p)) ELSE s.p END, 6)
@@ -169,7 +193,7 @@ SELECT s.season, s.round, s.driver_id,
 FROM sc s JOIN mn m USING (season, round) CROSS JOIN base b"""))
 def q_rescale_to_rate(spark: SparkSession, sf: str) -> DataFrame:
     base = M.base_rate_recent(m2_frame(spark, sf))
-    f = FT.features_baseline(spark, sf).where(F.col("season") == 2000)
+    f = FT.features_baseline(spark, sf)
     sc = f.select("season", "round", "driver_id",
                   F.coalesce(F.col("driver_season_dnf_rate_prior"), F.lit(0.0)).alias("p"))
     r = M.rescale_to_rate(sc, base)
@@ -180,14 +204,14 @@ ALIGN_COLS = ["driver_q_avg_pos_season_prior", "driver_season_dnf_rate_prior", "
               "driver_constructor_tenure_rounds_prior"]
 
 
-@register("align_features", _sql("", f"""SELECT CAST(driver_q_avg_pos_season_prior AS DOUBLE) AS driver_q_avg_pos_season_prior,
-  CAST(driver_season_dnf_rate_prior AS DOUBLE) AS driver_season_dnf_rate_prior,
+@register("align_features", _sql("", f"""SELECT round(driver_q_avg_pos_season_prior, 6) AS driver_q_avg_pos_season_prior,
+  round(driver_season_dnf_rate_prior, 6) AS driver_season_dnf_rate_prior,
   CAST(NULL AS DOUBLE) AS practice_best_ms,
   CAST(driver_constructor_tenure_rounds_prior AS DOUBLE) AS driver_constructor_tenure_rounds_prior
-FROM f12 WHERE season = {AS_OF[0]} AND round = {AS_OF[1]}"""))
+FROM f12 WHERE season > {AS_OF[0]} OR season = {AS_OF[0]} AND round >= {AS_OF[1]}"""))
 def q_align_features(spark: SparkSession, sf: str) -> DataFrame:
-    f = FT.features_baseline(spark, sf).where((F.col("season") == AS_OF[0]) & (F.col("round") == AS_OF[1]))
-    return align(f.withColumn("extra_col", F.lit(1)), ALIGN_COLS)
+    f = FT.features_baseline(spark, sf).where(from_as_of())
+    return rounded(align(f.withColumn("extra_col", F.lit(1)), ALIGN_COLS))
 
 
 @register("train_cutoff", with_carriers(f"""
@@ -216,7 +240,7 @@ def _prep(df: DataFrame) -> DataFrame:
 
 
 def _scoring_rows(spark: SparkSession, sf: str) -> DataFrame:
-    f = FT.features_baseline(spark, sf).where((F.col("season") == AS_OF[0]) & (F.col("round") == AS_OF[1]))
+    f = FT.features_baseline(spark, sf).where(from_as_of())
     return _prep(f)
 
 
@@ -305,7 +329,7 @@ def q_importance_values(spark: SparkSession, sf: str) -> DataFrame:
     model = fit_position(spark, sf)
     top = [r["feature"] for r in M.importance_topk(model, 5, spark).collect()]
     src = [c for c in top if c in NUMERIC]
-    f = FT.features_baseline(spark, sf).where((F.col("season") == AS_OF[0]) & (F.col("round") == AS_OF[1]))
+    f = FT.features_baseline(spark, sf).where(from_as_of())
     return f.select("driver_id", *src)
 
 
@@ -321,34 +345,41 @@ def practice_features(spark: SparkSession, sf: str) -> DataFrame:
 P8_CTE = """,
 p7 AS (
   SELECT season, round, driver_id, count(DISTINCT session_type) AS practice_sessions,
-         min(best_lap_time_ms) AS practice_best_ms
+         min(best_lap_time_ms) AS practice_best_ms, avg(best_lap_time_ms) AS practice_mean_ms,
+         quantile_cont(best_lap_time_ms, 0.5) AS practice_median_ms
   FROM p3 GROUP BY 1, 2, 3
 ),
 p8 AS (
   SELECT *, CAST(CASE WHEN practice_best_ms IS NOT NULL THEN
                  rank() OVER (PARTITION BY season, round ORDER BY practice_best_ms ASC NULLS LAST) END AS BIGINT)
-              AS practice_rank
+              AS practice_rank,
+         practice_best_ms - min(practice_best_ms) OVER (PARTITION BY season, round) AS practice_gap_to_best_ms,
+         CASE WHEN coalesce(stddev_samp(practice_best_ms) OVER (PARTITION BY season, round), 0) = 0 THEN 0.0
+              ELSE (practice_best_ms - avg(practice_best_ms) OVER (PARTITION BY season, round))
+                   / stddev_samp(practice_best_ms) OVER (PARTITION BY season, round) END AS practice_z
   FROM p7
 )"""
+PRACTICE = ["practice_sessions", "practice_best_ms", "practice_mean_ms", "practice_median_ms", "practice_rank",
+            "practice_gap_to_best_ms", "practice_z"]
+PRACTICE_DOUBLES = ["practice_best_ms", "practice_mean_ms", "practice_median_ms", "practice_gap_to_best_ms", "practice_z"]
+
+
+def _practice(spark: SparkSession, sf: str) -> DataFrame:
+    return practice_features(spark, sf).select(big("season").alias("season"), big("round").alias("round"), "driver_id",
+                                               big("practice_sessions").alias("practice_sessions"), *PRACTICE[1:])
 
 
 @register("features_post_practice", _sql(P3_SQL + P8_CTE + """,
 j AS (
-  SELECT f.season, f.round, f.driver_id, f.constructor_id, f.driver_q_avg_pos_season_prior,
-         CAST(coalesce(p.practice_sessions, 0) AS BIGINT) AS practice_sessions,
-         round(p.practice_best_ms, 6) AS practice_best_ms, p.practice_rank
+  SELECT f.*, CAST(coalesce(p.practice_sessions, 0) AS BIGINT) AS practice_sessions, p.practice_best_ms,
+         p.practice_mean_ms, p.practice_median_ms, p.practice_rank, p.practice_gap_to_best_ms, p.practice_z
   FROM f12 f LEFT JOIN p8 p ON p.season = f.season AND p.round = f.round AND p.driver_id = f.driver_id
-)""", """SELECT * EXCLUDE (mx) FROM (SELECT *, max(practice_sessions) OVER (PARTITION BY season, round) AS mx FROM j) t
-WHERE practice_sessions > 0 OR mx = 0""", "k4s"))
+)""", f"""SELECT {rounded_sql(F12_DOUBLES + PRACTICE_DOUBLES)} FROM (
+  SELECT * EXCLUDE (mx) FROM (SELECT *, max(practice_sessions) OVER (PARTITION BY season, round) AS mx FROM j) t
+  WHERE practice_sessions > 0 OR mx = 0) u""", "k4s"))
 def q_features_post_practice(spark: SparkSession, sf: str) -> DataFrame:
-    f = FT.features_baseline(spark, sf).select("season", "round", "driver_id", "constructor_id",
-                                               "driver_q_avg_pos_season_prior")
-    pr = practice_features(spark, sf).select(big("season").alias("season"), big("round").alias("round"),
-                                             "driver_id", "practice_sessions", "practice_best_ms", "practice_rank")
-    out = FT.attach_practice(f, pr)
-    return out.select("season", "round", "driver_id", "constructor_id", "driver_q_avg_pos_season_prior",
-                      big("practice_sessions").alias("practice_sessions"),
-                      r6("practice_best_ms").alias("practice_best_ms"), "practice_rank")
+    """the whole baseline contract plus the practice features of the round."""
+    return rounded(FT.attach_practice(FT.features_baseline(spark, sf), _practice(spark, sf)))
 
 
 POSTQ_CTE = """,
@@ -366,31 +397,31 @@ f15 AS (
 ),
 f16d AS (
   SELECT s.season, s.round, s.driver_id,
-         round(avg(f.finish_position), 6) AS sprint_avg_finish_season_prior,
-         round(avg(f.dnf), 6) AS sprint_dnf_rate_season_prior
+         avg(f.finish_position) AS sprint_avg_finish_season_prior,
+         avg(f.dnf) AS sprint_dnf_rate_season_prior
   FROM f15 s LEFT JOIN k9 f ON f.driver_id = s.driver_id AND f.season = s.season AND f.round < s.round
   GROUP BY 1, 2, 3
 ),
 f16c AS (
-  SELECT s.season, s.round, s.driver_id, round(avg(f.finish_position), 6) AS constructor_sprint_avg_finish_season_prior
+  SELECT s.season, s.round, s.driver_id, avg(f.finish_position) AS constructor_sprint_avg_finish_season_prior
   FROM f15 s LEFT JOIN k9 f ON f.constructor_id = s.constructor_id AND f.season = s.season AND f.round < s.round
   GROUP BY 1, 2, 3
 ),
 f17 AS (
   SELECT season, round, driver_id,
-         round(qualifying_position - avg(qualifying_position) OVER (PARTITION BY season, round, constructor_id), 6)
+         qualifying_position - avg(qualifying_position) OVER (PARTITION BY season, round, constructor_id)
            AS quali_vs_constructor_mean
   FROM f15
 ),
 f18d AS (
   SELECT s.season, s.round, s.driver_id,
-         round(avg(f.finish_position), 6) AS race_avg_finish_season_prior,
-         round(avg(f.dnf), 6) AS race_dnf_rate_season_prior
+         avg(f.finish_position) AS race_avg_finish_season_prior,
+         avg(f.dnf) AS race_dnf_rate_season_prior
   FROM f15 s LEFT JOIN k1 f ON f.driver_id = s.driver_id AND f.season = s.season AND f.round < s.round
   GROUP BY 1, 2, 3
 ),
 f18c AS (
-  SELECT s.season, s.round, s.driver_id, round(avg(f.finish_position), 6) AS constructor_race_avg_finish_season_prior
+  SELECT s.season, s.round, s.driver_id, avg(f.finish_position) AS constructor_race_avg_finish_season_prior
   FROM f15 s LEFT JOIN k1 f ON f.constructor_id = s.constructor_id AND f.season = s.season AND f.round < s.round
   GROUP BY 1, 2, 3
 )"""
@@ -400,7 +431,7 @@ POSTQ_KEYS = "CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
 
 def post_quali_base(spark: SparkSession, sf: str) -> DataFrame:
     """F14 + F15: spine with round qualifying and sprint attached, constructors overridden."""
-    sp = FT.baseline_spine(spark, sf).select("season", "round", "driver_id", "constructor_id")
+    sp = FT.baseline_spine(spark, sf)
     k1 = K.results(spark, sf)
     out = FT.attach_override(sp, k1.select("season", "round", "driver_id", "constructor_id", "qualifying_position"))
     k9 = K.sprint_results(spark, sf, k1).select(
@@ -432,24 +463,24 @@ def sprint_priors(base: DataFrame, k9: DataFrame) -> DataFrame:
     out = prior_stats(base, k9, ["driver_id"], [
         Agg("sprint_avg_finish_season_prior", "avg", "finish_position"),
         Agg("sprint_dnf_rate_season_prior", "avg", "dnf")], scope="season")
-    out = prior_stats(out, k9, ["constructor_id"], [
-        Agg("constructor_sprint_avg_finish_season_prior", "avg", "finish_position")], scope="season")
-    return out.withColumns({c: r6(c) for c in ["sprint_avg_finish_season_prior", "sprint_dnf_rate_season_prior",
-                                               "constructor_sprint_avg_finish_season_prior"]})
+    out = group_prior_stats(out, k9, ["constructor_id"], [
+        Agg("constructor_sprint_avg_finish_season_prior", "avg", "finish_position")], scope="season", base=base)
+    return out
 
 
-@register("asof_sprint", _sql(POSTQ_CTE, f"""SELECT {POSTQ_KEYS}, d.sprint_avg_finish_season_prior,
-  d.sprint_dnf_rate_season_prior, c.constructor_sprint_avg_finish_season_prior
+@register("asof_sprint", _sql(POSTQ_CTE, f"""SELECT {POSTQ_KEYS}, round(d.sprint_avg_finish_season_prior, 6) AS sprint_avg_finish_season_prior,
+  round(d.sprint_dnf_rate_season_prior, 6) AS sprint_dnf_rate_season_prior,
+  round(c.constructor_sprint_avg_finish_season_prior, 6) AS constructor_sprint_avg_finish_season_prior
 FROM f16d d JOIN f16c c USING (season, round, driver_id)""", "k9"))
 def q_asof_sprint(spark: SparkSession, sf: str) -> DataFrame:
     b = post_quali_base(spark, sf)
     out = sprint_priors(b, K.sprint_results(spark, sf))
-    return out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
-                      "sprint_avg_finish_season_prior", "sprint_dnf_rate_season_prior",
-                      "constructor_sprint_avg_finish_season_prior")
+    return rounded(out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
+                              "sprint_avg_finish_season_prior", "sprint_dnf_rate_season_prior",
+                              "constructor_sprint_avg_finish_season_prior"))
 
 
-@register("round_group_delta", _sql(POSTQ_CTE, f"SELECT {POSTQ_KEYS}, quali_vs_constructor_mean FROM f17", "k9"))
+@register("round_group_delta", _sql(POSTQ_CTE, f"SELECT {POSTQ_KEYS}, round(quali_vs_constructor_mean, 6) AS quali_vs_constructor_mean FROM f17", "k9"))
 def q_round_group_delta(spark: SparkSession, sf: str) -> DataFrame:
     b = post_quali_base(spark, sf)
     out = FT.round_group_delta(b, "qualifying_position", "quali_vs_constructor_mean")
@@ -457,25 +488,26 @@ def q_round_group_delta(spark: SparkSession, sf: str) -> DataFrame:
                       r6("quali_vs_constructor_mean").alias("quali_vs_constructor_mean"))
 
 
-def race_priors(base: DataFrame, k1: DataFrame) -> DataFrame:
+def race_priors(base: DataFrame, k1: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    grid = grid if grid is not None else base
     out = prior_stats(base, k1, ["driver_id"], [
         Agg("race_avg_finish_season_prior", "avg", "finish_position"),
         Agg("race_dnf_rate_season_prior", "avg", "dnf")], scope="season")
-    out = prior_stats(out, k1, ["constructor_id"], [
-        Agg("constructor_race_avg_finish_season_prior", "avg", "finish_position")], scope="season")
-    return out.withColumns({c: r6(c) for c in ["race_avg_finish_season_prior", "race_dnf_rate_season_prior",
-                                               "constructor_race_avg_finish_season_prior"]})
+    out = group_prior_stats(out, k1, ["constructor_id"], [
+        Agg("constructor_race_avg_finish_season_prior", "avg", "finish_position")], scope="season", base=grid)
+    return out
 
 
-@register("asof_race_form", _sql(POSTQ_CTE, f"""SELECT {POSTQ_KEYS}, d.race_avg_finish_season_prior,
-  d.race_dnf_rate_season_prior, c.constructor_race_avg_finish_season_prior
+@register("asof_race_form", _sql(POSTQ_CTE, f"""SELECT {POSTQ_KEYS}, round(d.race_avg_finish_season_prior, 6) AS race_avg_finish_season_prior,
+  round(d.race_dnf_rate_season_prior, 6) AS race_dnf_rate_season_prior,
+  round(c.constructor_race_avg_finish_season_prior, 6) AS constructor_race_avg_finish_season_prior
 FROM f18d d JOIN f18c c USING (season, round, driver_id)""", "k9"))
 def q_asof_race_form(spark: SparkSession, sf: str) -> DataFrame:
     b = post_quali_base(spark, sf)
     out = race_priors(b, K.results(spark, sf))
-    return out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
-                      "race_avg_finish_season_prior", "race_dnf_rate_season_prior",
-                      "constructor_race_avg_finish_season_prior")
+    return rounded(out.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
+                              "race_avg_finish_season_prior", "race_dnf_rate_season_prior",
+                              "constructor_race_avg_finish_season_prior"))
 
 
 LONGRUN_CTE = """,
@@ -496,35 +528,45 @@ lrp AS (
 )"""
 
 
+POSTQ_DOUBLES = ["sprint_avg_finish_season_prior", "sprint_dnf_rate_season_prior",
+                 "constructor_sprint_avg_finish_season_prior", "quali_vs_constructor_mean",
+                 "race_avg_finish_season_prior", "race_dnf_rate_season_prior", "constructor_race_avg_finish_season_prior",
+                 *PRACTICE_DOUBLES, "practice_longrun_trimmed_ms"]
+POSTQ_OUT = ["season", "round", "driver_id", "constructor_id", "weekend_id", "race_name", "circuit_id", "race_date",
+             "track_type", "qualifying_position", "sprint_finish", "sprint_grid", "sprint_points", "sprint_dnf",
+             *POSTQ_DOUBLES[:7], *PRACTICE, "practice_longrun_trimmed_ms"]
+
+
 @register("features_post_quali", _sql(POSTQ_CTE + P3_SQL + P8_CTE + LONGRUN_CTE, f"""
-SELECT CAST(b.season AS BIGINT) AS season, CAST(b.round AS BIGINT) AS round, b.driver_id, b.constructor_id,
-       b.qualifying_position, b.sprint_finish, d.sprint_avg_finish_season_prior,
-       g.quali_vs_constructor_mean, r.race_avg_finish_season_prior, c.constructor_race_avg_finish_season_prior,
-       CAST(coalesce(p.practice_sessions, 0) AS BIGINT) AS practice_sessions, p.practice_rank,
-       round(l.trimmed, 6) AS practice_longrun_trimmed_ms
-FROM f15 b
-JOIN f16d d USING (season, round, driver_id)
-JOIN f17 g USING (season, round, driver_id)
-JOIN f18d r USING (season, round, driver_id)
-JOIN f18c c USING (season, round, driver_id)
-LEFT JOIN p8 p ON p.season = b.season AND p.round = b.round AND p.driver_id = b.driver_id
-LEFT JOIN lrp l ON l.season = b.season AND l.round = b.round AND l.driver_id = b.driver_id""", "k9", "k4s"))
+SELECT {rounded_sql(POSTQ_DOUBLES)} FROM (
+  SELECT CAST(b.season AS BIGINT) AS season, CAST(b.round AS BIGINT) AS round, b.driver_id, b.constructor_id,
+         s.weekend_id, s.race_name, CAST(s.circuit_id AS BIGINT) AS circuit_id, s.race_date, s.track_type,
+         b.qualifying_position, b.sprint_finish, b.sprint_grid, b.sprint_points, b.sprint_dnf,
+         d.sprint_avg_finish_season_prior, d.sprint_dnf_rate_season_prior, e.constructor_sprint_avg_finish_season_prior,
+         g.quali_vs_constructor_mean, r.race_avg_finish_season_prior, r.race_dnf_rate_season_prior,
+         c.constructor_race_avg_finish_season_prior, CAST(coalesce(p.practice_sessions, 0) AS BIGINT) AS practice_sessions,
+         p.practice_best_ms, p.practice_mean_ms, p.practice_median_ms, p.practice_rank, p.practice_gap_to_best_ms,
+         p.practice_z, l.trimmed AS practice_longrun_trimmed_ms
+  FROM f15 b
+  JOIN sp s USING (season, round, driver_id)
+  JOIN f16d d USING (season, round, driver_id)
+  JOIN f16c e USING (season, round, driver_id)
+  JOIN f17 g USING (season, round, driver_id)
+  JOIN f18d r USING (season, round, driver_id)
+  JOIN f18c c USING (season, round, driver_id)
+  LEFT JOIN p8 p ON p.season = b.season AND p.round = b.round AND p.driver_id = b.driver_id
+  LEFT JOIN lrp l ON l.season = b.season AND l.round = b.round AND l.driver_id = b.driver_id) t""", "k9", "k4s"))
 def q_features_post_quali(spark: SparkSession, sf: str) -> DataFrame:
+    """spine, qualifying, sprint, priors of sprints and races, practice and long runs."""
     k1 = K.results(spark, sf)
-    b = post_quali_base(spark, sf)
-    b = sprint_priors(b, K.sprint_results(spark, sf, k1))
-    b = FT.round_group_delta(b, "qualifying_position", "quali_vs_constructor_mean")
-    b = race_priors(b, k1)
-    pr = practice_features(spark, sf).select(big("season").alias("season"), big("round").alias("round"),
-                                             "driver_id", "practice_sessions", "practice_rank")
-    k4 = K.laps(spark, sf)
-    lr = P.preferred_session(P.longrun_summary(k4)).select(
+    base = post_quali_base(spark, sf)
+    b = sprint_priors(base, K.sprint_results(spark, sf, k1))
+    mean = FT.round_group_delta(base, "qualifying_position", "quali_vs_constructor_mean")
+    b = b.join(mean.select("season", "round", "driver_id", "quali_vs_constructor_mean"), ["season", "round", "driver_id"])
+    b = race_priors(b, k1, base)
+    lr = P.preferred_session(P.longrun_summary(K.laps(spark, sf))).select(
         big("season").alias("season"), big("round").alias("round"), "driver_id", "practice_longrun_trimmed_ms")
-    b = b.withColumns({"season": big("season"), "round": big("round")})
-    out = (b.join(pr, ["season", "round", "driver_id"], "left")
-           .join(lr, ["season", "round", "driver_id"], "left"))
-    return out.select("season", "round", "driver_id", "constructor_id", "qualifying_position", "sprint_finish",
-                      "sprint_avg_finish_season_prior", r6("quali_vs_constructor_mean").alias("quali_vs_constructor_mean"),
-                      "race_avg_finish_season_prior", "constructor_race_avg_finish_season_prior",
-                      F.coalesce(F.col("practice_sessions"), F.lit(0)).cast("bigint").alias("practice_sessions"),
-                      "practice_rank", r6("practice_longrun_trimmed_ms").alias("practice_longrun_trimmed_ms"))
+    b = b.withColumns({"season": big("season"), "round": big("round"), "circuit_id": big("circuit_id")})
+    out = b.join(_practice(spark, sf), ["season", "round", "driver_id"], "left").join(lr, ["season", "round", "driver_id"], "left")
+    out = out.withColumn("practice_sessions", F.coalesce(F.col("practice_sessions"), F.lit(0).cast("bigint")))
+    return rounded(out.select(*POSTQ_OUT))

@@ -1,12 +1,16 @@
 """Registered queries for ranking, distributions, comparison and evaluation (D*, V*).
 
-K8 predictions: score = season-prior mean qualifying position (F3), 1000
-when the entity has no prior; predicted order by D1. Actuals are K1.
+K8 predictions: score = season-prior mean qualifying position (F3), NULL
+when the entity has no prior; predicted order by D1 (NULL last). Actuals are K1.
+
+Position distributions are drawn for *heats*: the entities of a round in fields of at most
+``FIELD`` by entity number, so a field is bounded however large a round grows. Actual positions
+in a heat are the ranks of K1's positions within it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priorwise.operators import dist as D
@@ -17,16 +21,16 @@ from priorwise.plans.carriers import with_carriers
 from priorwise.plans.queries_asof import CTE_F3, SQL_SP
 from priorwise.plans.registry import big, r6, register
 
-NO_PRIOR_SCORE = 1000.0
-SAMPLES = 500          # draws per round for the registered distribution queries
+SAMPLES = 5000         # draws of each heat
 TEMPERATURE = 1.0
 SEED = 42
-RACE_TEMPERATURE = 4.0
+FIELD = 20             # entities of a heat at most
+HEAT = ["season", "round", "heat"]
 
 K8_SQL = CTE_F3 + f""",
 k8 AS (
   SELECT s.season, s.round, s.driver_id, s.constructor_id,
-         coalesce(f3.driver_q_avg_pos_season_prior, {NO_PRIOR_SCORE}) AS score
+         f3.driver_q_avg_pos_season_prior AS score
   FROM sp s JOIN f3 USING (season, round, driver_id)
 ),
 k8r AS (
@@ -45,16 +49,58 @@ def k8_scores(spark: SparkSession, sf: str) -> DataFrame:
     sp, facts = FT.baseline_inputs(spark, sf)
     f3 = FT.entity_season_form(sp.select("season", "round", "driver_id", "constructor_id"), facts)
     return f3.select("season", "round", "driver_id", "constructor_id",
-                     F.coalesce(F.col("driver_q_avg_pos_season_prior"), F.lit(NO_PRIOR_SCORE)).alias("score"))
+                     F.col("driver_q_avg_pos_season_prior").alias("score"))
 
 
 def k8_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return D.rank_by_score(k8_scores(spark, sf))
 
 
-def _hash_sql(seed: str, entity: str = "k.driver_id", group: str = "concat_ws('-', k.season, k.round)") -> str:
-    return (f"((CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {group}, t.sample, {entity})), 1, 8))"
-            f" AS BIGINT) + 0.5) / 4294967296.0)")
+def with_heat(df: DataFrame) -> DataFrame:
+    return df.withColumn("heat", F.floor(F.col("driver_id") / FIELD).cast("bigint"))
+
+
+def heat_actuals(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 with its positions ranked within each heat."""
+    k1 = with_heat(K.results(spark, sf))
+    q = Window.partitionBy(*HEAT).orderBy("qualifying_position")
+    f = Window.partitionBy(*HEAT, "dnf").orderBy("finish_position")
+    return k1.select(*HEAT, "driver_id", "dnf", F.row_number().over(q).cast("bigint").alias("qualifying_position"),
+                     F.when(F.col("dnf") == 0, F.row_number().over(f)).cast("bigint").alias("finish_position"))
+
+
+HEAT_SQL = f""",
+k8h AS (SELECT *, CAST(floor(driver_id / {float(FIELD)}) AS BIGINT) AS heat FROM k8),
+kh AS (
+  SELECT season, round, heat, driver_id, dnf,
+         CAST(row_number() OVER (PARTITION BY season, round, heat ORDER BY qualifying_position) AS BIGINT) AS qualifying_position,
+         CAST(CASE WHEN dnf = 0 THEN row_number() OVER (PARTITION BY season, round, heat, dnf ORDER BY finish_position) END
+              AS BIGINT) AS finish_position
+  FROM (SELECT *, CAST(floor(driver_id / {float(FIELD)}) AS BIGINT) AS heat FROM k1) k
+),
+k8f AS (
+  SELECT k.*, coalesce(k.score, max(k.score) OVER (PARTITION BY k.season, k.round, k.heat), 0.0) AS filled,
+         count(*) OVER (PARTITION BY k.season, k.round, k.heat) AS n
+  FROM k8h k
+)"""
+
+
+def _draws_sql(source: str, seed: str, name: str, extra: str) -> str:
+    """CTEs ``{name}_0`` ... ``{name}`` with a uniform ``{name}_u`` for each (row of source, sample)."""
+    h = f"md5(concat_ws('|', '{seed}', concat_ws('-', season, round, heat), driver_id))"
+    ctes = f""",
+{name}_0 AS (
+  SELECT s.*, CAST(('0x' || substr(h, 1, 7)) AS BIGINT) + 1 AS a, CAST(('0x' || substr(h, 9, 7)) AS BIGINT) + 1 AS b{extra}
+  FROM (SELECT *, {h} AS h FROM {source}) s{" CROSS JOIN range(0, " + str(SAMPLES) + ") t(t)" if extra else ""}
+)"""
+    last = f"{name}_0"
+    for i, (col, sql) in enumerate(D.DRAW_STEPS):
+        step = sql.format(a="a", b="b", t="t", x="x", y="y")
+        keep = "* EXCLUDE (x)" if col == "x" and i else "* EXCLUDE (y)" if col == "y" and i > 4 else "*"
+        ctes += f",\n{name}_{i + 1} AS (SELECT {keep}, {step} AS {col} FROM {last})"
+        last = f"{name}_{i + 1}"
+    uni = D.DRAW_UNIFORM.format(x="x", y="y").replace("D)", ")").replace("D", "")
+    return ctes + f",\n{name} AS (SELECT * EXCLUDE (a, b, h, x, y), {uni} AS {name}_u FROM {last})"
 
 
 # ---------------------------------------------------------------------------
@@ -71,9 +117,10 @@ def q_rank_by_score(spark: SparkSession, sf: str) -> DataFrame:
 @register("softmax_group", _sql("", f"""SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
   driver_id, round(e / sum(e) OVER (PARTITION BY season, round), 6) AS p_win
 FROM (SELECT *, exp(u - max(u) OVER (PARTITION BY season, round)) AS e
-      FROM (SELECT *, -score / {RACE_TEMPERATURE} AS u FROM k8) a) b"""))
+      FROM (SELECT *, -coalesce(score, max(score) OVER (PARTITION BY season, round), 0.0) / {TEMPERATURE} AS u
+            FROM k8) a) b"""))
 def q_softmax_group(spark: SparkSession, sf: str) -> DataFrame:
-    p = D.softmax_group(k8_scores(spark, sf), temperature=RACE_TEMPERATURE)
+    p = D.softmax_group(k8_scores(spark, sf), temperature=TEMPERATURE)
     return p.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
                     r6("p_win").alias("p_win"))
 
@@ -81,109 +128,80 @@ def q_softmax_group(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # D3, D4, D5
 # ---------------------------------------------------------------------------
-D3_SQL = _sql(f""",
-draws AS (
-  SELECT k.season, k.round, k.driver_id, t.sample,
-         k.score / {TEMPERATURE} + ln(-ln({_hash_sql(SEED)})) AS key
-  FROM k8 k CROSS JOIN range(0, {SAMPLES}) t(sample)
-),
-ranked AS (
-  SELECT season, round, driver_id,
-         row_number() OVER (PARTITION BY season, round, sample ORDER BY key, driver_id) AS position
-  FROM draws
-)""", f"""SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id,
-  CAST(position AS BIGINT) AS position, round(count(*) / {float(SAMPLES)}, 6) AS probability
-FROM ranked GROUP BY 1, 2, 3, 4""")
+D3_CTE = HEAT_SQL + _draws_sql("k8f", str(SEED), "dr", ", t.t") + f""",
+d3 AS (
+  SELECT season, round, heat, driver_id, CAST(position AS BIGINT) AS position, count(*) AS draws
+  FROM (SELECT *, row_number() OVER (PARTITION BY season, round, heat, t
+               ORDER BY filled / {TEMPERATURE} + ln(-ln(dr_u)), driver_id) AS position FROM dr) r
+  GROUP BY 1, 2, 3, 4, 5
+)"""
+HEAT_OUT = "CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, heat"
+
+
+def _d3(spark: SparkSession, sf: str, dense: bool = False) -> DataFrame:
+    return D.rank_distribution(with_heat(k8_scores(spark, sf)), samples=SAMPLES, temperature=TEMPERATURE, seed=SEED,
+                               group=HEAT, dense=dense)
+
+
+def _heat_out(df: DataFrame, *extra) -> DataFrame:
+    return df.select(big("season").alias("season"), big("round").alias("round"), "heat", *extra)
+
 
+def _dist_out(d: DataFrame) -> DataFrame:
+    return _heat_out(d, "driver_id", "position", "draws", r6("probability").alias("probability"))
 
-@register("rank_distribution", D3_SQL)
+
+@register("rank_distribution", _sql(D3_CTE, f"""SELECT {HEAT_OUT}, driver_id, position, draws,
+  round(draws / {float(SAMPLES)}, 6) AS probability FROM d3"""))
 def q_rank_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    d = D.rank_distribution(k8_scores(spark, sf), samples=SAMPLES, temperature=TEMPERATURE,
-                            seed=SEED, dense=False)
-    return d.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
-                    "position", r6("probability").alias("probability"))
+    return _dist_out(_d3(spark, sf))
+
 
+@register("dense_matrix", _sql(D3_CTE, f"""SELECT CAST(g.season AS BIGINT) AS season, CAST(g.round AS BIGINT) AS round, g.heat,
+  g.driver_id, g.position, coalesce(c.draws, 0) AS draws, round(coalesce(c.draws, 0) / {float(SAMPLES)}, 6) AS probability
+FROM (SELECT season, round, heat, driver_id, CAST(unnest(generate_series(1, n)) AS BIGINT) AS position FROM k8f) g
+LEFT JOIN d3 c USING (season, round, heat, driver_id, position)"""))
+def q_dense_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Every (entity, position) of each heat, on the draws of D3."""
+    return _dist_out(_d3(spark, sf, dense=True))
 
-def _k8_dnf_sql() -> str:
-    return """,
+
+D4_CTE = HEAT_SQL + """,
 k8d AS (
-  SELECT k.*, round(coalesce(f.dnf_rate, 0.0), 6) AS dnf_prob
-  FROM k8 k LEFT JOIN (
+  SELECT k.*, coalesce(f.dnf_rate, 0.0) AS dnf_prob
+  FROM k8f k LEFT JOIN (
     SELECT s.season, s.round, s.driver_id,
            CAST(sum(f.dnf) AS DOUBLE) / nullif(count(f.driver_id), 0) AS dnf_rate
     FROM sp s LEFT JOIN kf f ON f.driver_id = s.driver_id AND f.season = s.season AND f.round < s.round
     GROUP BY 1, 2, 3) f USING (season, round, driver_id)
+)""" + _draws_sql("k8d", str(SEED), "dr", ", t.t") + _draws_sql("dr", f"{SEED}:out", "dw", "") + f""",
+d4 AS (
+  SELECT season, round, heat, driver_id, position, count(*) AS draws
+  FROM (SELECT *, CASE WHEN dw_u < dnf_prob THEN 'DNF' ELSE CAST(row_number() OVER (
+          PARTITION BY season, round, heat, t, dw_u < dnf_prob ORDER BY filled / {TEMPERATURE} + ln(-ln(dr_u)), driver_id)
+          AS VARCHAR) END AS position FROM dw) r
+  GROUP BY 1, 2, 3, 4, 5
 )"""
 
 
 def k8_with_dnf(spark: SparkSession, sf: str) -> DataFrame:
     """K8 scores plus a withdrawal probability = season-prior DNF rate (F6), 0 when unknown."""
     sp, facts = FT.baseline_inputs(spark, sf)
-    base = sp.select("season", "round", "driver_id", "constructor_id")
-    rel = FT.reliability(base, facts)
+    rel = FT.reliability(sp.select("season", "round", "driver_id", "constructor_id"), facts)
     f3 = FT.entity_season_form(rel, facts)
-    return f3.select("season", "round", "driver_id", "constructor_id",
-                     F.coalesce(F.col("driver_q_avg_pos_season_prior"), F.lit(NO_PRIOR_SCORE)).alias("score"),
-                     F.round(F.coalesce(F.col("driver_season_dnf_rate_prior"), F.lit(0.0)), 6).alias("dnf_prob"))
+    return f3.select("season", "round", "driver_id", "constructor_id", F.col("driver_q_avg_pos_season_prior").alias("score"),
+                     F.coalesce(F.col("driver_season_dnf_rate_prior"), F.lit(0.0)).alias("dnf_prob"))
 
 
-D4_SQL = _sql(_k8_dnf_sql() + f""",
-draws AS (
-  SELECT k.season, k.round, k.driver_id, t.sample,
-         k.score / {RACE_TEMPERATURE} + ln(-ln({_hash_sql(SEED)})) AS key,
-         {_hash_sql(f'{SEED}:out')} < k.dnf_prob AS is_out
-  FROM k8d k CROSS JOIN range(0, {SAMPLES}) t(sample)
-),
-ranked AS (
-  SELECT season, round, driver_id,
-         CAST(row_number() OVER (PARTITION BY season, round, sample ORDER BY key, driver_id) AS VARCHAR)
-           AS position
-  FROM draws WHERE NOT is_out
-  UNION ALL
-  SELECT season, round, driver_id, 'DNF' FROM draws WHERE is_out
-)""", f"""SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id,
-  position, round(count(*) / {float(SAMPLES)}, 6) AS probability
-FROM ranked GROUP BY 1, 2, 3, 4""")
-
-
-@register("rank_distribution_dnf", D4_SQL)
+def _d4(spark: SparkSession, sf: str) -> DataFrame:
+    return D.rank_distribution(with_heat(k8_with_dnf(spark, sf)), samples=SAMPLES, temperature=TEMPERATURE, seed=SEED,
+                               group=HEAT, withdraw_prob="dnf_prob", dense=False)
+
+
+@register("rank_distribution_dnf", _sql(D4_CTE, f"""SELECT {HEAT_OUT}, driver_id, position, draws,
+  round(draws / {float(SAMPLES)}, 6) AS probability FROM d4"""))
 def q_rank_distribution_dnf(spark: SparkSession, sf: str) -> DataFrame:
-    d = D.rank_distribution(k8_with_dnf(spark, sf), samples=SAMPLES, temperature=RACE_TEMPERATURE,
-                            seed=SEED, withdraw_prob="dnf_prob", dense=False)
-    return d.select(big("season").alias("season"), big("round").alias("round"), "driver_id",
-                    "position", r6("probability").alias("probability"))
-
-
-DENSE_SAMPLES = 100
-D5_SQL = _sql(f""",
-draws AS (
-  SELECT k.season, k.round, k.constructor_id, k.driver_id, t.sample,
-         k.score / {TEMPERATURE} + ln(-ln({_hash_sql(SEED, group="concat_ws('-', k.season, k.round, k.constructor_id)")})) AS key
-  FROM k8 k CROSS JOIN range(0, {DENSE_SAMPLES}) t(sample)
-),
-ranked AS (
-  SELECT season, round, constructor_id, driver_id,
-         row_number() OVER (PARTITION BY season, round, constructor_id, sample ORDER BY key, driver_id) AS position
-  FROM draws
-),
-cnt AS (SELECT season, round, constructor_id, driver_id, position, count(*) AS c FROM ranked GROUP BY ALL),
-grid AS (
-  SELECT season, round, constructor_id, driver_id,
-         CAST(unnest(generate_series(1, n)) AS BIGINT) AS position
-  FROM (SELECT *, count(*) OVER (PARTITION BY season, round, constructor_id) AS n FROM k8) k
-)""", f"""SELECT CAST(g.season AS BIGINT) AS season, CAST(g.round AS BIGINT) AS round, g.constructor_id,
-  g.driver_id, g.position, round(coalesce(c.c, 0) / {float(DENSE_SAMPLES)}, 6) AS probability
-FROM grid g LEFT JOIN cnt c ON c.season = g.season AND c.round = g.round
-  AND c.constructor_id = g.constructor_id AND c.driver_id = g.driver_id AND c.position = g.position""")
-
-
-@register("dense_matrix", D5_SQL)
-def q_dense_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense (entity x position) matrix per (round, constructor) heat."""
-    d = D.rank_distribution(k8_scores(spark, sf), samples=DENSE_SAMPLES, temperature=TEMPERATURE,
-                            seed=SEED, group=["season", "round", "constructor_id"], dense=True)
-    return d.select(big("season").alias("season"), big("round").alias("round"), "constructor_id",
-                    "driver_id", "position", r6("probability").alias("probability"))
+    return _dist_out(_d4(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -216,7 +234,7 @@ def q_input_gate(spark: SparkSession, sf: str) -> DataFrame:
 V4_CTE = """,
 v4 AS (
   SELECT p.season, p.round,
-         round(avg(abs(p.predicted_position - a.finish_position)), 6) AS mae,
+         avg(abs(p.predicted_position - a.finish_position)) AS mae,
          CAST(sum(CASE WHEN p.predicted_position = a.finish_position THEN 1 ELSE 0 END) AS BIGINT) AS exact,
          CAST(sum(CASE WHEN p.predicted_position <= 1 AND a.finish_position <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS top1,
          CAST(sum(CASE WHEN p.predicted_position <= 3 AND a.finish_position <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS top3,
@@ -229,18 +247,23 @@ v4 AS (
 )"""
 
 
-def _eval_top(spark: SparkSession, sf: str) -> DataFrame:
-    p = k8_predictions(spark, sf)
-    e = V.eval_top(p, K.results(spark, sf), actual_col="finish_position")
-    return e.withColumn("mae", r6("mae"))
+V4Q_CTE = V4_CTE.replace("finish_position", "qualifying_position")
+
+
+def _eval_top(spark: SparkSession, sf: str, actual_col: str = "finish_position") -> DataFrame:
+    return V.eval_top(k8_predictions(spark, sf), K.results(spark, sf), actual_col=actual_col)
 
 
 @register("eval_top", _sql(V4_CTE, """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
-  mae, exact, top1, top3, top5, n FROM v4"""))
+  round(mae, 6) AS mae, exact, top1, top3, top5, n FROM v4"""))
 def q_eval_top(spark: SparkSession, sf: str) -> DataFrame:
-    e = _eval_top(spark, sf)
-    return e.select(big("season").alias("season"), big("round").alias("round"), "mae", "exact",
-                    "top1", "top3", "top5", "n")
+    return _keys(_eval_top(spark, sf), r6("mae").alias("mae"), "exact", "top1", "top3", "top5", "n")
+
+
+@register("eval_top_quali", _sql(V4Q_CTE, """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+  round(mae, 6) AS mae, exact, top1, top3, top5, n FROM v4"""))
+def q_eval_top_quali(spark: SparkSession, sf: str) -> DataFrame:
+    return _keys(_eval_top(spark, sf, "qualifying_position"), r6("mae").alias("mae"), "exact", "top1", "top3", "top5", "n")
 
 
 @register("eval_range_summary", _sql(V4_CTE, """SELECT CAST(season AS BIGINT) AS season,
@@ -276,108 +299,161 @@ v1 AS (
 )"""
 
 
-@register("compare_top", _sql(V1_CTE, """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
-  driver_id, predicted_position, actual_position, abs_error, actual_text FROM v1"""))
-def q_compare_top(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.compare_top(k8_predictions(spark, sf), _actual(spark, sf))
-    return _keys(d, "driver_id", "predicted_position", "actual_position", "abs_error", "actual_text")
-
-
-@register("compare_top_summary", _sql(V1_CTE, """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+V1R_CTE = V1_CTE.replace("qualifying_position", "finish_position").replace("NO_QUALI_RESULT", "NO_RACE_RESULT")
+V1_OUT = """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
+  driver_id, predicted_position, actual_position, abs_error, actual_text FROM v1"""
+V1_SUM = """SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
   round(avg(CASE WHEN actual_position IS NOT NULL THEN abs_error END), 6) AS mae,
   CAST(sum(CASE WHEN actual_position IS NOT NULL AND abs_error = 0 THEN 1 ELSE 0 END) AS BIGINT) AS exact,
   count(actual_position) AS valid, CAST(sum(CASE WHEN actual_position IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing
-FROM v1 GROUP BY 1, 2"""))
+FROM v1 GROUP BY 1, 2"""
+RACE = {"actual_col": "finish_position", "sentinel": "NO_RACE_RESULT"}
+
+
+def _compare_top(spark: SparkSession, sf: str, **side: str) -> DataFrame:
+    return V.compare_top(k8_predictions(spark, sf), _actual(spark, sf), **side)
+
+
+def _top_out(d: DataFrame) -> DataFrame:
+    return _keys(d, "driver_id", "predicted_position", "actual_position", "abs_error", "actual_text")
+
+
+def _top_sum_out(d: DataFrame) -> DataFrame:
+    return _keys(V.compare_top_summary(d), r6("mae").alias("mae"), "exact", "valid", "missing")
+
+
+@register("compare_top", _sql(V1_CTE, V1_OUT))
+def q_compare_top(spark: SparkSession, sf: str) -> DataFrame:
+    return _top_out(_compare_top(spark, sf))
+
+
+@register("compare_top_race", _sql(V1R_CTE, V1_OUT))
+def q_compare_top_race(spark: SparkSession, sf: str) -> DataFrame:
+    return _top_out(_compare_top(spark, sf, **RACE))
+
+
+@register("compare_top_summary", _sql(V1_CTE, V1_SUM))
 def q_compare_top_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.compare_top_summary(V.compare_top(k8_predictions(spark, sf), _actual(spark, sf)))
-    return _keys(s, r6("mae").alias("mae"), "exact", "valid", "missing")
+    return _top_sum_out(_compare_top(spark, sf))
+
+
+@register("compare_top_race_summary", _sql(V1R_CTE, V1_SUM))
+def q_compare_top_race_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _top_sum_out(_compare_top(spark, sf, **RACE))
+
+
+# hits: every predicted entity of a heat whose actual position is one of the heat's n (or DNF), drawn or not
+V2_CTE = D3_CTE + f""",
+v2 AS (
+  SELECT k.season, k.round, k.heat, k.driver_id, a.qualifying_position AS actual_position, coalesce(d.draws, 0) AS draws
+  FROM k8f k JOIN kh a USING (season, round, heat, driver_id)
+  LEFT JOIN d3 d ON d.season = k.season AND d.round = k.round AND d.heat = k.heat AND d.driver_id = k.driver_id
+                AND d.position = a.qualifying_position
+  WHERE a.qualifying_position BETWEEN 1 AND k.n
+)"""
+V3_CTE = D4_CTE + """,
+lab AS (
+  SELECT k.season, k.round, k.heat, k.driver_id, k.n, a.driver_id IS NOT NULL AS known, a.finish_position,
+         CASE WHEN coalesce(a.dnf, 0) = 1 OR a.finish_position IS NULL THEN 'DNF'
+              ELSE CAST(a.finish_position AS VARCHAR) END AS actual_position
+  FROM k8f k LEFT JOIN kh a USING (season, round, heat, driver_id)
+),
+v3 AS (
+  SELECT l.*, coalesce(d.draws, 0) AS draws FROM lab l
+  LEFT JOIN d4 d ON d.season = l.season AND d.round = l.round AND d.heat = l.heat AND d.driver_id = l.driver_id
+                AND d.position = l.actual_position
+  WHERE l.actual_position = 'DNF' OR l.finish_position BETWEEN 1 AND l.n
+)"""
+MEAN_P = f"round(CAST(sum(draws) AS DOUBLE) / (count(*) * {float(SAMPLES)}), 6) AS avg_p_actual"
+
+
+def _detail_out(d: DataFrame) -> DataFrame:
+    return _heat_out(d, "driver_id", "actual_position", r6("probability").alias("probability")) \
+        .orderBy("season", "round", "heat", F.col("probability").desc(), "driver_id")
+
+
+def _hits_out(d: DataFrame) -> DataFrame:
+    return _heat_out(d, "hits", r6("avg_p_actual").alias("avg_p_actual"))
+
 
+def _compare_dist(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    heats = with_heat(k8_scores(spark, sf))
+    return V.compare_dist(heats, _d3(spark, sf), heat_actuals(spark, sf), SAMPLES, period=HEAT)
 
-D3_CTE = D3_SQL[D3_SQL.index(",\ndraws AS"):D3_SQL.index("SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id,\n  CAST(position")]
-D3_CTE = D3_CTE + """,
-d3 AS (SELECT season, round, driver_id, CAST(position AS BIGINT) AS position, count(*) / 500.0 AS probability
-       FROM ranked GROUP BY 1, 2, 3, 4)"""
 
+def _compare_dist_dnf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    heats = with_heat(k8_scores(spark, sf))
+    return V.compare_dist(heats, _d4(spark, sf), heat_actuals(spark, sf), SAMPLES, actual_col="finish_position",
+                          period=HEAT, with_dnf=True)
 
-def _d3(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rank_distribution(k8_scores(spark, sf), samples=SAMPLES, temperature=TEMPERATURE, seed=SEED,
-                               dense=False)
 
+@register("compare_dist_detail", _sql(V2_CTE, f"""SELECT {HEAT_OUT}, driver_id, actual_position,
+  round(draws / {float(SAMPLES)}, 6) AS probability FROM v2"""))
+def q_compare_dist_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """V2 detail rows, most probable first within a heat."""
+    return _detail_out(_compare_dist(spark, sf)[0])
 
-@register("compare_dist", _sql(D3_CTE, """SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
-  count(*) AS hits, round(avg(d.probability), 6) AS avg_p_actual
-FROM d3 d JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
-                   AND a.qualifying_position = d.position
-GROUP BY 1, 2"""))
+
+@register("compare_dist", _sql(V2_CTE, f"SELECT {HEAT_OUT}, count(*) AS hits, {MEAN_P} FROM v2 GROUP BY 1, 2, 3"))
 def q_compare_dist(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.compare_dist(_d3(spark, sf), _actual(spark, sf))
-    return _keys(c, "hits", r6("avg_p_actual").alias("avg_p_actual"))
+    return _hits_out(_compare_dist(spark, sf)[1])
 
 
-@register("eval_dist", _sql(D3_CTE, """SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
-  round(avg(CASE WHEN a.qualifying_position = d.position THEN d.probability END), 6) AS avg_p_actual
-FROM d3 d LEFT JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
-WHERE EXISTS (SELECT 1 FROM k1 x WHERE x.season = d.season AND x.round = d.round)
-GROUP BY 1, 2"""))
+@register("eval_dist", _sql(V2_CTE, f"""SELECT CAST(k.season AS BIGINT) AS season, CAST(k.round AS BIGINT) AS round, k.heat,
+  round(CAST(sum(v.draws) AS DOUBLE) / (nullif(count(v.driver_id), 0) * {float(SAMPLES)}), 6) AS avg_p_actual
+FROM k8f k LEFT JOIN v2 v USING (season, round, heat, driver_id)
+WHERE EXISTS (SELECT 1 FROM kh x WHERE x.season = k.season AND x.round = k.round AND x.heat = k.heat)
+GROUP BY 1, 2, 3"""))
 def q_eval_dist(spark: SparkSession, sf: str) -> DataFrame:
-    e = V.eval_dist(_d3(spark, sf), _actual(spark, sf))
-    return _keys(e, r6("avg_p_actual").alias("avg_p_actual"))
+    heats = with_heat(k8_scores(spark, sf))
+    e = V.eval_dist(heats, _d3(spark, sf), heat_actuals(spark, sf), SAMPLES, period=HEAT)
+    return _heat_out(e, r6("avg_p_actual").alias("avg_p_actual"))
 
 
-D4_CTE = D4_SQL[D4_SQL.index(",\nk8d AS"):D4_SQL.index("SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id,\n  position,")]
-D4_CTE = D4_CTE + """,
-d4 AS (SELECT season, round, driver_id, position, count(*) / 500.0 AS probability FROM ranked GROUP BY 1, 2, 3, 4)"""
+@register("compare_dist_dnf_detail", _sql(V3_CTE, f"""SELECT {HEAT_OUT}, driver_id, actual_position,
+  round(draws / {float(SAMPLES)}, 6) AS probability FROM v3"""))
+def q_compare_dist_dnf_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 detail rows, most probable first within a heat."""
+    return _detail_out(_compare_dist_dnf(spark, sf)[0])
 
 
-def _d4(spark: SparkSession, sf: str) -> DataFrame:
-    return D.rank_distribution(k8_with_dnf(spark, sf), samples=SAMPLES, temperature=RACE_TEMPERATURE, seed=SEED,
-                               withdraw_prob="dnf_prob", dense=False)
-
-
-@register("compare_dist_dnf", _sql(D4_CTE, """SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
-  count(CASE WHEN d.position = CASE WHEN coalesce(a.dnf, 0) = 1 OR a.finish_position IS NULL THEN 'DNF'
-                                    ELSE CAST(a.finish_position AS VARCHAR) END THEN 1 END) AS hits,
-  round(avg(CASE WHEN d.position = CASE WHEN coalesce(a.dnf, 0) = 1 OR a.finish_position IS NULL THEN 'DNF'
-                                        ELSE CAST(a.finish_position AS VARCHAR) END THEN d.probability END), 6)
-    AS avg_p_actual
-FROM d4 d LEFT JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
-GROUP BY 1, 2"""))
+@register("compare_dist_dnf", _sql(V3_CTE, f"SELECT {HEAT_OUT}, count(*) AS hits, {MEAN_P} FROM v3 GROUP BY 1, 2, 3"))
 def q_compare_dist_dnf(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.compare_dist_dnf(_d4(spark, sf), _actual(spark, sf))
-    return _keys(c, "hits", r6("avg_p_actual").alias("avg_p_actual"))
-
-
-@register("eval_dist_dnf", _sql(D4_CTE, """, act AS (
-  SELECT season, round, driver_id, CASE WHEN coalesce(dnf, 0) = 1 OR finish_position IS NULL THEN 'DNF'
-                                        ELSE CAST(finish_position AS VARCHAR) END AS label FROM k1)
-SELECT CAST(d.season AS BIGINT) AS season, CAST(d.round AS BIGINT) AS round,
-  round(avg(CASE WHEN d.position = a.label THEN d.probability END), 6) AS avg_p_actual
-FROM d4 d LEFT JOIN act a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
-WHERE EXISTS (SELECT 1 FROM k1 x WHERE x.season = d.season AND x.round = d.round)
-GROUP BY 1, 2"""))
-def q_eval_dist_dnf(spark: SparkSession, sf: str) -> DataFrame:
-    e = V.eval_dist(_d4(spark, sf), _actual(spark, sf), actual_col="finish_position", with_dnf=True)
-    return _keys(e, r6("avg_p_actual").alias("avg_p_actual"))
+    return _hits_out(_compare_dist_dnf(spark, sf)[1])
 
 
-# ---------------------------------------------------------------------------
-# Coverage, latest round, weekend lookup, availability
-# ---------------------------------------------------------------------------
-IN_PROGRESS = (2001, 5)   # results published up to this round of the last season
+@register("eval_dist_dnf", _sql(V3_CTE, f"""SELECT CAST(k.season AS BIGINT) AS season, CAST(k.round AS BIGINT) AS round, k.heat,
+  round(CAST(sum(v.draws) AS DOUBLE) / (nullif(count(v.driver_id), 0) * {float(SAMPLES)}), 6) AS avg_p_actual
+FROM k8f k LEFT JOIN (SELECT * FROM v3 WHERE known) v USING (season, round, heat, driver_id)
+WHERE EXISTS (SELECT 1 FROM kh x WHERE x.season = k.season AND x.round = k.round AND x.heat = k.heat)
+GROUP BY 1, 2, 3"""))
+def q_eval_dist_dnf(spark: SparkSession, sf: str) -> DataFrame:
+    heats = with_heat(k8_scores(spark, sf))
+    e = V.eval_dist(heats, _d4(spark, sf), heat_actuals(spark, sf), SAMPLES, actual_col="finish_position", period=HEAT,
+                    with_dnf=True)
+    return _heat_out(e, r6("avg_p_actual").alias("avg_p_actual"))
 
 
-def _published(spark: SparkSession, sf: str) -> DataFrame:
-    k1 = _actual(spark, sf)
-    return k1.where((F.col("season") < IN_PROGRESS[0]) | (F.col("round") <= IN_PROGRESS[1]))
+@register("eval_range_dist", _sql(V2_CTE, f"""
+, e AS (SELECT season, round, heat, CAST(sum(draws) AS DOUBLE) / (count(*) * {float(SAMPLES)}) AS p FROM v2 GROUP BY 1, 2, 3)
+SELECT CAST(season AS BIGINT) AS season, round(avg(p), 6) AS avg_p_actual FROM e GROUP BY 1"""))
+def q_eval_range_dist(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 with distributions: mean of the heats' mean probabilities, next to the order's scores."""
+    heats = with_heat(k8_scores(spark, sf))
+    rounds = V.eval_dist(heats, _d3(spark, sf), heat_actuals(spark, sf), SAMPLES, period=HEAT)
+    s = V.eval_range_summary(_eval_top(spark, sf), rounds)
+    return s.select(big("season").alias("season"), r6("avg_p_actual").alias("avg_p_actual"))
 
 
-COV_CTE = f""",
-pub AS (SELECT * FROM k1 WHERE season < {IN_PROGRESS[0]} OR round <= {IN_PROGRESS[1]}),
+# ---------------------------------------------------------------------------
+# Coverage, latest round, weekend lookup, availability
+# ---------------------------------------------------------------------------
+COV_CTE = """,
 cov AS (
   SELECT coalesce(c.season, r.season) AS season, coalesce(c.n, 0) AS calendar_rounds,
          coalesce(r.n, 0) AS result_rounds
   FROM (SELECT season, count(DISTINCT round) AS n FROM k2 GROUP BY 1) c
-  FULL OUTER JOIN (SELECT season, count(DISTINCT round) AS n FROM pub GROUP BY 1) r ON c.season = r.season
+  FULL OUTER JOIN (SELECT season, count(DISTINCT round) AS n FROM k1 GROUP BY 1) r ON c.season = r.season
 )"""
 
 
@@ -385,7 +461,7 @@ cov AS (
   CAST(CASE WHEN calendar_rounds > 0 AND result_rounds >= calendar_rounds THEN 1 ELSE 0 END AS BIGINT) AS complete
 FROM cov"""))
 def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.coverage(K.weekends(spark, sf), _published(spark, sf))
+    c = V.coverage(K.weekends(spark, sf), _actual(spark, sf))
     return c.select(big("season").alias("season"), "calendar_rounds", "result_rounds", big("complete").alias("complete"))
 
 
@@ -396,20 +472,21 @@ def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
   CAST(season AS BIGINT) AS current_season, result_rounds AS current_done, calendar_rounds AS current_total
 FROM cov WHERE season = (SELECT max(season) FROM cov)"""))
 def q_coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = V.coverage_summary(V.coverage(K.weekends(spark, sf), _published(spark, sf)))
+    s = V.coverage_summary(V.coverage(K.weekends(spark, sf), _actual(spark, sf)))
     return s.select(big("trained_from").alias("trained_from"), big("trained_to").alias("trained_to"),
                     "complete_seasons", big("current_season").alias("current_season"), "current_done",
                     "current_total")
 
 
-@register("latest_round", with_carriers(f""",
-pub AS (SELECT * FROM k1 WHERE season < {IN_PROGRESS[0]} OR round <= {IN_PROGRESS[1]}),
-u AS (SELECT season, max(round) AS round FROM pub GROUP BY 1
-      UNION ALL SELECT season, max(round) FROM k4 GROUP BY 1)
+@register("latest_round", with_carriers("""
+, u AS (SELECT season, round FROM k1 UNION ALL SELECT season, round FROM k9 UNION ALL SELECT season, round FROM k4)
 SELECT CAST(season AS BIGINT) AS season, CAST(max(round) AS BIGINT) AS round FROM u
-WHERE season = (SELECT max(season) FROM u) GROUP BY 1""", "k1", "k4"))
+WHERE season = (SELECT max(season) FROM u) GROUP BY 1""", "k1", "k4", "k9"))
 def q_latest_round(spark: SparkSession, sf: str) -> DataFrame:
-    l = V.latest_round([_published(spark, sf), K.laps(spark, sf)])
+    """All four datasets: race, qualifying, sprint, practice."""
+    k1 = _actual(spark, sf)
+    l = V.latest_round([k1.where("finish_position IS NOT NULL"), k1.where("qualifying_position IS NOT NULL"),
+                        K.sprint_results(spark, sf, k1), K.laps(spark, sf)])
     return l.select(big("season").alias("season"), big("round").alias("round"))
 
 
@@ -443,29 +520,45 @@ def q_availability_matrix(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Proper scores
 # ---------------------------------------------------------------------------
-@register("brier_topk", _sql(D3_CTE, """, pk AS (
-  SELECT season, round, driver_id, sum(CASE WHEN position <= 3 THEN probability ELSE 0.0 END) AS p FROM d3 GROUP BY 1, 2, 3)
-SELECT CAST(p.season AS BIGINT) AS season, CAST(p.round AS BIGINT) AS round,
-  round(sum(power(CAST(round(p.p * 500) AS BIGINT) - CASE WHEN a.qualifying_position <= 3 THEN 500 ELSE 0 END, 2))
-        / (count(*) * 250000.0), 6) AS brier_top3
-FROM pk p LEFT JOIN k1 a ON a.season = p.season AND a.round = p.round AND a.driver_id = p.driver_id
-GROUP BY 1, 2"""))
+def _brier_sql(name: str, table: str, drawn: str, happened: str) -> str:
+    return f""", pk AS (
+  SELECT season, round, heat, driver_id, sum(CASE WHEN {drawn} THEN draws ELSE 0 END) AS c FROM {table} GROUP BY 1, 2, 3, 4)
+SELECT CAST(p.season AS BIGINT) AS season, CAST(p.round AS BIGINT) AS round, p.heat,
+  round(CAST(sum(power(p.c - CASE WHEN {happened} THEN {SAMPLES} ELSE 0 END, 2)) AS DOUBLE)
+        / (count(*) * {float(SAMPLES ** 2)}), 6) AS {name}
+FROM pk p LEFT JOIN kh a USING (season, round, heat, driver_id) GROUP BY 1, 2, 3"""
+
+
+def _brier_topk(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    b = V.brier_topk(_d3(spark, sf), heat_actuals(spark, sf), k, SAMPLES, actual_col="qualifying_position", period=HEAT)
+    return _heat_out(b, r6(f"brier_top{k}").alias(f"brier_top{k}"))
+
+
+@register("brier_topk", _sql(D3_CTE, _brier_sql("brier_top3", "d3", "position <= 3", "a.qualifying_position <= 3")))
 def q_brier_topk(spark: SparkSession, sf: str) -> DataFrame:
-    b = V.brier_topk(_d3(spark, sf), _actual(spark, sf), 3, actual_col="qualifying_position", samples=SAMPLES)
-    return _keys(b, r6("brier_top3").alias("brier_top3"))
+    return _brier_topk(spark, sf, 3)
 
 
-@register("log_loss", _sql(D3_CTE, """, pa AS (
-  SELECT d.season, d.round, d.driver_id,
-         sum(CASE WHEN d.position = a.qualifying_position THEN d.probability ELSE 0.0 END) AS p
-  FROM d3 d JOIN k1 a ON a.season = d.season AND a.round = d.round AND a.driver_id = d.driver_id
-  WHERE a.qualifying_position IS NOT NULL GROUP BY 1, 2, 3)
-SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round,
-  round(avg(-ln(greatest(p, 1e-15))), 6) AS log_loss, count(*) AS n
-FROM pa GROUP BY 1, 2"""))
+@register("brier_top10", _sql(D3_CTE, _brier_sql("brier_top10", "d3", "position <= 10", "a.qualifying_position <= 10")))
+def q_brier_top10(spark: SparkSession, sf: str) -> DataFrame:
+    return _brier_topk(spark, sf, 10)
+
+
+@register("brier_dnf", _sql(D4_CTE, _brier_sql("brier_dnf", "d4", "position = 'DNF'", "a.dnf = 1")))
+def q_brier_dnf(spark: SparkSession, sf: str) -> DataFrame:
+    b = V.brier_dnf(_d4(spark, sf), heat_actuals(spark, sf), SAMPLES, period=HEAT)
+    return _heat_out(b, r6("brier_dnf").alias("brier_dnf"))
+
+
+@register("log_loss", _sql(D3_CTE, f""", pa AS (
+  SELECT d.season, d.round, d.heat, d.driver_id,
+         sum(CASE WHEN d.position = a.qualifying_position THEN d.draws ELSE 0 END) / {float(SAMPLES)} AS p
+  FROM d3 d JOIN kh a USING (season, round, heat, driver_id) GROUP BY 1, 2, 3, 4)
+SELECT {HEAT_OUT}, round(avg(-ln(greatest(p, 1e-15))), 6) AS log_loss, count(*) AS n
+FROM pa GROUP BY 1, 2, 3"""))
 def q_log_loss(spark: SparkSession, sf: str) -> DataFrame:
-    l = V.log_loss(_d3(spark, sf), _actual(spark, sf), actual_col="qualifying_position")
-    return _keys(l, r6("log_loss").alias("log_loss"), "n")
+    l = V.log_loss(_d3(spark, sf), heat_actuals(spark, sf), actual_col="qualifying_position", period=HEAT)
+    return _heat_out(l, r6("log_loss").alias("log_loss"), "n")
 
 
 @register("rank_corr", _sql("", """, m AS (

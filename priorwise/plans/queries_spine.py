@@ -33,10 +33,10 @@ SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_
                                         "k3"))
 def q_dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
     k3 = K.entries(spark, sf)
-    raw = k3.withColumn("file_pos", F.abs(F.col("driver_id")))
+    raw = k3.withColumn("file_pos", F.struct(F.lit(0).alias("copy"), F.abs(F.col("driver_id")).alias("pos")))
     dups = (k3.where(F.col("driver_id") % DUP_MOD == 0)
             .withColumns({"constructor_id": F.col("constructor_id") + 100,
-                          "file_pos": F.abs(F.col("driver_id")) + 100000}))
+                          "file_pos": F.struct(F.lit(1).alias("copy"), F.abs(F.col("driver_id")).alias("pos"))}))
     out = E.dedupe_first(raw.unionByName(dups))
     return _out(out, "constructor_id")
 
@@ -44,7 +44,7 @@ def q_dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
 CARRY_SQL = """,
 last AS (
   SELECT season + 1 AS season, driver_id,
-         arg_max(constructor_id, round * 1000000 + qualifying_position) AS constructor_id
+         arg_max(constructor_id, {'r': round, 'q': qualifying_position}) AS constructor_id
   FROM k1 GROUP BY 1, 2
 ),
 e2 AS (
@@ -66,7 +66,7 @@ def q_entries_carry_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 PREV_SQL = """,
 pairs AS (
-  SELECT season + 1 AS season, driver_id, constructor_id, min(round * 1000000 + qualifying_position) AS pair_pos
+  SELECT season + 1 AS season, driver_id, constructor_id, min({'r': round, 'q': qualifying_position}) AS pair_pos
   FROM k1 GROUP BY 1, 2, 3
 ),
 e3 AS (
@@ -81,7 +81,7 @@ e3 AS (
 SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, driver_id, constructor_id FROM e3""",
                                                "k1", "k2"))
 def q_entries_prev_season(spark: SparkSession, sf: str) -> DataFrame:
-    k1 = _prev_results(spark, sf).withColumn("file_pos", F.col("round") * 1000000 + F.col("qualifying_position"))
+    k1 = _prev_results(spark, sf).withColumn("file_pos", F.struct("round", "qualifying_position"))
     e3 = E.entries_prev_season(k1, K.weekends(spark, sf)).withColumnRenamed("pair_pos", "file_pos")
     e3 = E.dedupe_first(e3.withColumn("constructor_id", F.col("constructor_id").cast("string")))
     return _out(e3, "constructor_id")
@@ -127,7 +127,7 @@ def q_entries_precedence(spark: SparkSession, sf: str) -> DataFrame:
     wk = K.weekends(spark, sf)
     results = k1.where(F.col("season") <= RESULTS_UNTIL)
     current = E.entries_carry_forward(k1.select("season", "driver_id"), k1, wk).withColumn("file_pos", F.lit(0))
-    prev = E.entries_prev_season(k1.withColumn("file_pos", F.col("round") * 1000000 + F.col("qualifying_position")), wk)
+    prev = E.entries_prev_season(k1.withColumn("file_pos", F.struct("round", "qualifying_position")), wk)
     prev = E.dedupe_first(prev.withColumnRenamed("pair_pos", "file_pos")).withColumn("file_pos", F.lit(0))
     out = E.entries_precedence({
         "results": results,

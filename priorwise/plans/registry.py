@@ -38,6 +38,16 @@ def r6(c: Column | str) -> Column:
     return F.round(col.cast("double"), 6)
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Every fraction of a query's final select at 6 places (operators themselves never round)."""
+    return df.select(*[r6(n).alias(n) if t in ("double", "float") else F.col(n) for n, t in df.dtypes])
+
+
+def rounded_sql(columns: list[str]) -> str:
+    """``* REPLACE`` list that rounds the given columns."""
+    return "* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in columns) + ")"
+
+
 def big(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return col.cast("bigint")

@@ -71,11 +71,13 @@ def _pages(rows: DataFrame, item: Column, results_field: str) -> DataFrame:
     pages = rows.groupBy("season", "round", "page", "race_name", "circuit_id", "race_date").agg(
         F.sort_array(F.collect_list(F.struct(F.col("ord"), item.alias("item")))).alias("items"),
         F.count(F.lit(1)).alias("n"))
-    w_off = Window.partitionBy("season").orderBy("round", "page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = pages.withColumns({
-        "offset": F.coalesce(F.sum("n").over(w_off), F.lit(0)),
-        "total": F.sum("n").over(Window.partitionBy("season")),
-    })
+    # rows of earlier rounds: a window over the calendar's rounds only; pages before this one are full
+    rounds = rows.groupBy("season", "round").agg(F.count(F.lit(1)).alias("r"))
+    w_off = Window.partitionBy("season").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    rounds = rounds.withColumn("before", F.coalesce(F.sum("r").over(w_off), F.lit(0))).drop("r")
+    totals = rows.groupBy("season").agg(F.count(F.lit(1)).alias("total"))
+    pages = pages.join(rounds, ["season", "round"]).join(totals, "season") \
+        .withColumn("offset", F.col("before") + F.col("page") * PAGE_LIMIT)
     race = _race_struct(results_field, F.transform("items", lambda x: x["item"]))
     doc = F.struct(F.struct(
         F.lit(str(PAGE_LIMIT)).alias("limit"), _s("offset").alias("offset"), _s("total").alias("total"),
@@ -85,7 +87,7 @@ def _pages(rows: DataFrame, item: Column, results_field: str) -> DataFrame:
 
 
 def results_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
-    r = k1.join(F.broadcast(k2), ["season", "round"])
+    r = k1.join(k2, ["season", "round"])
     pos = F.coalesce(F.col("finish_position"), 500 + F.col("qualifying_position"))
     item = F.struct(
         _s(pos).alias("position"),
@@ -101,7 +103,7 @@ def results_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
 
 
 def quali_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
-    r = k1.join(F.broadcast(k2), ["season", "round"])
+    r = k1.join(k2, ["season", "round"])
     base_ms = 60000 + F.col("rev") % 40000
     q1 = F.coalesce(*[F.when(F.col("driver_id") % 7 == k, F.lit(v)) for k, v in QTIME_EDGE.items()],
                     qtext(base_ms))
@@ -115,7 +117,7 @@ def quali_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
 
 
 def sprint_pages(spark: SparkSession, k9: DataFrame, k2: DataFrame) -> DataFrame:
-    r = k9.join(F.broadcast(k2), ["season", "round"])
+    r = k9.join(k2, ["season", "round"])
     pos = F.coalesce(F.col("finish_position"), 500 + F.col("grid_position"))
     item = F.struct(
         _s(pos).alias("position"),

@@ -45,8 +45,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     On a cluster the submitter names it in ``spark.checkpoint.dir``; we read
-    it from the session. Only when it is unset (local tests) do we create a
-    private scratch folder and register it.
+    it from the session. Only when it is unset on a local master (tests) do we create a
+    private scratch folder and register it; on a cluster that is an error, as executors
+    would not share such a folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -55,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="priorwise-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -60,8 +60,8 @@ RECORD_PATHS = {
 }
 
 
-class SnapshotError(ValueError):
-    pass
+#: Message of the error that a bad document raises inside the scan.
+SNAPSHOT_ERROR = "snapshot document without an MRData object"
 
 
 def read_snapshot(spark: SparkSession, root: str, multiline: bool = False,
@@ -70,15 +70,16 @@ def read_snapshot(spark: SparkSession, root: str, multiline: bool = False,
 
     ``multiline`` reads one pretty-printed document per file (the raw API
     dump); line-delimited documents (default) are splittable. With
-    ``validate`` a document whose root is not an object raises.
+    ``validate`` a document whose root is not an object, or whose MRData is not one, raises
+    inside the scan: no extra pass over the documents.
     """
     df = (spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", multiline)
           .option("mode", "PERMISSIVE").option("basePath", root).json(root))
+    df = df.withColumn("source_path", F.col("_metadata.file_path"))
     if validate:
-        bad = df.where(F.col("MRData").isNull()).limit(1).count()
-        if bad:
-            raise SnapshotError(f"snapshot under {root} has a document without an MRData object")
-    return df.withColumn("source_path", F.col("_metadata.file_path"))
+        what = F.concat(F.lit(f"{SNAPSHOT_ERROR}: "), F.col("source_path"))
+        df = df.withColumn("MRData", F.when(F.col("MRData").isNotNull(), F.col("MRData")).otherwise(F.raise_error(what)))
+    return df
 
 
 def records(snap: DataFrame, kind: str) -> DataFrame:

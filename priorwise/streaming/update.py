@@ -5,9 +5,11 @@ New result rows land as files in an incoming folder. A file stream with an
 upserts the touched partitions: batch rows plus the existing rows of those
 partitions, latest version wins per key, written with dynamic partition
 overwrite. The merged rows are staged first (a job cannot overwrite the
-files it reads). Progress is checkpointed in the shared folder, so a restart
-resumes with the next unprocessed files, and replaying a batch gives the
-same table (idempotent).
+files it reads). Checkpoint and staging folders belong to the table
+(``<table>_checkpoint``, ``<table>_staging`` unless given), so a later run with the same
+table resumes with the files that are new, and replaying a batch gives the same table
+(idempotent). Among rows of a key with equal versions the one of the incoming batch wins over the stored
+one, then the largest by value: the result does not depend on file order.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from priorwise.session import scratch_path
 from priorwise.sources.tables import _exists
 
 
@@ -25,13 +27,14 @@ def upsert_partitions(batch: DataFrame, table_root: str, keys: Sequence[str], pa
                       version_col: str, staging_root: str) -> None:
     spark = batch.sparkSession
     keys, parts = list(keys), list(partition_cols)
-    merged = batch
+    merged = batch.withColumn("__new", F.lit(1))
     if _exists(spark, table_root):
         touched = batch.select(*parts).distinct()
         existing = spark.read.parquet(table_root).join(touched, parts, "left_semi")
-        merged = existing.unionByName(batch, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(version_col).desc())
-    latest = merged.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+        merged = existing.withColumn("__new", F.lit(0)).unionByName(merged, allowMissingColumns=True)
+    rest = [F.col(c).desc_nulls_last() for c in sorted(batch.columns) if c not in (*keys, version_col)]
+    w = Window.partitionBy(*keys).orderBy(F.col(version_col).desc(), F.col("__new").desc(), *rest)
+    latest = merged.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn", "__new")
     latest.write.mode("overwrite").parquet(staging_root)
     staged = spark.read.parquet(staging_root)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -40,18 +43,24 @@ def upsert_partitions(batch: DataFrame, table_root: str, keys: Sequence[str], pa
 
 def stream_update(spark: SparkSession, incoming: str, table_root: str, keys: Sequence[str],
                   partition_cols: Sequence[str], version_col: str = "version",
-                  max_files_per_trigger: int = 4) -> DataFrame:
-    """Run the update stream over everything available now; return the table."""
-    schema = spark.read.option("recursiveFileLookup", "true").parquet(incoming).schema
+                  max_files_per_trigger: int = 4, schema: StructType | None = None,
+                  checkpoint: str | None = None, staging: str | None = None) -> DataFrame:
+    """Run the update stream over everything available now; return the table.
+
+    ``schema`` of the incoming rows: read from the files if not given (they must then exist).
+    """
+    checkpoint, staging = checkpoint or f"{table_root}_checkpoint", staging or f"{table_root}_staging"
+    if schema is None:
+        schema = spark.read.option("recursiveFileLookup", "true").parquet(incoming).schema
     stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(incoming))
 
     def each(batch: DataFrame, epoch: int) -> None:
         upsert_partitions(batch, table_root, keys, partition_cols, version_col,
-                          scratch_path(spark, f"staging-{epoch}"))
+                          f"{staging}/{epoch}")
 
     q = (stream.writeStream.foreachBatch(each)
-         .option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(table_root)
+    return spark.read.parquet(table_root) if _exists(spark, table_root) else spark.createDataFrame([], schema)
