@@ -157,16 +157,17 @@ class _Verifier:
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.texts = f"jaccard_texts_{uuid.uuid4().hex[:12]}"
         texts.repartition(self.buckets, "node").write.bucketBy(self.buckets, "node").sortBy("node").saveAsTable(self.texts)
-        self.seen: list[DataFrame] = []
+        self.seen: DataFrame | None = None  # pairs verified so far
 
     def links(self, pairs: DataFrame, group: int = 256) -> DataFrame:
         """Those of the pairs that link, as (u, v). ``group``: about so many rights a group of texts."""
         pair = [F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")]
         once = pairs.groupBy(*pair).agg(F.min("left").alias("left"))
-        for s in self.seen:
-            once = once.join(s, ["a", "b"], "left_anti")
+        if self.seen is not None:
+            once = once.join(self.seen, ["a", "b"], "left_anti")
         new = stage(once, "jaccard-pairs")
-        self.seen.append(new.select("a", "b"))
+        seen = new.select("a", "b")
+        self.seen = seen if self.seen is None else self.seen.unionByName(seen)
         pairs = new.select("left", F.when(F.col("left") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("right"))
         many = pairs.groupBy("left").agg(F.ceil(F.count(F.lit(1)) / group).alias("salts"))
         salted = pairs.join(many, "left").withColumn("salt", F.pmod(F.xxhash64("right"), "salts"))
