@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.classification import GBTClassifier
@@ -208,18 +208,31 @@ def calibrate_isotonic(scored: DataFrame, p: str, label: str) -> IsotonicRegress
     return IsotonicRegression(featuresCol=p, labelCol=label, predictionCol=f"{p}_cal", isotonic=True)
 
 
-def importance_topk(model: PipelineModel, k: int, spark) -> DataFrame:
-    """Global feature importance, top-k with the assembled slot names."""
-    from pyspark.ml.feature import VectorAssembler as VA
-
-    est = model.stages[-1]
-    assembler = [s for s in model.stages if isinstance(s, VA)][0]
-    names = assembler.getInputCols()
-    imp = est.featureImportances.toArray().tolist()
-    # slots beyond the numeric inputs belong to one-hot blocks; name them by block
-    slots = []
-    for n in names:
-        slots.append(n)
-    rows = [(slots[i] if i < len(slots) else f"slot_{i}", float(v)) for i, v in enumerate(imp)]
-    df = spark.createDataFrame(rows, "feature string, importance double")
+def feature_names(model: PipelineModel, rows: DataFrame) -> list[str]:
+    """Name of each slot of the assembled vector: a column, or column=value for a one-hot slot."""
+    values = {st.getOutputCol(): (st.getInputCol(), st.labels) for st in model.stages if isinstance(st, StringIndexerModel)}
+    column = {}
+    for st in model.stages:
+        if isinstance(st, OneHotEncoderModel):
+            column = dict(zip(st.getOutputCols(), st.getInputCols()))
+    attrs = model.transform(rows.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    names = {}
+    for a in (x for kind in attrs.values() for x in kind):
+        block = next((o for o in column if a["name"].startswith(f"{o}_")), None)
+        if block:
+            source, labels = values[column[block]]
+            value = a["name"][len(block) + 1:]
+            names[a["idx"]] = f"{source}={value if value in labels else MISSING}"
+        else:
+            names[a["idx"]] = a["name"]
+    return [names[i] for i in range(len(names))]
+
+
+def importance_topk(model: PipelineModel, k: int, rows: DataFrame) -> DataFrame:
+    """Global feature importance, top-k, slots named by the features column's own metadata.
+
+    ``rows``: any frame of the model's input columns (only its schema is used)."""
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    named = [(n, float(v)) for n, v in zip(feature_names(model, rows), imp, strict=True)]
+    df = rows.sparkSession.createDataFrame(named, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(k)

@@ -216,20 +216,16 @@ def q_stream_update(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("backtest_range")
 def q_backtest_range(spark: SparkSession, sf: str) -> DataFrame:
-    """One model snapshot as of the season start scores every round of the
-    backtest season in one pass (features are already leak-free), then V4/V6."""
+    """The registry's models as of one point replay every later round, qualifying and race
+    (features are already leak-free), then V4/V6 by season and stage."""
     from priorwise.operators.dist import rank_by_score
-    from priorwise.operators import train as M
-    from priorwise.plans import features as FT
-    from priorwise.plans.queries_model import CATEGORICAL, NUMERIC, _labels, _prep
-
-    season = 2000
-    feats = FT.features_baseline(spark, sf)
-    train = _prep(M.train_frame(feats, _labels(spark, sf), ["qualifying_position"], season, 1, 1995, season,
-                                drop_null=["qualifying_position"]))
-    model = M.feature_pipeline(NUMERIC, CATEGORICAL, M.position_regressor("qualifying_position", trees=10)).fit(train)
-    score = model.transform(_prep(feats.where(F.col("season") == season))).select(
-        "season", "round", "driver_id", F.col("prediction").alias("score"))
-    per_round = V.eval_top(rank_by_score(score), K.results(spark, sf).withColumn("season", big("season"))
-                           .withColumn("round", big("round")), actual_col="qualifying_position")
-    return V.eval_range_summary(per_round)
+    from priorwise.plans import queries_model as QM
+
+    rows = QM._scoring_rows(spark, sf)
+    actual = K.results(spark, sf).withColumns({"season": big("season"), "round": big("round")})
+    out = None
+    for stage, model, col in (("quali", QM.quali_model, "qualifying_position"), ("race", QM.finish_model, "finish_position")):
+        scores = QM.position_scores(rows, model(spark, sf))
+        s = V.eval_range_summary(V.eval_top(rank_by_score(scores), actual, actual_col=col)).withColumn("stage", F.lit(stage))
+        out = s if out is None else out.unionByName(s)
+    return out

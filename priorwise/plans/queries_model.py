@@ -2,13 +2,14 @@
 post-practice / post-qualifying frames (F13-F19).
 
 As-of point of the registered jobs: season 2000, round 7, training seasons
-1995..2000. Boosted trees keep the reference's depth and learning rate but
-use few trees so the registered jobs stay quick; the tree count is a
-parameter of the operators.
+1995..2000; every round from there on is scored. Each model is fitted once with the full number of
+trees (500, 700, 400) and then found in the registry by name and as-of point.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +23,12 @@ from priorwise.plans.queries_asof import CTE_F12, F12_DOUBLES, SQL_SP
 from priorwise.plans.queries_spine import P3_SQL
 from priorwise.plans.carriers import with_carriers
 from priorwise.plans.registry import big, r6, register, rounded, rounded_sql
-from priorwise.session import scratch_path
+from priorwise.operators.dist import rank_by_score
+from priorwise.session import checkpoint_dir, scratch_path
+from priorwise.sources.models import Artifact, ModelRegistry
 
 AS_OF = (2000, 7)
 START, TRAIN_END = 1995, 2000
-TREES = 10
 CONTRACT = FT.BASELINE_CONTRACT
 ID_COLS = ["driver_id", "constructor_id", "circuit_id"]
 NUMERIC = [n for n, t in CONTRACT if t in ("bigint", "double") and n not in ID_COLS + ["season", "round"]]
@@ -225,112 +227,174 @@ def q_train_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Models (rows-only checks)
+# Models (rows-only checks): sanitise -> impute -> index and one-hot -> fit, kept in the registry
 # ---------------------------------------------------------------------------
-def _prep(df: DataFrame) -> DataFrame:
-    """Sanitised model input, checkpointed to the shared folder: estimators
-    scan their input several times (indexers, then every boosting round), so
-    the long feature lineage is cut once instead of being recomputed."""
-    from priorwise.session import checkpoint_dir
+MODEL_NUMERIC = ["season", "round", *NUMERIC]
+MODEL_CATEGORICAL = [*ID_COLS, "weekend_id", *CATEGORICAL]
+ROW = {"season": "row_season", "round": "row_round", "driver_id": "row_driver"}  # keys beside the features
+
+
+def model_input(df: DataFrame) -> DataFrame:
+    """M3 with the row's keys kept next to the sanitised features."""
+    keyed = df.select("*", *[F.col(k).alias(v) for k, v in ROW.items()])
+    return M.sanitize(keyed, id_cols=ID_COLS, exclude=list(ROW.values()))
+
+
+def _scored(df: DataFrame, *extra) -> DataFrame:
+    return df.select(*[F.col(v).alias(k) for k, v in ROW.items()], *extra)
+
+
+def registry_of(spark: SparkSession, sf: str) -> ModelRegistry:
+    """One registry for each data folder, in the shared folder."""
+    return ModelRegistry(spark, f"{checkpoint_dir(spark).rstrip('/')}/models/{zlib.crc32(sf.encode()):08x}")
+
+
+def fit_artifact(train: DataFrame, estimator, **meta) -> Artifact:
+    """M4 + M5 + fit: medians and indicators of this frame, then the pipeline.
 
-    s = M.sanitize(df, id_cols=ID_COLS, exclude=["season", "round", "driver_id"])
-    s = s.fillna(0.0, subset=[c for c in NUMERIC if c in s.columns])
-    checkpoint_dir(df.sparkSession)
-    return s.checkpoint(eager=True)
+    The frame is written down once for the estimator's many passes, on few partitions if it is small."""
+    train = stage_frame(train)
+    stats = M.fit_impute(train, MODEL_NUMERIC).first().asDict()  # one row of column statistics
+    filled = M.apply_impute(train, stats, MODEL_NUMERIC)
+    numeric = [c for c in MODEL_NUMERIC if c in filled.columns] + [c for c in filled.columns if c.endswith("__missing")]
+    model = M.feature_pipeline(numeric, MODEL_CATEGORICAL, estimator).fit(filled)
+    return Artifact(model, {**meta, "stats": stats, "numeric": numeric})
+
+
+def stage_frame(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
+    path = scratch_path(df.sparkSession, "model-input")
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.repartition(back.count() // rows_per_partition + 1)
+
+
+def prepared(rows: DataFrame, artifact: Artifact) -> DataFrame:
+    """Scoring rows with the training frame's imputation and columns; absent ones as missing."""
+    s = model_input(rows)
+    for c in MODEL_NUMERIC:
+        if c not in s.columns:
+            s = s.withColumn(c, F.lit(None).cast("double"))
+    for c in MODEL_CATEGORICAL:
+        if c not in s.columns:
+            s = s.withColumn(c, F.lit(M.MISSING))
+    return M.apply_impute(s, artifact.meta["stats"], MODEL_NUMERIC)
 
 
 def _scoring_rows(spark: SparkSession, sf: str) -> DataFrame:
-    f = FT.features_baseline(spark, sf).where(from_as_of())
-    return _prep(f)
+    return FT.features_baseline(spark, sf).where(from_as_of())
+
+
+def quali_model(spark: SparkSession, sf: str) -> Artifact:
+    """M6, from the registry."""
+    def train() -> Artifact:
+        return fit_artifact(model_input(m1_frame(spark, sf)), M.position_regressor("qualifying_position"))
+
+    return registry_of(spark, sf).load_or_train("quali", *AS_OF, train)
+
 
+def finish_model(spark: SparkSession, sf: str) -> Artifact:
+    """M7, from the registry."""
+    def train() -> Artifact:
+        known = model_input(m2_frame(spark, sf).where(F.col("finish_position").isNotNull()))
+        est = M.position_regressor("finish_position", trees=700, weight="weight", min_instances=5)
+        return fit_artifact(M.recency_weight(known), est)
 
-def fit_position(spark: SparkSession, sf: str, trees: int = TREES):
-    est = M.position_regressor("qualifying_position", trees=trees)
-    train = _prep(m1_frame(spark, sf))
-    return M.feature_pipeline(NUMERIC, CATEGORICAL, est).fit(train)
+    return registry_of(spark, sf).load_or_train("finish", *AS_OF, train)
+
+
+def event_model(spark: SparkSession, sf: str, part: str = "all") -> Artifact:
+    """M10, from the registry, on all rows or (``part`` 'train') without the calibration season.
+
+    Base rate and class weight are those of the whole frame either way; a rate of 0 or 1 has a constant predictor."""
+    def train() -> Artifact:
+        frame = m2_frame(spark, sf)
+        base = M.base_rate_recent(frame).first()["base_rate"]
+        if base is None or base <= 0 or base >= 1:
+            return Artifact(None, {"base_rate": base or 0.0})
+        if part == "train":
+            frame = M.calibration_split(frame).where(F.col("split") == "train").drop("split")
+        weighted = M.class_weight(M.recency_weight(model_input(frame)), "dnf", base)
+        return fit_artifact(weighted, M.event_classifier("dnf", weight="event_weight"), base_rate=base)
+
+    return registry_of(spark, sf).load_or_train(f"event-{part}", *AS_OF, train)
+
+
+def position_scores(rows: DataFrame, artifact: Artifact) -> DataFrame:
+    return _scored(artifact.model.transform(prepared(rows, artifact)), F.col("prediction").alias("score"))
+
+
+def event_scores(rows: DataFrame, artifact: Artifact, *extra: str) -> DataFrame:
+    if artifact.model is None:  # constant majority predictor
+        return rows.select(*ROW, F.lit(float(artifact.meta["base_rate"] >= 0.5)).alias("p"), *extra)
+    return _scored(M.event_probability(artifact.model, prepared(rows, artifact)), "p", *extra)
+
+
+def race_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Race scoring end to end: finish score, event probability, calibrated (M12), rescaled to the base rate."""
+    split = event_model(spark, sf, "train")
+    held = M.calibration_split(m2_frame(spark, sf)).where(F.col("split") == "calibrate").drop("split")
+    known = event_scores(held, split, "dnf").withColumn("dnf", F.col("dnf").cast("double"))
+    iso = M.calibrate_isotonic(known, "p", "dnf").fit(known)
+    rows = _scoring_rows(spark, sf)
+    p = iso.transform(event_scores(rows, event_model(spark, sf)))
+    p = M.rescale_to_rate(p, float(split.meta["base_rate"]), p="p_cal", out="dnf_prob")
+    score = position_scores(rows, finish_model(spark, sf))
+    return score.join(p.select(*ROW, "p", "p_cal", "dnf_prob"), list(ROW))
 
 
 @register("model_position")
 def q_model_position(spark: SparkSession, sf: str) -> DataFrame:
-    model = fit_position(spark, sf)
-    return model.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
-                                                           F.col("prediction").alias("score"))
+    return position_scores(_scoring_rows(spark, sf), quali_model(spark, sf))
 
 
 @register("model_finish")
 def q_model_finish(spark: SparkSession, sf: str) -> DataFrame:
-    train = M.recency_weight(_prep(m2_frame(spark, sf)).where(F.col("finish_position").isNotNull()))
-    est = M.position_regressor("finish_position", trees=TREES, weight="weight", min_instances=5)
-    model = M.feature_pipeline(NUMERIC, CATEGORICAL, est).fit(train)
-    return model.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
-                                                           F.col("prediction").alias("score"))
-
-
-def fit_event(spark: SparkSession, sf: str, frame: DataFrame | None = None):
-    tr = frame if frame is not None else _prep(m2_frame(spark, sf))
-    base = M.base_rate_recent(tr).first()["base_rate"]
-    if base is None or base <= 0 or base >= 1:
-        return None, base
-    tr = M.class_weight(M.recency_weight(tr), "dnf", base)
-    est = M.event_classifier("dnf", trees=TREES, weight="event_weight")
-    return M.feature_pipeline(NUMERIC, CATEGORICAL, est).fit(tr), base
+    return position_scores(_scoring_rows(spark, sf), finish_model(spark, sf))
 
 
 @register("model_event")
 def q_model_event(spark: SparkSession, sf: str) -> DataFrame:
-    model, base = fit_event(spark, sf)
-    rows = _scoring_rows(spark, sf)
-    if model is None:  # constant majority predictor
-        return rows.select("season", "round", "driver_id", F.lit(float(base >= 0.5)).alias("p"))
-    return M.event_probability(model, rows).select("season", "round", "driver_id", "p")
+    return event_scores(_scoring_rows(spark, sf), event_model(spark, sf))
 
 
 @register("calibrate_isotonic")
 def q_calibrate_isotonic(spark: SparkSession, sf: str) -> DataFrame:
-    frame = M.calibration_split(_prep(m2_frame(spark, sf)))
-    model, _ = fit_event(spark, sf, frame.where(F.col("split") == "train").drop("split"))
-    cal = frame.where(F.col("split") == "calibrate").drop("split")
-    scored = M.event_probability(model, cal).select("p", F.col("dnf").cast("double").alias("dnf"))
-    iso = M.calibrate_isotonic(scored, "p", "dnf").fit(scored)
-    out = iso.transform(M.event_probability(model, _scoring_rows(spark, sf)).select("season", "round", "driver_id", "p"))
-    return out.select("season", "round", "driver_id", "p", F.col("p_cal"))
+    """M12 + M13 on every round from the as-of point on."""
+    return race_scores(spark, sf)
 
 
 @register("score_frame")
 def q_score_frame(spark: SparkSession, sf: str) -> DataFrame:
-    from priorwise.operators.dist import rank_by_score
-
-    model = fit_position(spark, sf)
-    s = model.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
-                                                         F.col("prediction").alias("score"))
-    return rank_by_score(s)
+    return rank_by_score(position_scores(_scoring_rows(spark, sf), quali_model(spark, sf)))
 
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml import PipelineModel
-
-    model = fit_position(spark, sf)
-    path = scratch_path(spark, f"models/quali/as_of={AS_OF[0]}-{AS_OF[1]:02d}")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    return loaded.transform(_scoring_rows(spark, sf)).select("season", "round", "driver_id",
-                                                            F.col("prediction").alias("score"))
+    """The model found by name scores as it did when it was saved."""
+    quali_model(spark, sf)
+    found = registry_of(spark, sf).load("quali", *AS_OF)
+    return position_scores(_scoring_rows(spark, sf), found)
 
 
 @register("importance_topk")
 def q_importance_topk(spark: SparkSession, sf: str) -> DataFrame:
-    model = fit_position(spark, sf)
-    return M.importance_topk(model, 10, spark)
+    artifact = quali_model(spark, sf)
+    return M.importance_topk(artifact.model, 10, prepared(_scoring_rows(spark, sf), artifact))
 
 
 @register("importance_values")
 def q_importance_values(spark: SparkSession, sf: str) -> DataFrame:
-    model = fit_position(spark, sf)
-    top = [r["feature"] for r in M.importance_topk(model, 5, spark).collect()]
-    src = [c for c in top if c in NUMERIC]
-    f = FT.features_baseline(spark, sf).where(from_as_of())
-    return f.select("driver_id", *src)
+    """The scored rows' values of the five most important features, one row a feature."""
+    artifact = quali_model(spark, sf)
+    rows = prepared(_scoring_rows(spark, sf), artifact)
+    top = [r["feature"] for r in M.importance_topk(artifact.model, 5, rows).collect()]  # 5 rows
+    values = {}
+    for name in top:
+        column, _, value = name.partition("=")  # a one-hot slot is column=value
+        values[name] = (F.col(column) == value).cast("double") if value else F.col(column).cast("double")
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("value")) for n, v in values.items()])
+    out = _scored(rows, F.explode(pairs).alias("f"))
+    return out.select(*ROW, "f.feature", "f.value")
 
 
 # ---------------------------------------------------------------------------
