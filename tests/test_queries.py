@@ -246,3 +246,14 @@ def test_a_cluster_without_shared_folder_is_an_error():
     fake = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(fake)
+
+
+def test_mapping_shapes(spark):
+    from priorwise.sources.mapping import explode_mapping
+
+    cfg = spark.sql("""SELECT map('2000-01', 'STREET') AS by_weekend_id, map('2000-02', 'PERMANENT') AS weekend_id,
+                       map('2000', map('3', 'STREET', 'x', 'OTHER')) AS by_season_round""")
+    assert [tuple(r) for r in explode_mapping(cfg, "by_weekend_id").collect()] == [("2000-01", "STREET")]
+    assert [tuple(r) for r in explode_mapping(cfg, "weekend_id").collect()] == [("2000-02", "PERMANENT")]
+    assert {tuple(r) for r in explode_mapping(cfg, "by_season_round").collect()} == {(2000, 3, "STREET"), (2000, None, "OTHER")}
+    assert explode_mapping(cfg, "by_moon").count() == 0
