@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm.common import by_bytes, table, with_row
+from priorwise.llm.common import bounded_batches, by_bytes, table, with_row
 from priorwise.llm.registry import register
 
 # the library's normaliser and split, which the file must name
@@ -53,7 +53,7 @@ def byte_alphabet() -> list[str]:
 class TrieBPE:
     """Encoder and decoder of one vocabulary file's content."""
 
-    def __init__(self, content: str, cache_words: int = 500_000, trie_words: int = 20_000):
+    def __init__(self, content: str, cache_words: int = 160_000, trie_words: int = 5_000):
         spec = json.loads(content)
         model = spec["model"]
         parts = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
@@ -72,9 +72,10 @@ class TrieBPE:
         self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first)) or '(?!)'})")
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.alphabet = byte_alphabet()
-        self.pair_ok: dict[tuple[int, int], bool] = {}
-        self.ids_of: dict[str, bytes] = {}
-        self.decoded_of: dict[str, str] = {}
+        self.pair_ok: dict[int, bool] = {}
+        # (ids, decoded text) of pieces; the pieces of the generation before are kept until this one is full
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
         self.cache_words, self.trie_words = cache_words, trie_words
         self._suffix_automaton()
 
@@ -97,11 +98,11 @@ class TrieBPE:
 
     def _follows(self, left: int, right: int) -> bool:
         """Does the two tokens' text encode to just these two?"""
-        if (ok := self.pair_ok.get((left, right))) is None:
+        if (ok := self.pair_ok.get(left << 24 | right)) is None:
             a, b = self.text_of[left], self.text_of[right]
-            if len(self.pair_ok) > 2_000_000:
+            if len(self.pair_ok) > 300_000:
                 self.pair_ok.clear()
-            ok = self.pair_ok[left, right] = self._merge(self._symbols(a) + self._symbols(b)) == [a, b]
+            ok = self.pair_ok[left << 24 | right] = self._merge(self._symbols(a) + self._symbols(b)) == [a, b]
         return ok
 
     # -- the trie; symbols are bytes, and 256 + byte for a word's last one
@@ -204,16 +205,15 @@ class TrieBPE:
 
     def learn(self, pieces: set[str]) -> None:
         """Fill the cache with the encodings of the pieces that it lacks, a bounded trie at a time."""
-        new = sorted(pieces.difference(self.ids_of))
-        if len(self.ids_of) + len(new) > self.cache_words:
-            self.ids_of.clear()
-            self.decoded_of.clear()
-            new = sorted(pieces)
+        if len(self.known) + len(pieces.difference(self.known)) > self.cache_words // 2:
+            self.known, self.before = {}, self.known
+        again = self.before.keys() & pieces.difference(self.known)
+        self.known.update((p, self.before[p]) for p in again)
+        new = sorted(pieces.difference(self.known))
         for i in range(0, len(new), self.trie_words):
             some = new[i:i + self.trie_words]
             for piece, ids in zip(some, self.encode_distinct([p.encode() for p in some])):
-                self.ids_of[piece] = array("I", ids).tobytes()
-                self.decoded_of[piece] = self.decode(ids)
+                self.known[piece] = array("I", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file: the tokens' texts joined by spaces."""
@@ -235,8 +235,9 @@ class TrieBPE:
                     ids.append(array("I", [self.special[pieces[0]]]).tobytes())
                     decoded += pieces
                 else:
-                    ids += map(self.ids_of.__getitem__, pieces)
-                    decoded += map(self.decoded_of.__getitem__, pieces)
+                    found = [self.known[p] for p in pieces]
+                    ids += [f[0] for f in found]
+                    decoded += [f[1] for f in found]
             out.append((b"".join(ids), " ".join(decoded)))
         return out
 
@@ -258,6 +259,7 @@ def bpe_encode(docs: DataFrame, vocab_path: str, text_col: str = "text", max_voc
     if len(content) > max_vocab_bytes:
         raise ValueError(f"{vocab_path} has over {max_vocab_bytes} characters; it is too large to broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(content)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_le32 binary, decoded string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

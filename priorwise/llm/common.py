@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,22 @@ def ascii_lower(text: Column) -> Column:
         .otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def by_bytes(batches: Iterator[pd.Series], limit: int = 8_000_000) -> Iterator[pd.Series]:
+def bounded_batches(spark: SparkSession, limit: int = 8_000_000) -> None:
+    """Arrow batches of about ``limit`` bytes, not of so many rows of any length: for sessions that set no lower bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def by_bytes(batches: Iterator[pd.Series], limit: int = 2_000_000) -> Iterator[pd.Series]:
     """Cut series of texts so that a piece has at most ``limit`` characters (or is one text): bounds memory."""
     for texts in batches:
         start, size = 0, 0
@@ -53,3 +71,4 @@ def by_bytes(batches: Iterator[pd.Series], limit: int = 8_000_000) -> Iterator[p
             size += n
         if len(texts):
             yield texts.iloc[start:]
+    give_back()

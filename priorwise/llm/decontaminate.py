@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm.common import table, with_row
+from priorwise.llm.common import bounded_batches, by_bytes, table, with_row
 from priorwise.llm.registry import register
 
 # one step from raw bytes to words: A-Z to a-z, other word bytes as they are, the rest to spaces
@@ -99,11 +99,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     listed, an id once; an empty benchmark leaves every document clean; an empty table gives no rows.
     """
     shards = _shards(benchmark, item_id_col, item_text_col, max_shard_bytes)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         single = Matcher(shards[0].value, window) if len(shards) == 1 else None
-        for texts in batches:
+        for texts in by_bytes(batches):
             words = [words_of(t) for t in texts]
             marks, found = [bytearray(len(w)) for w in words], [set() for _ in words]
             for shard in shards:

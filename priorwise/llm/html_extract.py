@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm.common import by_bytes, table, with_row
+from priorwise.llm.common import bounded_batches, by_bytes, table, with_row
 from priorwise.llm.html_blocks import Block, leaf_blocks
 from priorwise.llm.registry import register
 
@@ -320,6 +320,7 @@ def extract_main_text(pages: DataFrame, crf: Crf, html_col: str = "html") -> Dat
     gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(crf)
+    bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

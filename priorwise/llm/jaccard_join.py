@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm.common import by_bytes, stage, table, with_row
+from priorwise.llm.common import bounded_batches, by_bytes, give_back, stage, table
 from priorwise.llm.components import connected_components
 from priorwise.llm.registry import register
 from priorwise.llm.shingles import set_digest, shingle_sets
@@ -42,10 +42,19 @@ _PARTS = 16
 NO_ID = 1 << 62  # nodes of texts without an id lie from here on
 
 
-def _frames(frames: Iterator[pd.DataFrame], limit: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def _frames(frames: Iterator[pd.DataFrame], limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for texts in by_bytes(iter([f["text"]]), limit):
-            yield f.loc[texts.index]
+        ends, size = [0], 0
+        for i, t in enumerate(f["text"]):
+            n = len(t) if t else 0
+            if i > ends[-1] and size + n > limit:
+                ends.append(i)
+                size = 0
+            size += n
+        for a, b in zip(ends, [*ends[1:], len(f)]):
+            if b > a:
+                yield f.iloc[a:b]
+    give_back()
 
 
 def _node_id(doc_id, digest: tuple[int, int]) -> int:
@@ -225,6 +234,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty table gives no rows. Ids are integers below 2**62.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     staged = stage(base.mapInPandas(_profile(k, sketch_bits),

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm.common import by_bytes, table, with_row
+from priorwise.llm.common import bounded_batches, by_bytes, give_back, table, with_row
 from priorwise.llm.registry import register
 from priorwise.llm.shingles import chunks, mix, word_hashes
 
@@ -87,10 +87,11 @@ def _count(bits: int):
         for f in frames:
             for lang, texts in f.groupby("lang")["text"]:
                 total = counts.setdefault(lang, np.zeros(size, np.int64))
-                for part in by_bytes(iter([texts])):
-                    for _, some in chunks([clean(t) for t in part]):
+                for start in range(0, len(texts), 500):
+                    for _, some in chunks([clean(t) for t in texts.iloc[start:start + 500]]):
                         w = Words(some, bits)
                         total += np.bincount(np.r_[w.cells, w.words, w.scripts + (2 << bits)].astype(np.int64), minlength=size)
+        give_back()
         if counts:
             yield pd.DataFrame({"lang": list(counts), "counts": [zlib.compress(c.tobytes(), 1) for c in counts.values()]})
 
@@ -192,6 +193,7 @@ class LanguageModel:
 def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16,
                          max_langs: int = 500, **settings) -> LanguageModel:
     """Model of the languages in ``lang_col``, learned from all rows that have a text and a language."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")) \
         .where("text IS NOT NULL AND lang IS NOT NULL")
     parts = rows.mapInPandas(_count(bits), "lang string, counts binary").repartition("lang") \
@@ -209,6 +211,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang string, score double, spans array<struct<lang: string, start: long, end: long>>")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

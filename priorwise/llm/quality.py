@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorwise.llm.common import by_bytes, table, with_row
+from priorwise.llm.common import bounded_batches, by_bytes, table, with_row
 from priorwise.llm.registry import register
 from priorwise.llm.shingles import chunks, mix, token_hashes
 
@@ -129,6 +129,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text")
     """
     bits = (len(weights) - 1).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

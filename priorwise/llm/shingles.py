@@ -18,7 +18,7 @@ _BASE = 0x9E3779B97F4A7C13  # 3 modulo 8: powers differ in all but a few low bit
 _BASE_INV = pow(_BASE, -1, 2**64)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 
 class _Powers:
