@@ -37,8 +37,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays. Rows without an id all stay."""
-    members = jaccard_components(docs.select("doc_id", "text"))
+    """Of each group of linked documents the one with the smallest doc_id stays. Rows without an id all stay.
+
+    Links are those of near copies: Jaccard similarity of 0.8 or more over five words (op6's contract has values of its own).
+    """
+    members = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80)
     gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 

@@ -50,3 +50,18 @@ def test_stages_take_edge_rows_and_empty_tables(spark):
             now = out
         ids = [r["doc_id"] for r in now.collect()]
         assert (sorted(i for i in ids if i is not None) == [1, 1, 4, 9, 11]) if some else ids == []
+
+
+def test_near_duplicates_are_five_words_and_four_fifths(spark):
+    """Near copies that 4-word shingles at 85 % keep: links and what goes, on rows of any length."""
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]])),  # 41 of 51 shingles of five words, 43 of 51 of four
+            (3, " ".join(f"long{i}" for i in range(100))), (4, " ".join([f"long{i}" for i in range(100)] + ["more"] * 3)),
+            (5, " ".join(f"far{i}" for i in range(30))), (6, " ".join([f"far{i}" for i in range(22)] + ["gone"] * 8))]
+    sets = {d: brute.shingles(t, 5) for d, t in rows}
+    gone = {b for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert gone == {2, 4} and brute.components(rows)[2][1] == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(set(sets) - gone)
