@@ -9,10 +9,10 @@ Method
   transitions between neighbours. Weights are learned by stochastic gradient on the
   exact log-likelihood (forward-backward); pages are decoded by Viterbi.
 
-Labelled pages: of a bounded sample of ``max_pages`` pages (smallest hashes of the url and html), those with an
-``article`` or ``main`` element are labelled by it, less what nested landmarks set apart (navigation,
-headers and footers of the page, asides, forms, comments). Each is also laid out anew, its blocks in other
-containers with known labels (``relayout``), so that the field learns layouts without landmarks as well.
+Labelled pages: those with main text in an ``article`` or ``main`` element are labelled by it, less what nested
+landmarks set apart (navigation, headers and footers of the page, asides, forms, comments). All pages of the table are looked
+through; the sample is the ``max_pages`` distinct labelled ones of the smallest hashes. Each is also laid out anew, its blocks in
+other containers with known labels (``relayout``), so that the field learns layouts without landmarks as well.
 Training is one task over that sample; its weights (``2 ** bits`` numbers) are broadcast.
 """
 
@@ -285,13 +285,29 @@ def labelled_pages(pages: list[str | None], layouts: int, bits: int) -> list[tup
     return out
 
 
-def train_crf(pages: DataFrame, html_col: str = "html", max_pages: int = 300, layouts: int = 6, epochs: int = 5,
-              bits: int = 18) -> Crf:
-    """Field trained on a bounded sample of pages. Without landmarks in the sample nothing is learned: all is boilerplate."""
+def training_pages(pages: DataFrame, html_col: str = "html", max_pages: int = 300) -> DataFrame:
+    """html of the ``max_pages`` distinct pages with main text by landmarks whose hashes are smallest, of the whole table."""
+    bounded_batches(pages.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in by_bytes(batches):
+            yield pd.Series([any(landmark_labels(leaf_blocks(p)) or ()) for p in some], dtype=bool)
+
     html = F.col(f"`{html_col}`")
-    sample = pages.select(html.alias("html"), F.xxhash64(html).alias("place")).where("html IS NOT NULL") \
+    known = pages.select(html.alias("html"), F.xxhash64(html).alias("place")).where(F.col("html").rlike("(?i)<(article|main)"))
+    # copies fold by their hash, so that only hashes are shuffled
+    places = [r["place"] for r in known.where(labelled("html")).select("place").distinct().orderBy("place").limit(max_pages).collect()]
+    # other pages may share a hash: they are looked at again
+    return known.where(F.col("place").isin(places)).distinct().where(labelled("html")) \
         .orderBy("place", "html").limit(max_pages).select("html")
 
+
+def train_crf(pages: DataFrame, html_col: str = "html", max_pages: int = 300, layouts: int = 6, epochs: int = 5,
+              bits: int = 18) -> Crf:
+    """Field trained on a bounded sample of labelled pages. Without any in the table nothing is learned: all is boilerplate."""
+    sample = training_pages(pages, html_col, max_pages)
+
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = sorted(t for f in frames for t in f["html"])
         crf = Crf(bits)

@@ -125,6 +125,29 @@ def test_html(spark):
     assert extract_main_text(pages.where("page_id < 0"), crf).count() == 0
 
 
+def test_html_sample_is_of_distinct_labelled_pages(spark):
+    """Few pages with landmarks among many without, and many copies of one."""
+    from priorwise.llm.html_extract import extract_main_text, train_crf, training_pages
+
+    def page(i, tag):
+        return f"<div class=menu><a href=/>Home {i}</a></div><{tag}>" + "".join(f"<p>Sentence {i} {j}, and more.</p>" for j in range(5)) + f"</{tag}>"
+
+    few = [page(i, tag) for i, tag in enumerate(["article", "MAIN", "article", "main"])]
+    other = [page(i, "div") for i in range(200)] + ["<article><nav>Home</nav></article>", "<script>'<main>'</script>", None, ""]
+    pages = spark.createDataFrame([(h,) for h in few + other + few[:1] * 50], "html string")
+    assert sorted(r["html"] for r in training_pages(pages, max_pages=10).collect()) == sorted(few)
+    # the three labelled pages of the smallest hashes, each once
+    hashes = {r["html"]: r["h"] for r in pages.where("html IS NOT NULL").selectExpr("html", "xxhash64(html) h").collect()}
+    assert [r["html"] for r in training_pages(pages, max_pages=3).collect()] == sorted(few, key=hashes.get)[:3]
+    # none of the four is among the three smallest hashes of all pages: nothing was learned of them
+    assert not set(few) & set(sorted(hashes, key=hashes.get)[:3])
+    crf = train_crf(pages, max_pages=3)
+    texts = {r["row"]["html"]: r["text"] for r in extract_main_text(pages, crf).collect()}
+    for i in range(4):
+        assert texts[few[i]] == "\n".join(f"Sentence {i} {j}, and more." for j in range(5))
+    assert training_pages(pages.where("html IS NULL")).count() == 0
+
+
 def test_bpe(docs, none):
     import public_tokenizers
     from array import array
