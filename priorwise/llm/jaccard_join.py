@@ -20,6 +20,7 @@ Method
    are verified; one of the two is then outside the largest component under the shingle, so it is these
    few that are joined with the rest. No pair in different components stays unverified.
    The result is exact: no cap, no sampling.
+6. Who wants the links themselves gets them from ``jaccard_links``: it verifies all pairs that pass the filters.
 """
 
 from __future__ import annotations
@@ -224,15 +225,9 @@ def _stragglers(postings: DataFrame, percent: int) -> DataFrame:
         .select(F.col("s.node").alias("left"), F.col("x.node").alias("right"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85,
-                       sketch_bits: int = 20, hot_cell: int = 50_000, pivot_rounds: tuple[int, ...] = (1, 8, 16, 32)) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the least id reachable by links; links: Jaccard >= percent / 100).
-
-    Defined results: null and empty texts, and texts without words, have no shingles and are their own
-    component; rows that repeat an id are one document, linked by any of its texts; a row without
-    an id takes part, and its component_id is the least id among those it reaches, null if none;
-    an empty table gives no rows. Ids are integers below 2**62.
-    """
+def _posted(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, sketch_bits: int,
+            hot_cell: int) -> tuple[DataFrame, DataFrame, DataFrame, _Verifier]:
+    """Steps 1 to 3: profiles of the rows, classes, postings of the classes' prefixes, and the verifier of pairs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -261,6 +256,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = base.where("id IS NOT NULL").select(F.col("id").alias("node"), "text")
     no_ids = base.where("id IS NULL").mapInPandas(_nodes_of(k), "node long, text string")
     verifier = _Verifier(ids.unionByName(no_ids).join(nodes, "node", "left_semi"), k, percent)
+    return profiles, classes, postings, verifier
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85,
+                       sketch_bits: int = 20, hot_cell: int = 50_000, pivot_rounds: tuple[int, ...] = (1, 8, 16, 32)) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the least id reachable by links; links: Jaccard >= percent / 100).
+
+    Defined results: null and empty texts, and texts without words, have no shingles and are their own
+    component; rows that repeat an id are one document, linked by any of its texts; a row without
+    an id takes part, and its component_id is the least id among those it reaches, null if none;
+    an empty table gives no rows. Ids are integers below 2**62.
+    """
+    profiles, classes, postings, verifier = _posted(docs, id_col, text_col, k, percent, sketch_bits, hot_cell)
 
     # an id with several texts ties their classes together
     several = profiles.where("n > 0").join(classes, ["s1", "s2"]).where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v")) \
@@ -286,6 +294,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return linked.unionByName(alone)
 
 
+def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """All promising pairs, whatever their components."""
+    return postings.alias("s").join(postings.alias("x"), F.col("s.token") == F.col("x.token")) \
+        .where((F.col("s.node") < F.col("x.node")) & _promising("s", "x", percent)) \
+        .select(F.col("s.node").alias("left"), F.col("x.node").alias("right"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85,
+                  sketch_bits: int = 20, hot_cell: int = 50_000) -> DataFrame:
+    """Per row: id, n_shingles, class_id, n_links: how many other classes its class links with (Jaccard >= percent / 100).
+
+    The whole join, without the shortcut by components: all candidate pairs of class representatives are verified, so its work
+    grows with the links there are. Equal sets are one class, named by its least id (null if no row of it has one);
+    an id with several texts ties their classes into one, linked by any of the texts. Rows without shingles are
+    classes of their own without links; an empty table gives no rows.
+    """
+    profiles, classes, postings, verifier = _posted(docs, id_col, text_col, k, percent, sketch_bits, hot_cell)
+    named = profiles.where("n > 0").join(classes, ["s1", "s2"])
+    ties = connected_components(named.where(f"id < {NO_ID}").select(F.col("id").alias("u"), F.col("node").alias("v")), "jaccard-ties")
+    found = verifier.links(_all_pairs(postings, percent))
+    for side in ("u", "v"):
+        found = found.join(ties.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_class")), side, "left")
+    found = found.select(*[F.coalesce(f"{x}_class", x).alias(x) for x in "uv"]).where("u <> v") \
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    degree = stage(found.select(F.explode(F.array("u", "v")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links")),
+                   "jaccard-degrees")
+    verifier.close()
+    own = F.when(F.col("id") < NO_ID, F.col("id"))
+    linked = named.join(ties, "node", "left").withColumn("class", F.coalesce("comp", "node")).join(degree, "class", "left") \
+        .select(own.alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class") < NO_ID, F.col("class")).alias("class_id"),
+                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = profiles.where("n = 0").select(own.alias(id_col), F.col("n").alias("n_shingles"), own.alias("class_id"),
+                                           F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone)
+
+
 def _nodes_of(k: int):
     """Task: node and text of rows without an id."""
 
@@ -301,3 +345,9 @@ def _nodes_of(k: int):
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register("op6_jaccard_links")
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, class and number of links of every document."""
+    return jaccard_links(table(spark, sf_dir, "documents"))

@@ -65,6 +65,32 @@ def test_jaccard_pivots_and_stragglers_lose_no_link(spark):
     assert 1 < len({c for _, c in want.values()}) < 70
 
 
+def test_jaccard_links_are_all_counted(spark):
+    """Links inside a group of near copies count as well; equal sets are one class."""
+    from priorwise.llm.jaccard_join import jaccard_links
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        text = [f"w{j}" for j in range(120)]
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(120)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    rows += [(100, rows[7][1].upper()), (101, "quite alone here now"), (102, None), (103, " ")]
+    sets = {d: frozenset(brute.shingles(t)) for d, t in rows}
+    of = {d: min(e for e in sets if sets[e] == s) if s else d for d, s in sets.items()}
+    links = {d: sum(100 * len(sets[d] & sets[e]) >= 85 * len(sets[d] | sets[e]) for e in set(of.values()) if e != of[d] and sets[e])
+             if sets[d] else 0 for d in sets}
+    want = {(d, len(sets[d]), of[d], links[d]) for d in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"hot_cell": 5, "sketch_bits": 8}):
+        assert {tuple(r) for r in jaccard_links(docs, **options).collect()} == want
+    assert sum(links[d] for d in set(of.values())) // 2 > 40 - 1
+    several = spark.createDataFrame([(1, "one two three four five"), (1, "quite another text than that"), (3, "quite another text than that"),
+                                     (None, "no id here at all")], "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard_links(several).collect()), key=str) == [(1, 2, 1, 0), (1, 2, 1, 0), (3, 2, 1, 0), (None, 2, None, 0)]
+
+
 def test_shingle_sets_count_distinct_shingles():
     from priorwise.llm.shingles import shingle_sets
 
