@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from priorwise.llm import bpe, chat, decontaminate, exact_dedup, html_extract, jaccard_join, language  # noqa: F401
-    from priorwise.llm import line_dedup, quality, url_filter  # noqa: F401
+    from priorwise.llm import line_dedup, periodic, quality, substring_dedup, url_filter, whitening  # noqa: F401
     import corpus_pipeline  # noqa: F401

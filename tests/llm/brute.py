@@ -78,3 +78,47 @@ def hits(text, items, n=10):
 
 def sha(s) -> str:
     return hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
+
+
+def contract_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def substring_dedup(rows, size=20):
+    """rows: (id, text), in the order in which documents come -> list of (id, words, kept words)."""
+    seen, out = set(), []
+    for d, t in rows:
+        w, gone = contract_words(t), set()
+        for i in range(len(w) - size + 1):
+            key = tuple(w[i:i + size])
+            if key in seen:
+                gone |= set(range(i, i + size))
+            seen.add(key)
+        out.append((d, len(w), [x for i, x in enumerate(w) if i not in gone]))
+    return out
+
+
+def runs(w, least=24, copies=3):
+    """All (start, length, period): maximal stretches by every lag, each under its smallest period."""
+    n, found = len(w), {}
+    for q in range(1, n // copies + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, copies * q):
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((a, b - a, q) for (a, b), q in found.items())
+
+
+def whitening(vectors, k=16):
+    """(n, sums, eigenvalues, axes, trace) of distinct integer vectors, by numpy."""
+    import numpy as np
+
+    fit = np.array(sorted(set(map(tuple, vectors))), float)
+    c = fit - fit.mean(axis=0)
+    v = c.T @ c / len(fit)
+    values, axes = np.linalg.eigh(v)
+    return len(fit), fit.sum(axis=0), values[::-1][:k], axes[:, ::-1][:, :k], np.trace(v)
