@@ -23,11 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priorwise.llm import shingles as S
-from priorwise.llm.common import bounded_batches, by_bytes, give_back, stage, table, with_row
+from priorwise.llm.common import bounded_batches, by_bytes, give_back, table, with_row
 from priorwise.llm.registry import register
 
 _ROWS = 2
@@ -144,7 +144,10 @@ def repeated_bits(texts: DataFrame, size: int, bits: int) -> np.ndarray:
 
 
 def _candidates(size: int, bits: int, sketch):
-    """Task: of each batch the ranges to remove that it decides itself (k1 null), and the first place of each window that may repeat."""
+    """Task: of each batch the first place of each window that may repeat (high null), and the ranges to remove that it decides itself.
+
+    Rows come in the order of places: then neighbours in a shuffle block share document and mark, and compress well.
+    """
 
     def estimate(grams: np.ndarray) -> np.ndarray:
         """Does each gram count 2 or more in both rows?"""
@@ -182,27 +185,29 @@ def _candidates(size: int, bits: int, sketch):
             later = np.unique(place[place != least[group]])
             begin = np.flatnonzero(np.r_[True, (np.diff(later) > size) | (np.diff(later >> 32) > 0)]) if len(later) else later
             last = later[np.r_[begin[1:] - 1, len(later) - 1]] if len(later) else later
-            place = np.r_[least, later[begin]]
-            until = np.r_[(least & 0xFFFFFFFF) + size, (last & 0xFFFFFFFF) + size]
-            held = [names[k] for k in (place >> 32).tolist()]
-            none = np.zeros(len(begin), np.int64)
-            gone = np.r_[np.zeros(len(least), bool), np.ones(len(begin), bool)]
+            by_place = np.argsort(least)
+            place = np.r_[least[by_place], later[begin]]
+            high = np.r_[np.zeros(len(least), np.int32), ((last & 0xFFFFFFFF) + size).astype(np.int32)]
+            first = keys[new][by_place]
+            spread = S.mix(later[begin].astype(np.uint64)).astype(np.int64)  # ranges go anywhere
+            ids, marks = (np.array([x[i] for x in names], np.int64) for i in (1, 2))
+            none = np.array([x[0] for x in names])
+            held = place >> 32
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[keys[new, 0], none], mask=gone), pa.array(np.r_[keys[new, 1], none], mask=gone),
-                 pa.array([None if x[0] else x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()),
-                 pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(until.astype(np.int32))],
+                [pa.array(np.r_[first[:, 0], spread]), pa.array(np.r_[first[:, 1], spread]),
+                 pa.array(ids[held], mask=none[held]), pa.array(marks[held]),
+                 pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(high, mask=high == 0)],
                 ["k1", "k2", "doc", "mark", "low", "high"])
         give_back()
 
     return run
 
 
-def _keep(words: list[bytes], ranges: np.ndarray | None) -> list[bytes]:
-    if ranges is None or not len(ranges):
-        return words
+def _keep(words: list[bytes], low: np.ndarray, high: np.ndarray) -> list[bytes]:
+    """The words that lie in none of the ranges [low, high)."""
     ends = np.zeros(len(words) + 1, np.int64)
-    np.add.at(ends, ranges[::2], 1)
-    np.add.at(ends, ranges[1::2], -1)
+    np.add.at(ends, low.astype(np.int64), 1)
+    np.add.at(ends, high.astype(np.int64), -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(ends)[:-1] == 0)]
 
 
@@ -224,30 +229,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = min(max_bits, max(16, int(total // 8).bit_length()))  # some six cells a row for each anchor
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text")).where("text <> ''")
     sketch = spark.sparkContext.broadcast(repeated_bits(base.select("text"), size, bits))
-    found = stage(base.mapInArrow(_candidates(size, bits, sketch), "k1 long, k2 long, doc long, mark long, low int, high int"), "substring-windows")
-
-    place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "mark", "low")
-    later = found.where("k1 IS NOT NULL").withColumn("place", place) \
-        .withColumn("least", F.expr("min(place) OVER (PARTITION BY k1, k2)")).where("NOT (place <=> least)")
-    ranges = found.where("k1 IS NULL").select("doc", "mark", "low", "high").unionByName(later.select("doc", "mark", "low", "high")) \
-        .groupBy("doc", "mark").agg(F.flatten(F.collect_list(F.array("low", "high"))).alias("ranges"))
+    found = base.mapInArrow(_candidates(size, bits, sketch), "k1 long, k2 long, doc long, mark long, low int, high int")
+    # one shuffle: windows meet by digest, ranges (told apart by high) just pass; copies of a row have equal places and rank alike
+    order = Window.partitionBy("k1", "k2", "high").orderBy(F.col("doc").asc_nulls_last(), "mark", "low")
+    gone = found.withColumn("rank", F.rank().over(order)).where("high IS NOT NULL OR rank > 1")
+    decided = F.when(F.col("high").isNotNull(), F.array("low", "high"))
+    ranges = gone.groupBy("doc", "mark").agg(F.collect_list(F.when(F.col("high").isNull(), F.col("low"))).alias("lows"),
+                                             F.flatten(F.collect_list(decided)).alias("ranges"))
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, gone in batches:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, lows, spans in batches:
             at = 0
             for part in by_bytes(iter([texts])):
                 rows = []
-                for t, ranges in zip(part, gone.iloc[at:at + len(part)]):
+                for t, low, span in zip(part, lows.iloc[at:at + len(part)], spans.iloc[at:at + len(part)]):
                     words = t.encode().split() if t else []
-                    kept = _keep(words, ranges)
+                    kept = words if low is None else _keep(words, np.r_[low, span[::2]], np.r_[low + size, span[1::2]])
                     rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
                 at += len(part)
                 yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
     rows = with_row(docs, doc=F.col(f"`{id_col}`").cast("long"), mark=F.xxhash64(text))
     joined = rows.alias("a").join(ranges.alias("b"), F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.mark") == F.col("b.mark")), "left")
-    return joined.select("row", cut(F.col("row").getField(text_col), F.col("ranges")).alias("d")).select("row", "d.*")
+    return joined.select("row", cut(F.col("row").getField(text_col), F.col("lows"), F.col("ranges")).alias("d")).select("row", "d.*")
 
 
 @register("op12_substring_dedup")
