@@ -113,11 +113,6 @@ def seconds_to_ms(x: Column | str) -> Column:
     return _c(x).cast("double") * 1000.0
 
 
-def sentinel_text(x: Column | str, sentinel: str) -> Column:
-    """Value as text, or a sentinel when NULL."""
-    return F.coalesce(_c(x).cast("string"), F.lit(sentinel))
-
-
 def path_key(path: Column | str, key: str = "round") -> Column:
     """Integer value of a ``key=NN`` path segment, NULL when absent."""
     v = F.regexp_extract(_c(path), key + r"=(\d+)", 1)

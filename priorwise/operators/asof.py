@@ -19,7 +19,8 @@ Plan-shape rules kept here:
 1. facts are pre-aggregated to (key, period) before the window (partial
    aggregation happens map side; a hot key's facts collapse to one row per period);
 2. every window is partitioned by an entity key, or holds grid rows only, never ``over()``;
-3. medians keep raw values: a season of one entity, bounded by its rounds.
+3. medians are exact over counts of values: a period sends each distinct value once with its count, and
+   the counts of the earlier periods are merged and walked to the middle.
 """
 
 from __future__ import annotations
@@ -70,6 +71,24 @@ def _frame(keys: Sequence[str], scope: str):
     raise ValueError(f"unknown scope {scope!r}")
 
 
+def middle_value(counts: Column) -> Column:
+    """Exact median of values given as an array of (value, count); the same value may come several times. Null if empty."""
+    n = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, x: s + x["__rows"])
+    low, high = F.floor((n - 1) / 2), F.floor(n / 2)  # places of the two middle values, from 0
+
+    def walk(state: Column, x: Column) -> Column:
+        seen, here = state["seen"], state["seen"] + x["__rows"]
+
+        def take(place: Column, name: str) -> Column:
+            return F.when((place >= seen) & (place < here), x["__v"]).otherwise(state[name]).alias(name)
+
+        return F.struct(here.alias("seen"), take(low, "a"), take(high, "b"))
+
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), none.alias("a"), none.alias("b"))
+    return F.aggregate(F.array_sort(counts), start, walk, lambda s: (s["a"] + s["b"]) / 2)
+
+
 def prior_stats(spine: DataFrame, facts: DataFrame | Sequence[DataFrame], keys: Sequence[str],
                 aggs: Sequence[Agg], scope: str = "season") -> DataFrame:
     """Attach as-of aggregates of ``facts`` to every ``spine`` row.
@@ -96,25 +115,24 @@ def prior_stats(spine: DataFrame, facts: DataFrame | Sequence[DataFrame], keys:
         f_all = f_all.where(F.col(k).isNotNull())
 
     need_median = any(a.kind == "median" for a in aggs)
-    if need_median and scope == "career":
-        raise ValueError("median is supported for season and track scopes")
+    middle = {a.measure for a in aggs if a.kind == "median"}
+    if len(middle) > 1:
+        raise ValueError("one call takes the median of one measure")
 
     # 1. pre-aggregate facts to one row per (key, period) -- or (key, season) for career
     grain = keys + ([SEASON] if scope == "career" else [SEASON, ROUND])
-    if need_median:
-        # medians cannot be composed from partial aggregates: keep raw values
-        pre = f_all.select(*grain, F.lit(1).cast("bigint").alias("__rows"),
-                           *[F.col(m).alias(f"__v_{i}") for i, m in enumerate(measures)])
-        pre = pre.withColumns({f"__n_{i}": F.col(f"__v_{i}").isNotNull().cast("bigint")
-                               for i in range(len(measures))})
-        pre = pre.withColumns({f"__s_{i}": F.col(f"__v_{i}") for i in range(len(measures))})
-        pre = pre.withColumns({f"__lo_{i}": F.col(f"__v_{i}") for i in range(len(measures))})
-        pre = pre.withColumns({f"__hi_{i}": F.col(f"__v_{i}") for i in range(len(measures))})
+    parts = [F.count(F.lit(1)).alias("__rows")]
+    for i, m in enumerate(measures):
+        parts += [F.count(m).alias(f"__n_{i}"), F.sum(m).alias(f"__s_{i}"),
+                  F.min(m).alias(f"__lo_{i}"), F.max(m).alias(f"__hi_{i}")]
+    if need_median:  # by distinct value first, then by period with the values' counts
+        value = middle.pop()
+        by_value = f_all.withColumn("__v", F.col(value)).groupBy(*grain, "__v").agg(*parts)
+        again = {"n": F.sum, "s": F.sum, "lo": F.min, "hi": F.max}
+        parts = [F.sum("__rows").alias("__rows"), F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("__v", "__rows"))).alias("__counts")]
+        parts += [fold(f"__{k}_{i}").alias(f"__{k}_{i}") for i in range(len(measures)) for k, fold in again.items()]
+        pre = by_value.groupBy(*grain).agg(*parts)
     else:
-        parts = [F.count(F.lit(1)).alias("__rows")]
-        for i, m in enumerate(measures):
-            parts += [F.count(m).alias(f"__n_{i}"), F.sum(m).alias(f"__s_{i}"),
-                      F.min(m).alias(f"__lo_{i}"), F.max(m).alias(f"__hi_{i}")]
         pre = f_all.groupBy(*grain).agg(*parts)
     if scope == "career":
         pre = pre.withColumn(ROUND, F.lit(None).cast("int"))
@@ -147,7 +165,7 @@ def prior_stats(spine: DataFrame, facts: DataFrame | Sequence[DataFrame], keys:
             elif a.kind == "max":
                 c = F.max(f"__hi_{i}").over(w)
             else:  # median
-                c = F.percentile(F.col(f"__v_{i}"), F.lit(0.5)).over(w)
+                c = middle_value(F.flatten(F.collect_list("__counts").over(w)))
         if a.cast:
             c = c.cast(a.cast)
         new_cols[a.out] = c

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorwise.operators.ranking import numbered
+
 PERIOD = ["season", "round"]
 M31 = 2147483647       # prime modulus of the draw generator
 LOW = 2097152          # 2^21: low bits of a draw
@@ -23,9 +25,8 @@ LOW = 2097152          # 2^21: low bits of a draw
 
 def rank_by_score(scores: DataFrame, group: Sequence[str] = PERIOD, entity: str = "driver_id",
                   score: str = "score") -> DataFrame:
-    """Positions 1..n per group by ascending score (nulls last, entity breaks ties)."""
-    w = Window.partitionBy(*group).orderBy(F.col(score).asc_nulls_last(), F.col(entity))
-    return scores.withColumn("predicted_position", F.row_number().over(w).cast("bigint"))
+    """Positions 1..n per group by ascending score (nulls last, entity breaks ties), in two passes: a group may have any size."""
+    return numbered(scores, group, [F.col(score).asc_nulls_last(), F.col(entity)], "predicted_position")
 
 
 def fill_scores(scores: DataFrame, group: Sequence[str] = PERIOD, score: str = "score") -> DataFrame:

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priorwise.functions.exprs import path_key
+from priorwise.operators.ranking import ranked
+from priorwise.sources.tables import staged
+
 PERIOD = ["season", "round"]
 DNF = "DNF"
 
@@ -189,6 +193,12 @@ def latest_round(per_dataset: Sequence[DataFrame]) -> DataFrame:
     return best.select("b.season", F.coalesce("b.round", F.lit(1)).alias("round"))
 
 
+def latest_stored_round(listings: Sequence[DataFrame]) -> DataFrame:
+    """V8 from storage: like ``latest_round`` for frames of partition paths (X10 reads season and round off them)."""
+    return latest_round([p.select(path_key("path", "season").alias("season"), path_key("path", "round").alias("round"))
+                         .where(F.col("season").isNotNull() & F.col("round").isNotNull()) for p in listings])
+
+
 def weekend_info(weekends: DataFrame, season: int, round_: int) -> DataFrame:
     """V9: one weekend with its sprint flag."""
     return (weekends.where((F.col("season") == season) & (F.col("round") == round_))
@@ -213,12 +223,8 @@ def rank_corr(pred: DataFrame, actual: DataFrame, entity: str = "driver_id",
     m = pred.join(actual.select(*period, entity, F.col(actual_col).alias("__a")), period + [entity])
     m = m.where(F.col("__a").isNotNull() & F.col("score").isNotNull())
 
-    def avg_rank(c: str) -> Column:
-        w = Window.partitionBy(*period).orderBy(F.col(c))
-        wt = Window.partitionBy(*period, c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(wt) - 1) / 2.0
-
-    m = m.withColumn("__ra", avg_rank("score")).withColumn("__rb", avg_rank("__a"))
+    m = staged(m.select(*period, "score", "__a"), "rank-corr")
+    m = ranked(ranked(m, period, "score", "__ra", "average"), period, "__a", "__rb", "average")
     # rounds where either ranking is constant have no correlation (NULL); they are
     # left out of corr() so ANSI mode never divides by zero
     st = m.groupBy(*period).agg(F.count(F.lit(1)).alias("n"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorwise.functions.exprs import normalize_id
+from priorwise.operators.ranking import ranked
 
 SESSION = ["season", "round", "session_type"]
 # Preferred practice session order for post-qualifying features.
@@ -59,10 +60,9 @@ def rank_fallback(results: DataFrame, session: Sequence[str] = SESSION) -> DataF
     positions become the competition rank of the best lap (ties share the
     lowest rank; NULL laps stay unranked)."""
     known = results.groupBy(*session).agg((F.count("position") == 0).alias("__none"))
-    wr = Window.partitionBy(*session).orderBy(F.col("best_lap_time_ms").asc_nulls_last())
-    ranked = F.when(F.col("best_lap_time_ms").isNotNull(), F.rank().over(wr))
-    return results.join(known, list(session)).withColumn(
-        "position", F.when(F.col("__none"), ranked).otherwise(F.col("position")).cast("bigint")).drop("__none")
+    out = ranked(results, session, "best_lap_time_ms", "__rank").join(known, list(session))
+    return out.withColumn("position", F.when(F.col("__none"), F.col("__rank")).otherwise(F.col("position")).cast("bigint")) \
+        .drop("__none", "__rank")
 
 
 def dedupe_best(results: DataFrame, session: Sequence[str] = SESSION) -> DataFrame:
@@ -108,11 +108,9 @@ def practice_rank_gap_z(agg: DataFrame, value: str = "practice_best_ms",
     sample std; z = 0.0 for everyone when the std is NULL or 0."""
     stats = agg.groupBy(*period).agg(F.min(value).alias("__min"), F.avg(value).alias("__avg"),
                                      F.stddev_samp(value).alias("__std"))
-    wr = Window.partitionBy(*period).orderBy(F.col(value).asc_nulls_last())
     std = F.col("__std")
     z = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise((F.col(value) - F.col("__avg")) / std)
-    return agg.join(stats, list(period)).withColumns({
-        "practice_rank": F.when(F.col(value).isNotNull(), F.rank().over(wr)).cast("bigint"),
+    return ranked(agg, period, value, "practice_rank").join(stats, list(period)).withColumns({
         "practice_gap_to_best_ms": F.col(value) - F.col("__min"),
         "practice_z": z,
     }).drop("__min", "__avg", "__std")

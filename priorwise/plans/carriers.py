@@ -23,9 +23,11 @@ K9 sprint    K1 rows with round % 4 = 0, finish by quantity asc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priorwise.functions.exprs import seconds_to_ms
+from priorwise.operators.ranking import numbered
 from priorwise.session import scratch_path
 from priorwise.sources.tables import table
 
@@ -49,7 +51,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if key not in _STORED:
         root = scratch_path(spark, f"canonical-{name}")
         df = build()
-        df.write.partitionBy("season").parquet(root)
+        # whole seasons together where they are small, a large one split: few files, no hot task
+        df.hint("rebalance", "season").write.partitionBy("season").parquet(root)
         _STORED[key] = root
     df = spark.read.parquet(_STORED[key])
     return df.select("season", *[c for c in df.columns if c != "season"])
@@ -85,12 +88,9 @@ def build_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "constructor_id": ((F.col("driver_id") + 3 * F.col("season")) % N_GROUPS).cast("bigint"),
         "dnf": (2 * F.col("n_r") > F.col("n_lines")).cast("int"),
     })
-    w_q = Window.partitionBy("season", "round").orderBy(F.col("qty").desc(), F.col("driver_id"))
-    w_f = Window.partitionBy("season", "round", "dnf").orderBy(F.col("rev").desc(), F.col("driver_id"))
-    per = per.withColumn("qualifying_position", F.row_number().over(w_q).cast("bigint"))
-    per = per.withColumn(
-        "finish_position",
-        F.when(F.col("dnf") == 0, F.row_number().over(w_f)).cast("bigint"))
+    per = numbered(per, ["season", "round"], [F.col("qty").desc(), F.col("driver_id")], "qualifying_position")
+    per = numbered(per, ["season", "round", "dnf"], [F.col("rev").desc(), F.col("driver_id")], "finish_position")
+    per = per.withColumn("finish_position", F.when(F.col("dnf") == 0, F.col("finish_position")))
     return per.select(
         "season", "round", "driver_id", "constructor_id", "qualifying_position",
         F.col("qualifying_position").alias("grid_position"), "finish_position", "dnf", "rev", "qty")
@@ -152,7 +152,7 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise("FP3").alias("session_type"),
         F.col("user_id").alias("driver_id"),
         F.col("event_id"),
-        F.when(F.col("event_id") % 13 != 0, F.col("value") * 1000).alias("lap_time_ms"),
+        F.when(F.col("event_id") % 13 != 0, seconds_to_ms("value")).alias("lap_time_ms"),
         (k % 10 == 0).alias("in_out"),
     )
 
@@ -172,12 +172,12 @@ def sprint_results(spark: SparkSession, sf_dir: str, k1: DataFrame | None = None
     """K9: sprint results on rounds divisible by 4, finish by quantity ascending."""
     k1 = k1 if k1 is not None else results(spark, sf_dir)
     sp = k1.where(F.col("round") % SPRINT_EVERY == 0)
-    w = Window.partitionBy("season", "round", "dnf").orderBy(F.col("qty").asc(), F.col("driver_id"))
+    sp = numbered(sp, ["season", "round", "dnf"], [F.col("qty").asc(), F.col("driver_id")], "__place")
     return sp.select(
         "season", "round", "driver_id", "constructor_id", "grid_position",
-        F.when(F.col("dnf") == 0, F.row_number().over(w)).cast("bigint").alias("finish_position"),
+        F.when(F.col("dnf") == 0, F.col("__place")).alias("finish_position"),
         "dnf",
-        F.when(F.col("dnf") == 0, 8 - F.row_number().over(w)).cast("double").alias("points_raw"),
+        F.when(F.col("dnf") == 0, 8 - F.col("__place")).cast("double").alias("points_raw"),
     ).withColumn("points", F.greatest(F.col("points_raw"), F.lit(0.0))).drop("points_raw")
 
 

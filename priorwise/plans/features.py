@@ -8,12 +8,15 @@ functions below only rely on those column names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorwise.functions.schema import enforce
 from priorwise.operators.asof import Agg, group_prior_stats, leave_one_out_delta, prior_stats
 from priorwise.plans import carriers as K
+from priorwise.sources.tables import staged
 
 F3_COLS = ["driver_season_quali_count_prior", "driver_q_avg_pos_season_prior",
            "driver_q_med_pos_season_prior", "driver_q_best_pos_season_prior",
@@ -32,6 +35,14 @@ F11_COLS = ["driver_finish_minus_grid_avg_season_prior", "driver_finish_minus_gr
 
 Q = "qualifying_position"
 
+GROUP_SEASON = [Agg("constructor_season_quali_count_prior", "count", Q), Agg("constructor_q_avg_pos_season_prior", "avg", Q),
+                Agg("constructor_q_best_pos_season_prior", "min", Q, "bigint")]
+GROUP_CAREER = [Agg("constructor_career_quali_count_prior", "count", Q), Agg("constructor_q_avg_pos_career_prior", "avg", Q)]
+GROUP_CIRCUIT = [Agg("constructor_q_count_at_circuit_prior", "count", Q), Agg("constructor_q_avg_pos_at_circuit_prior", "avg", Q)]
+DRIVER_TRACK_TYPE = [Agg("driver_q_count_at_track_type_prior", "count", Q), Agg("driver_q_avg_pos_at_track_type_prior", "avg", Q)]
+GROUP_TRACK_TYPE = [Agg("constructor_q_count_at_track_type_prior", "count", Q),
+                    Agg("constructor_q_avg_pos_at_track_type_prior", "avg", Q)]
+
 # The 40-column baseline contract, in order (name, Spark type).
 BASELINE_CONTRACT = [
     ("season", "bigint"), ("round", "bigint"), ("weekend_id", "string"), ("race_name", "string"),
@@ -125,11 +136,7 @@ def entity_season_form(sp: DataFrame, facts: DataFrame) -> DataFrame:
 
 def group_season_form(sp: DataFrame, facts: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """constructor season form over all its cars (pre-aggregated per period)."""
-    out = group_prior_stats(sp, facts, ["constructor_id"], [
-        Agg("constructor_season_quali_count_prior", "count", Q),
-        Agg("constructor_q_avg_pos_season_prior", "avg", Q),
-        Agg("constructor_q_best_pos_season_prior", "min", Q, "bigint"),
-    ], scope="season", base=base if base is not None else sp)
+    out = group_prior_stats(sp, facts, ["constructor_id"], GROUP_SEASON, scope="season", base=base if base is not None else sp)
     return out
 
 
@@ -159,9 +166,7 @@ def career_form(sp: DataFrame, facts: DataFrame) -> DataFrame:
     out = prior_stats(sp, facts, ["driver_id"], [
         Agg("driver_career_quali_count_prior", "count", Q),
         Agg("driver_q_avg_pos_career_prior", "avg", Q)], scope="career")
-    out = group_prior_stats(out, facts, ["constructor_id"], [
-        Agg("constructor_career_quali_count_prior", "count", Q),
-        Agg("constructor_q_avg_pos_career_prior", "avg", Q)], scope="career", base=sp)
+    out = group_prior_stats(out, facts, ["constructor_id"], GROUP_CAREER, scope="career", base=sp)
     return out
 
 
@@ -173,22 +178,16 @@ def circuit_form(sp: DataFrame, facts: DataFrame, who: str = "both", base: DataF
             Agg("driver_q_count_at_circuit_prior", "count", Q),
             Agg("driver_q_avg_pos_at_circuit_prior", "avg", Q)], scope="track")
     if who in ("constructor", "both"):
-        out = group_prior_stats(out, facts, ["constructor_id", "circuit_id"], [
-            Agg("constructor_q_count_at_circuit_prior", "count", Q),
-            Agg("constructor_q_avg_pos_at_circuit_prior", "avg", Q)], scope="track",
-            base=base if base is not None else sp)
+        out = group_prior_stats(out, facts, ["constructor_id", "circuit_id"], GROUP_CIRCUIT, scope="track",
+                                base=base if base is not None else sp)
     return out
 
 
 def track_type_form(sp: DataFrame, facts: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """(entity, type) and (group, type) priors; 0 / null when the type is unknown."""
-    out = prior_stats(sp, facts, ["driver_id", "track_type"], [
-        Agg("driver_q_count_at_track_type_prior", "count", Q),
-        Agg("driver_q_avg_pos_at_track_type_prior", "avg", Q)], scope="track")
-    out = group_prior_stats(out, facts, ["constructor_id", "track_type"], [
-        Agg("constructor_q_count_at_track_type_prior", "count", Q),
-        Agg("constructor_q_avg_pos_at_track_type_prior", "avg", Q)], scope="track",
-        base=base if base is not None else sp)
+    out = prior_stats(sp, facts, ["driver_id", "track_type"], DRIVER_TRACK_TYPE, scope="track")
+    out = group_prior_stats(out, facts, ["constructor_id", "track_type"], GROUP_TRACK_TYPE, scope="track",
+                            base=base if base is not None else sp)
     return out
 
 
@@ -212,10 +211,13 @@ def finish_minus_grid(sp: DataFrame, facts: DataFrame) -> DataFrame:
 def build_baseline(sp: DataFrame, facts: DataFrame, entries: DataFrame) -> DataFrame:
     """every baseline prior on the spine, in the 40-column contract.
 
-    Priors sharing a window key are computed in one window pass: (driver,
-    season) gives F3 + F6 + F11-season, (driver) career gives F7 + F11-career.
+    The spine is written down once with a number for each row. Priors run on its narrow key columns alone, those of one window
+    key in one pass ((driver, season) gives F3 + F6 + F11-season, (driver) career gives F7 + F11-career), group priors
+    on the distinct grid of groups and periods, and all come back to the wide rows by the row number: one shuffle key.
     """
-    out = prior_stats(sp, facts, ["driver_id"], [
+    wide = staged(sp.withColumn("__row", F.monotonically_increasing_id()), "baseline-spine")
+    narrow = wide.select("__row", "season", "round", "driver_id", "constructor_id", "circuit_id", "track_type")
+    season = prior_stats(narrow, facts, ["driver_id"], [
         Agg("driver_season_quali_count_prior", "count", Q),
         Agg("driver_q_avg_pos_season_prior", "avg", Q),
         Agg("driver_q_med_pos_season_prior", "median", Q),
@@ -226,28 +228,41 @@ def build_baseline(sp: DataFrame, facts: DataFrame, entries: DataFrame) -> DataF
         Agg("driver_finish_minus_grid_avg_season_prior", "avg", "fmg"),
         Agg("driver_finish_minus_grid_count_season_prior", "count", "fmg"),
     ], scope="season")
-    out = out.withColumns({
+    season = season.withColumns({
         "driver_season_dnfs_prior": F.coalesce(F.col("__dnfs"), F.lit(0)).cast("bigint"),
         "driver_season_dnf_rate_prior": F.col("__dnfs") / F.when(
             F.col("driver_season_race_starts_prior") > 0, F.col("driver_season_race_starts_prior")),
     }).drop("__dnfs")
-    out = group_season_form(out, facts, sp)
-    out = prior_stats(out, facts, ["driver_id"], [
+    career = prior_stats(narrow, facts, ["driver_id"], [
         Agg("driver_career_quali_count_prior", "count", Q),
         Agg("driver_q_avg_pos_career_prior", "avg", Q),
         Agg("driver_finish_minus_grid_avg_career_prior", "avg", "fmg"),
         Agg("driver_finish_minus_grid_count_career_prior", "count", "fmg")], scope="career")
-    out = group_prior_stats(out, facts, ["constructor_id"], [
-        Agg("constructor_career_quali_count_prior", "count", Q),
-        Agg("constructor_q_avg_pos_career_prior", "avg", Q)], scope="career", base=sp)
-    out = circuit_form(out, facts, base=sp)
-    out = track_type_form(out, facts, sp)
-    out = tenure(out, entries)
-    out = teammate_delta(out, facts, sp)
+    place = circuit_form(narrow, facts, "driver")
+    kind = prior_stats(narrow, facts, ["driver_id", "track_type"], DRIVER_TRACK_TYPE, scope="track")
+    mate = teammate_delta(narrow, facts)
+    families = [season, career, place, kind, tenure(narrow, entries), mate, group_forms(narrow, facts)]
+    out = wide
+    for family in families:
+        new = [c for c in family.columns if c not in narrow.columns]
+        out = out.join(family.select("__row", *new), "__row", "left")
     out = out.withColumns({"checkpoint": F.lit("baseline"), "session_type": F.lit("Q")})
     return enforce(out, BASELINE_CONTRACT)
 
 
+def group_forms(narrow: DataFrame, facts: DataFrame) -> DataFrame:
+    """F4, F7, F8 and F9 of the constructors: all on one grid of distinct (constructor, place, period), joined to the rows once."""
+    at = ["constructor_id", "circuit_id", "track_type", "season", "round"]
+    grid = narrow.select(*at).where(F.col("constructor_id").isNotNull()).distinct()
+    for keys, aggs, scope in ((["constructor_id"], GROUP_SEASON, "season"), (["constructor_id"], GROUP_CAREER, "career"),
+                              (["constructor_id", "circuit_id"], GROUP_CIRCUIT, "track"), (["constructor_id", "track_type"], GROUP_TRACK_TYPE, "track")):
+        grid = prior_stats(grid, facts, keys, aggs, scope)
+    met = narrow.alias("n").join(grid.alias("g"), reduce(lambda x, y: x & y, [F.col(f"n.{c}").eqNullSafe(F.col(f"g.{c}")) for c in at]), "left")
+    every = [*GROUP_SEASON, *GROUP_CAREER, *GROUP_CIRCUIT, *GROUP_TRACK_TYPE]
+    zero = [F.coalesce(F.col(f"g.{a.out}"), F.lit(0).cast("bigint")).alias(a.out) if a.kind == "count" else F.col(f"g.{a.out}") for a in every]
+    return met.select("n.__row", *zero)
+
+
 def features_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """F12 as a stored, season-partitioned table: training and scoring frames read it with pruning."""
 

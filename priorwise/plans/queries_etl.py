@@ -72,8 +72,11 @@ def q_sprint_page_audit(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 @register("canon_weekends", with_carriers("""
 SELECT CAST(season AS BIGINT) AS season, CAST(round AS BIGINT) AS round, weekend_id, race_name,
-       CAST(circuit_id AS VARCHAR) AS circuit_id, race_date,
+       CAST(circuit_id AS VARCHAR) AS circuit_id, printf('Circuit %d', circuit_id) AS circuit_name, printf('Town %d', circuit_id) AS locality,
+       'Nowhere' AS country, race_date,
        strftime(CAST(race_date AS DATE) - INTERVAL 2 DAY, '%Y-%m-%d') AS fp1_date,
+       strftime(CAST(race_date AS DATE) - INTERVAL 2 DAY, '%Y-%m-%d') AS fp2_date,
+       strftime(CAST(race_date AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') AS qualifying_date,
        CASE WHEN sprint_date IS NULL THEN strftime(CAST(race_date AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') END
          AS fp3_date,
        sprint_date
@@ -81,7 +84,8 @@ FROM k2""", "k2"))
 def q_canon_weekends(spark: SparkSession, sf: str) -> DataFrame:
     w = C.canon_weekends(_snap(spark, sf, "races"))
     return w.select(big("season").alias("season"), big("round").alias("round"), "weekend_id", "race_name",
-                    "circuit_id", "race_date", "fp1_date", "fp3_date", "sprint_date")
+                    "circuit_id", "circuit_name", "locality", "country", "race_date", "fp1_date", "fp2_date", "fp3_date",
+                    "qualifying_date", "sprint_date")
 
 
 @register("canon_dim_float", with_carriers("""

@@ -61,3 +61,4 @@ def load_all() -> None:
     from priorwise.plans import queries_score  # noqa: F401
     from priorwise.plans import queries_spine  # noqa: F401
     from priorwise.plans import queries_io  # noqa: F401
+    from priorwise.plans import queries_update  # noqa: F401

@@ -65,8 +65,8 @@ def _race_struct(results_field: str, results: Column) -> Column:
         results.alias(results_field))
 
 
-def _pages(rows: DataFrame, item: Column, results_field: str) -> DataFrame:
-    """Group result rows into page documents of <= PAGE_LIMIT rows of one race."""
+def _pages(rows: DataFrame, item: Column, results_field: str, change=None) -> DataFrame:
+    """Group result rows into page documents of <= PAGE_LIMIT rows of one race. ``change``: of the pages, to plant faults."""
     rows = rows.withColumn("page", F.floor((F.col("ord") - 1) / PAGE_LIMIT))
     pages = rows.groupBy("season", "round", "page", "race_name", "circuit_id", "race_date").agg(
         F.sort_array(F.collect_list(F.struct(F.col("ord"), item.alias("item")))).alias("items"),
@@ -78,6 +78,7 @@ def _pages(rows: DataFrame, item: Column, results_field: str) -> DataFrame:
     totals = rows.groupBy("season").agg(F.count(F.lit(1)).alias("total"))
     pages = pages.join(rounds, ["season", "round"]).join(totals, "season") \
         .withColumn("offset", F.col("before") + F.col("page") * PAGE_LIMIT)
+    pages = change(pages) if change else pages
     race = _race_struct(results_field, F.transform("items", lambda x: x["item"]))
     doc = F.struct(F.struct(
         F.lit(str(PAGE_LIMIT)).alias("limit"), _s("offset").alias("offset"), _s("total").alias("total"),
@@ -86,11 +87,10 @@ def _pages(rows: DataFrame, item: Column, results_field: str) -> DataFrame:
     return pages.select("season", F.to_json(doc).alias("value"))
 
 
-def results_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
+def results_pages(k1: DataFrame, k2: DataFrame, change=None) -> DataFrame:
     r = k1.join(k2, ["season", "round"])
-    pos = F.coalesce(F.col("finish_position"), 500 + F.col("qualifying_position"))
     item = F.struct(
-        _s(pos).alias("position"),
+        _s("finish_position").alias("position"),  # non-finishers have none
         F.when(F.col("dnf") == 0, _s("finish_position")).otherwise(F.lit("R")).alias("positionText"),
         _s(F.when(F.col("finish_position").isNotNull(),
                   F.greatest(F.lit(0), 26 - F.col("finish_position"))).otherwise(0)).alias("points"),
@@ -99,7 +99,7 @@ def results_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
         dnf_status().alias("status"),
         _driver_ref().alias("Driver"), _constructor_ref().alias("Constructor"),
         F.when(F.col("dnf") == 0, F.struct(_s("rev").alias("millis"))).alias("Time"))
-    return _pages(r.withColumn("ord", F.col("qualifying_position")), item, "Results")
+    return _pages(r.withColumn("ord", F.col("qualifying_position")), item, "Results", change)
 
 
 def quali_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
@@ -118,9 +118,8 @@ def quali_pages(k1: DataFrame, k2: DataFrame) -> DataFrame:
 
 def sprint_pages(spark: SparkSession, k9: DataFrame, k2: DataFrame) -> DataFrame:
     r = k9.join(k2, ["season", "round"])
-    pos = F.coalesce(F.col("finish_position"), 500 + F.col("grid_position"))
     item = F.struct(
-        _s(pos).alias("position"),
+        _s("finish_position").alias("position"),
         F.when(F.col("dnf") == 0, _s("finish_position")).otherwise(F.lit("R")).alias("positionText"),
         _s("points").alias("points"), _s("grid_position").alias("grid"),
         F.when(F.col("dnf") == 0, "17").otherwise("5").alias("laps"),

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from priorwise.session import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's input tables (``{sf_dir}/{name}.parquet``)."""
@@ -25,6 +27,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: one computation for many readers, and it survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partition_paths(spark: SparkSession, root: str, keys: Sequence[str] = ("season", "round")) -> DataFrame:
+    """Folders of a partitioned table down to the ``keys``, one row ``path`` each, from the listing alone: no file is opened.
+
+    Bounded by the partitions there are. A table that does not exist has none.
+    """
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *[f"{k}=*" for k in keys]]))
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().toString() for f in (fs.globStatus(pattern) or [])]
+    return spark.createDataFrame([(p,) for p in found], "path string")
+
+
 def scan_partitioned(spark: SparkSession, root: str, season: int | None = None,
                      round_: int | None = None, season_max: int | None = None,
                      schema: StructType | None = None) -> DataFrame:

@@ -30,7 +30,13 @@ def upsert_partitions(batch: DataFrame, table_root: str, keys: Sequence[str], pa
     merged = batch.withColumn("__new", F.lit(1))
     if _exists(spark, table_root):
         touched = batch.select(*parts).distinct()
-        existing = spark.read.parquet(table_root).join(touched, parts, "left_semi")
+        # the partitions' values, bounded by the batch, as literals: other folders are neither listed nor read
+        values = [F.collect_set(p).alias(p) for p in parts]
+        seen = touched.agg(*values).first()
+        known = spark.read.parquet(table_root)
+        for p in parts:
+            known = known.where(F.col(p).isin(list(seen[p])))
+        existing = known.join(touched, parts, "left_semi")
         merged = existing.withColumn("__new", F.lit(0)).unionByName(merged, allowMissingColumns=True)
     rest = [F.col(c).desc_nulls_last() for c in sorted(batch.columns) if c not in (*keys, version_col)]
     w = Window.partitionBy(*keys).orderBy(F.col(version_col).desc(), F.col("__new").desc(), *rest)
@@ -39,6 +45,8 @@ def upsert_partitions(batch: DataFrame, table_root: str, keys: Sequence[str], pa
     staged = spark.read.parquet(staging_root)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(*parts).parquet(table_root))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # its rows are in the table now
 
 
 def stream_update(spark: SparkSession, incoming: str, table_root: str, keys: Sequence[str],

@@ -41,7 +41,7 @@ def test_registry_finds_and_reloads(spark, few_trees):
     artifact = QM.quali_model(spark, SF)
     registry = QM.registry_of(spark, SF)
     assert registry.load("quali", 1900, 1) is None
-    again = registry.load_or_train("quali", *QM.AS_OF, lambda: pytest.fail("it is there"))
+    again = registry.load_or_train("quali", *QM.AS_OF, lambda: pytest.fail("it is there"), artifact.meta["knows"])
     rows = QM._scoring_rows(spark, SF)
     a = {(r["season"], r["round"], r["driver_id"]): r["score"] for r in QM.position_scores(rows, artifact).collect()}
     b = {(r["season"], r["round"], r["driver_id"]): r["score"] for r in QM.position_scores(rows, again).collect()}
@@ -51,6 +51,15 @@ def test_registry_finds_and_reloads(spark, few_trees):
     assert QM.position_scores(short, artifact).count() == len(a)
 
 
+def test_race_scores_see_the_qualifying_position(spark, few_trees):
+    artifact = QM.finish_model(spark, SF)
+    assert "qualifying_position" in artifact.meta["numeric"] and "qualifying_position" not in QM.quali_model(spark, SF).meta["numeric"]
+    rows = QM._race_rows(spark, SF)
+    a, b = ({(r["season"], r["round"], r["driver_id"]): r["score"] for r in QM.position_scores(x, artifact).collect()}
+            for x in (rows, rows.withColumn("qualifying_position", F.lit(1).cast("bigint"))))
+    assert a.keys() == b.keys() and a != b
+
+
 def test_constant_predictor(spark, few_trees):
     from priorwise.sources.models import Artifact
 
