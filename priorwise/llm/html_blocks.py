@@ -1,6 +1,6 @@
 """Leaf blocks of an HTML page: text between the boundaries of block-level elements, with its ancestors.
 
-A tolerant single pass: comments, declarations, scripts, styles and other raw elements go; end tags close the
+A tolerant single pass: quotes open a value only after an equals sign; comments, declarations, scripts, styles and other raw elements go; end tags close the
 nearest open element of their name and all inside it; paragraphs, list items and table cells
 end where the standard lets them end; cut-off pages are read as far as they go.
 """
@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 # fixed values: element names of the HTML standard
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style noscript template svg math iframe object title textarea".split())
+_RAW = set("script style noscript template svg iframe title textarea annotation annotation-xml".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-              "small span strike strong sub sup time tt u var wbr br img input button select option output meter progress".split())
+              "small span strike strong sub sup time tt u var wbr br img input button select option output meter progress object "
+              "math semantics maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+              "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
 _ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
               "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # an element that opens ends an open one of these, up to the given limits
@@ -23,7 +25,7 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
          "option": ({"option"}, {"select"})}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(>|\Z)""", re.S)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
