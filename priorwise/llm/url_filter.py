@@ -87,11 +87,12 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a url, longest host first, then longest path."""
+def url_keys(host: Column, path: Column, lengths: list[int], depths: list[int]) -> Column:
+    """The keys of a url that some rule may be: suffixes of as many labels as a rule's host has (``depths``), longest host first, then
+    longest path. A host of any number of labels costs no more than that."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fit = F.filter(F.array(*[F.lit(n) for n in sorted(depths, reverse=True)]), lambda n: n <= F.size(labels))
+    suffixes = F.transform(fit, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     starts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths, reverse=True)]), lambda n: n <= F.char_length(path))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.concat(s, F.substr(path, F.lit(1), n)))))
 
@@ -113,9 +114,10 @@ def filter_urls(pages: DataFrame, allow: list[str], block: list[str], url_col: s
         if "/" not in r or r.split("/")[0] != r.split("/")[0].lower():
             raise ValueError(f"rule {r!r} is not a lower-case host, / and a path")
     lengths = sorted({len(r) - r.index("/") for r in rules})
+    depths = sorted({r.split("/")[0].count(".") + 1 for r in rules})
     host, path = url_parts(F.col(f"`{url_col}`"))
     rows = with_row(pages, host=host, path=path)
-    keyed = rows.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths)) if rules else \
+    keyed = rows.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths, depths)) if rules else \
         rows.withColumn("keys", F.expr("array()").cast("array<string>"))
 
     # the universe: all distinct keys of the corpus
