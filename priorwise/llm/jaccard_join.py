@@ -58,8 +58,9 @@ def _frames(frames: Iterator[pd.DataFrame], limit: int = 2_000_000) -> Iterator[
     give_back()
 
 
-def _node_id(doc_id, digest: tuple[int, int]) -> int:
-    return int(doc_id) if doc_id == doc_id and doc_id is not None else NO_ID | (digest[0] & (NO_ID - 1))
+def _node_id(doc_id: int, known: bool, digest: tuple[int, int]) -> int:
+    """``known``: the row has an id (nulls travel as 0 beside it: a column of numbers and nulls would become fractions)."""
+    return int(doc_id) if known else NO_ID | (digest[0] & (NO_ID - 1))
 
 
 def _profile(k: int, bits: int):
@@ -72,9 +73,9 @@ def _profile(k: int, bits: int):
             sets = list(shingle_sets(list(f["text"]), k))
             counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=1 << bits) if sets else 0
             rows = []
-            for doc_id, s in zip(f["id"], sets):
+            for doc_id, known, s in zip(f["id"], f["known"], sets):
                 d = set_digest(s)
-                rows.append((_node_id(doc_id, d), len(s), *d, None, None))
+                rows.append((_node_id(doc_id, known, d), len(s), *d, None, None))
             yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2", "part", "counts"]).astype({"part": "Int32"})
         parts = np.split(counts, _PARTS)
         yield pd.DataFrame({"id": 0, "n": 0, "s1": 0, "s2": 0, "part": range(_PARTS),
@@ -102,14 +103,14 @@ def _prefixes(k: int, percent: int, counts, hot_cell: int):
         mask = np.uint64(len(cells) - 1)
         for f in _frames(frames):
             rows = []
-            for doc_id, s in zip(f["id"], shingle_sets(list(f["text"]), k)):
+            for doc_id, known, s in zip(f["id"], f["known"], shingle_sets(list(f["text"]), k)):
                 n = len(s)
                 if not n:
                     continue
                 d = set_digest(s)
                 count = cells[(s & mask).astype(np.int64)]
                 first = np.argsort(count, kind="stable")[:n + (-percent * n // 100) + 1]  # ties: hash order
-                node, count = _node_id(doc_id, d), count[first]
+                node, count = _node_id(doc_id, known, d), count[first]
                 salts = np.where(count > hot_cell, (d[1] & 0xFFFFFF) % (count // hot_cell + 1), -1)
                 rows.append((node, d[0], n, s[first].view(np.int64), salts.astype(np.int32)))
             if rows:
@@ -230,7 +231,8 @@ def _posted(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, s
     """Steps 1 to 3: profiles of the rows, classes, postings of the classes' prefixes, and the verifier of pairs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    ids = F.col(f"`{id_col}`").cast("long")
+    base = docs.select(F.coalesce(ids, F.lit(0).cast("long")).alias("id"), ids.isNotNull().alias("known"), F.col(f"`{text_col}`").alias("text"))
 
     staged = stage(base.mapInPandas(_profile(k, sketch_bits),
                                     "id long, n long, s1 long, s2 long, part int, counts binary"), "jaccard-profiles")
@@ -253,8 +255,8 @@ def _posted(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, s
                      .select("token", "node", "n", F.col("pos").cast("long").alias("pos")), "jaccard-postings")
 
     nodes = postings.select("node").distinct()
-    ids = base.where("id IS NOT NULL").select(F.col("id").alias("node"), "text")
-    no_ids = base.where("id IS NULL").mapInPandas(_nodes_of(k), "node long, text string")
+    ids = base.where("known").select(F.col("id").alias("node"), "text")
+    no_ids = base.where("NOT known").select("text").mapInPandas(_nodes_of(k), "node long, text string")
     verifier = _Verifier(ids.unionByName(no_ids).join(nodes, "node", "left_semi"), k, percent)
     return profiles, classes, postings, verifier
 
@@ -335,7 +337,7 @@ def _nodes_of(k: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _frames(frames):
-            nodes = [_node_id(None, set_digest(s)) for s in shingle_sets(list(f["text"]), k)]
+            nodes = [_node_id(0, False, set_digest(s)) for s in shingle_sets(list(f["text"]), k)]
             yield pd.DataFrame({"node": nodes, "text": list(f["text"])})
 
     return run

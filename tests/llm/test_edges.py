@@ -193,3 +193,36 @@ def test_components_of_chains(spark):
     got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 298: 298, 299: 298, 300: 298}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_jaccard_keeps_large_ids_beside_nulls(spark):
+    from priorwise.llm.jaccard_join import jaccard_components
+
+    far = 2 ** 53
+    rows = [(far + 1, NEAR), (far + 3, NEAR + " more"), (None, "quite another text of five words"), (far + 5, "alone in here"), (0, "zero is an id too")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {(far + 1, far + 1), (far + 3, far + 1), (None, None), (far + 5, far + 5), (0, 0)}
+
+
+def test_url_hosts_of_many_labels(spark):
+    from priorwise.llm.url_filter import filter_urls
+
+    deep = "a." * 16_000
+    rows = [(1, f"http://{deep}org/x"), (2, f"http://{deep}com/de/"), (3, "http://org/x"), (4, "http://" + "." * 20_000 + "/en/1")]
+    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), ["org/"], ["com/de/", "/en/1"], default="allow")
+    assert {r["row"]["page_id"]: (r["rule"], r["verdict"]) for r in out.collect()} == \
+        {1: ("org/", "allow"), 2: ("com/de/", "block"), 3: ("org/", "allow"), 4: ("/en/1", "block")}
+
+
+def test_html_quotes_and_formulas():
+    from priorwise.llm.html_blocks import leaf_blocks
+
+    def texts(page):
+        return [b.text for b in leaf_blocks(page)]
+
+    assert texts('<p class="a"">First text</p><p class="b">Second.</p>') == ["First text", "Second."]
+    assert texts("<p class=john's>One</p><p>it's</p>") == ["One", "it's"]
+    assert texts('<p title="a > b" id = \'x > y\'>q</p>') == ["q"]
+    assert texts('<p title="never closed>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be <object>shown</object>.</p>") == ["Let x=2 be shown."]
+    assert texts("<p " + 'a="' * 50_000 + ">end") == ["end"]
