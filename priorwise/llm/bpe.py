@@ -53,7 +53,7 @@ def byte_alphabet() -> list[str]:
 class TrieBPE:
     """Encoder and decoder of one vocabulary file's content."""
 
-    def __init__(self, content: str, cache_words: int = 160_000, trie_words: int = 5_000):
+    def __init__(self, content: str, cache_words: int = 400_000, trie_words: int = 20_000):
         spec = json.loads(content)
         model = spec["model"]
         parts = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
