@@ -213,16 +213,20 @@ def _straggling(postings: DataFrame) -> int:
     return sizes.agg(F.sum((F.col("all") - F.col("top")) * F.col("all"))).first()[0] or 0
 
 
-def _stragglers(postings: DataFrame, percent: int) -> DataFrame:
+def _stragglers(postings: DataFrame, percent: int, look_back: int = 32) -> DataFrame:
     """All promising pairs in different components: at least one is outside its shingle's largest component."""
     sizes = postings.groupBy("token", "comp").count()
     top = sizes.groupBy("token").agg(F.max(F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")) \
         .where("comps > 1").select("token", F.col("top.comp").alias("top"))
-    live = stage(postings.join(top, "token"), "jaccard-live")
+    # each posting with the shingles just before it in its prefix: a pair that has one of them in common meets there as well, where the
+    # filters let through what they let through here, so it is passed over here; at its first common shingle it never is
+    earlier = F.expr(f"collect_list(token) OVER (PARTITION BY node, n ORDER BY pos ROWS BETWEEN {look_back} PRECEDING AND 1 PRECEDING)")
+    live = stage(postings.join(top, "token").withColumn("earlier", earlier), "jaccard-live")
     few = live.where("comp <> top").alias("s")
     return few.join(live.alias("x"), F.col("s.token") == F.col("x.token")) \
         .where((F.col("s.comp") != F.col("x.comp")) & _promising("s", "x", percent)
-               & ((F.col("x.comp") == F.col("x.top")) | (F.col("s.node") < F.col("x.node")))) \
+               & ((F.col("x.comp") == F.col("x.top")) | (F.col("s.node") < F.col("x.node")))
+               & ~F.arrays_overlap("s.earlier", "x.earlier")) \
         .select(F.col("s.node").alias("left"), F.col("x.node").alias("right"))
 
 
