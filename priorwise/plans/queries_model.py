@@ -26,7 +26,8 @@ from priorwise.plans.queries_asof import CTE_F12, F12_DOUBLES, SQL_SP
 from priorwise.plans.queries_spine import P3_SQL
 from priorwise.plans.carriers import with_carriers
 from priorwise.plans.registry import big, r6, register, rounded, rounded_sql
-from priorwise.operators.dist import rank_by_score
+from priorwise.operators.dist import rank_by_score, rank_distribution
+from priorwise.plans.queries_score import HEAT, SAMPLES, with_heat
 from priorwise.session import checkpoint_dir, scratch_path
 from priorwise.sources.models import Artifact, ModelRegistry, fingerprint
 
@@ -509,6 +510,13 @@ def q_calibrate_isotonic(spark: SparkSession, sf: str) -> DataFrame:
     return race_scores(spark, sf)
 
 
+@register("race_distribution")
+def q_race_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """D4 over the models: finish scores drawn with their withdrawal probabilities, in heats as in D3 and D4."""
+    scores = with_heat(stage_frame(race_scores(spark, sf)))
+    return rank_distribution(scores, SAMPLES, group=HEAT, withdraw_prob="dnf_prob", dense=False)
+
+
 @register("score_frame")
 def q_score_frame(spark: SparkSession, sf: str) -> DataFrame:
     return rank_by_score(position_scores(_scoring_rows(spark, sf), quali_model(spark, sf)))

@@ -60,6 +60,17 @@ def test_race_scores_see_the_qualifying_position(spark, few_trees):
     assert a.keys() == b.keys() and a != b
 
 
+def test_distributions_are_drawn_from_model_scores(spark, few_trees):
+    drawn = QM.q_race_distribution(spark, SF)
+    rows = drawn.groupBy("season", "round", "driver_id").agg(F.sum("probability").alias("p"),
+                                                             F.sum(F.when(F.col("position") == "DNF", F.col("probability")).otherwise(0.0)).alias("out")).collect()
+    scores = {(r["season"], r["round"], r["driver_id"]): r for r in QM.race_scores(spark, SF).collect()}
+    assert len(rows) == len(scores)
+    for r in rows:
+        want = scores[r["season"], r["round"], r["driver_id"]]["dnf_prob"]
+        assert r["p"] == pytest.approx(1) and abs(r["out"] - want) < 5 * (0.25 / 5000) ** 0.5
+
+
 def test_constant_predictor(spark, few_trees):
     from priorwise.sources.models import Artifact
 
