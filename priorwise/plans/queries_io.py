@@ -214,18 +214,29 @@ def q_stream_update(spark: SparkSession, sf: str) -> DataFrame:
                       "qualifying_position")
 
 
+#: As-of points of the models that a backtest replays; each scores the rounds from its point to the next.
+BACKTEST = [(2000, 7), (2001, 1)]
+
+
 @register("backtest_range")
 def q_backtest_range(spark: SparkSession, sf: str) -> DataFrame:
-    """The registry's models as of one point replay every later round, qualifying and race
-    (features are already leak-free), then V4/V6 by season and stage."""
+    """U3 with the real models: qualifying and race replayed by versions fitted at two points, stored, then V4/V6 by season and stage."""
     from priorwise.operators.dist import rank_by_score
+    from priorwise.operators.replay import walk_forward
     from priorwise.plans import queries_model as QM
 
-    rows = QM._scoring_rows(spark, sf)
     actual = K.results(spark, sf).withColumns({"season": big("season"), "round": big("round")})
     out = None
-    for stage, model, col in (("quali", QM.quali_model, "qualifying_position"), ("race", QM.finish_model, "finish_position")):
-        scores = QM.position_scores(rows, model(spark, sf))
-        s = V.eval_range_summary(V.eval_top(rank_by_score(scores), actual, actual_col=col)).withColumn("stage", F.lit(stage))
+    for stage, rows, model, col in (("quali", QM.features_post_practice, QM.quali_model, "qualifying_position"),
+                                    ("race", QM.features_post_quali, QM.finish_model, "finish_position")):
+        frame = rows(spark, sf)
+
+        def score(artifact, due, frame=frame):
+            return rank_by_score(QM.position_scores(frame.join(due, ["season", "round"], "left_semi"), artifact))
+
+        stored = walk_forward(frame, BACKTEST, lambda point, model=model: model(spark, sf, point), score,
+                              scratch_path(spark, f"backtest-{stage}"), stage, f"{stage}_top")
+        found = stored.select(big("season").alias("season"), big("round").alias("round"), "driver_id", "predicted_position")
+        s = V.eval_range_summary(V.eval_top(found, actual, actual_col=col)).withColumn("stage", F.lit(stage))
         out = s if out is None else out.unionByName(s)
     return out

@@ -194,19 +194,19 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
                                        "finish_position", big("dnf").alias("dnf"))
 
 
-def m1_frame(spark: SparkSession, sf: str) -> DataFrame:
+def m1_frame(spark: SparkSession, sf: str, as_of: tuple[int, int] = AS_OF) -> DataFrame:
     """M1: baseline features with the practice of the round (sessions 0 where there was none), and the label."""
     frame = M.train_frame(FT.features_baseline(spark, sf), _labels(spark, sf), ["qualifying_position"],
-                          *AS_OF, START, TRAIN_END, drop_null=["qualifying_position"])
+                          *as_of, START, TRAIN_END, drop_null=["qualifying_position"])
     merged = frame.join(_practice(spark, sf), ["season", "round", "driver_id"], "left") \
         .withColumn("practice_sessions", F.coalesce("practice_sessions", F.lit(0).cast("bigint")))
     return merged.select(*[c for c in frame.columns if c != "qualifying_position"], *PRACTICE, "qualifying_position")
 
 
-def m2_frame(spark: SparkSession, sf: str) -> DataFrame:
+def m2_frame(spark: SparkSession, sf: str, as_of: tuple[int, int] = AS_OF) -> DataFrame:
     """M2: post-qualifying features and the labels; an unknown withdrawal counts as none."""
     labels = _labels(spark, sf).withColumn("dnf", F.coalesce("dnf", F.lit(0).cast("bigint")))
-    return M.train_frame(features_post_quali(spark, sf), labels, ["finish_position", "dnf"], *AS_OF, START, TRAIN_END)
+    return M.train_frame(features_post_quali(spark, sf), labels, ["finish_position", "dnf"], *as_of, START, TRAIN_END)
 
 
 @register("train_frame_quali", _m1(f"SELECT {rounded_sql(F12_DOUBLES + PRACTICE_DOUBLES)} FROM m1"))
@@ -426,23 +426,24 @@ def _race_rows(spark: SparkSession, sf: str) -> DataFrame:
     return features_post_quali(spark, sf).where(from_as_of())
 
 
-def trained(spark: SparkSession, sf: str, name: str, frame: DataFrame, estimator, numeric: list[str], **meta) -> Artifact:
+def trained(spark: SparkSession, sf: str, name: str, frame: DataFrame, estimator, numeric: list[str], as_of: tuple[int, int] = AS_OF,
+            **meta) -> Artifact:
     """The registry's model of these very rows and settings, or a new one."""
     frame = stage_frame(frame)
     knows = fingerprint(frame, settings_of(estimator, numeric=numeric, **meta))
-    return registry_of(spark, sf).load_or_train(name, *AS_OF, lambda: fit_artifact(frame, estimator, numeric, **meta), knows)
+    return registry_of(spark, sf).load_or_train(name, *as_of, lambda: fit_artifact(frame, estimator, numeric, **meta), knows)
 
 
-def quali_model(spark: SparkSession, sf: str) -> Artifact:
+def quali_model(spark: SparkSession, sf: str, as_of: tuple[int, int] = AS_OF) -> Artifact:
     """M6, from the registry."""
-    return trained(spark, sf, "quali", model_input(m1_frame(spark, sf)), M.position_regressor("qualifying_position"), MODEL_NUMERIC)
+    return trained(spark, sf, "quali", model_input(m1_frame(spark, sf, as_of)), M.position_regressor("qualifying_position"), MODEL_NUMERIC, as_of)
 
 
-def finish_model(spark: SparkSession, sf: str) -> Artifact:
+def finish_model(spark: SparkSession, sf: str, as_of: tuple[int, int] = AS_OF) -> Artifact:
     """M7, from the registry."""
-    known = model_input(m2_frame(spark, sf).where(F.col("finish_position").isNotNull()))
+    known = model_input(m2_frame(spark, sf, as_of).where(F.col("finish_position").isNotNull()))
     est = M.position_regressor("finish_position", trees=700, weight="weight", min_instances=5)
-    return trained(spark, sf, "finish", M.recency_weight(known), est, RACE_NUMERIC)
+    return trained(spark, sf, "finish", M.recency_weight(known), est, RACE_NUMERIC, as_of)
 
 
 def event_model(spark: SparkSession, sf: str, part: str = "all") -> Artifact:

@@ -71,6 +71,17 @@ def test_distributions_are_drawn_from_model_scores(spark, few_trees):
         assert r["p"] == pytest.approx(1) and abs(r["out"] - want) < 5 * (0.25 / 5000) ** 0.5
 
 
+def test_backtest_replays_versions(spark, few_trees):
+    from priorwise.plans.queries_io import BACKTEST, q_backtest_range
+
+    rows = {(r["stage"], r["season"]): r for r in q_backtest_range(spark, SF).collect()}
+    assert set(rows) == {(s, y) for s in ("quali", "race") for y in (2000, 2001)}
+    assert all(r["rounds"] > 0 and r["mae"] >= 0 for r in rows.values())
+    registry = QM.registry_of(spark, SF)
+    seen = {p: QM.quali_model(spark, SF, p).meta["knows"] for p in BACKTEST}
+    assert len(set(seen.values())) == 2 and all(registry.load("quali", *p, k) is not None for p, k in seen.items())
+
+
 def test_constant_predictor(spark, few_trees):
     from priorwise.sources.models import Artifact
 
