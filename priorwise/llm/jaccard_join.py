@@ -353,7 +353,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-@register("op6_jaccard_links")
-def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("jaccard_links")
+def q_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, class and number of links of every document."""
     return jaccard_links(table(spark, sf_dir, "documents"))
