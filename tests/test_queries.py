@@ -36,7 +36,7 @@ def test_every_query_has_oracle_or_is_model(entry_mod):
     qs, sqls = entry_mod.queries(), entry_mod.oracle_sql()
     rows_only = {q for q in set(qs) - set(sqls) if q != "pipeline" and not re.match(r"op\d+_", q)}
     assert rows_only <= {"model_position", "model_finish", "model_event", "calibrate_isotonic", "score_frame",
-                         "model_roundtrip", "importance_topk", "importance_values", "backtest_range", "race_distribution"}
+                         "model_roundtrip", "importance_topk", "importance_values", "backtest_range", "race_distribution", "jaccard_links"}
 
 
 def test_leak_audit_has_no_mismatch(spark, entry_mod):
