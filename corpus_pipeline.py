@@ -47,12 +47,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; texts of any length are scanned whole; rows that repeat are judged alike; an empty
+    benchmark lets all stay.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's tokens and of what they decode to."""
+    """Digests of each document's tokens and of what they decode to.
+
+    Null, empty and blank texts have no tokens and the digests of nothing; texts of any length are encoded whole; each
+    row gets its own line, repeated ones too; a null id is carried.
+    """
     out = bpe_encode(docs.select("doc_id", "text"), default_vocab())
     return out.select("row.doc_id", "n_tokens", F.sha2("ids_le32", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
