@@ -52,3 +52,35 @@ def test_blocks_of_any_size_count_alike(spark):
         whole = D.rank_distribution(_scores(spark), samples=60, withdraw_prob=withdraw)
         for cells in (1, 50, 300):
             assert _same(D.rank_distribution(_scores(spark), samples=60, withdraw_prob=withdraw, cells=cells), whole)
+
+
+def _numbers(spark, n: int):
+    cols = [F.when(F.col("id") % 7 != 0, F.sin("id")).alias("a"), (F.col("id") % 3).alias("b"), F.lit(None).cast("double").alias("c"),
+            F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id") / 3).alias("d"), F.lit(2.5).alias("e"), (F.col("id") * 7).alias("f")]
+    return spark.range(n).select(*cols)
+
+
+def test_medians_are_exact_and_few_values_move(spark, monkeypatch):
+    """Medians equal Spark's exact percentile, from a thousandth of the values."""
+    from priorwise.operators import train as M
+
+    names = list("abcdef")
+    for n in (0, 1, 2, 3, 8, 30_001):
+        df = _numbers(spark, n)
+        told = df.agg(*[F.percentile(c, 0.5).alias(c) for c in names], *[F.count(c).alias(f"{c}n") for c in names]).first()
+        got = M.fit_impute(df, names).first()
+        assert [str(got[f"{c}__median"]) for c in names] == [str(told[c]) for c in names], n
+        assert [got[f"{c}__nonnull"] for c in names] == [told[f"{c}n"] for c in names] and got["__rows"] == n
+    few = _numbers(spark, 1000)  # bounds that miss the middle: all values are taken
+    assert M.exact_medians(few, {"f": (1000, 0.0, 1.0), "a": (857, 5.0, 6.0)}) == {
+        "f": few.agg(F.percentile("f", 0.5)).first()[0], "a": few.agg(F.percentile("a", 0.5)).first()[0]}
+    monkeypatch.setattr(F, "percentile", None)  # no aggregate that holds every value
+    M.fit_impute(_numbers(spark, 100), names)
+
+
+def test_training_features_move_once(spark):
+    """The wide frame meets labels and practice in one join."""
+    from priorwise.plans.queries_model import m1_frame
+
+    plan = m1_frame(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Project") and plan.splitlines()[1].startswith("+- Join Inner")
