@@ -54,6 +54,26 @@ def test_blocks_of_any_size_count_alike(spark):
             assert _same(D.rank_distribution(_scores(spark), samples=60, withdraw_prob=withdraw, cells=cells), whole)
 
 
+def test_small_fields_are_ranked_without_sorting(monkeypatch):
+    """Places by pairs and by sorting are alike, with ties, withdrawals and infinite keys; only large fields and NaN are sorted."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 20, D.FEW):
+        key = rng.integers(0, 6, (n, 300)).astype(float)
+        key[0, :50] = np.inf
+        for stays in (None, rng.random((n, 300)) < 0.7):
+            with monkeypatch.context() as patch:
+                patch.setattr(D, "FEW", 0)
+                told = D._places(key, stays)
+            with monkeypatch.context() as patch:
+                patch.setattr(np, "argsort", None)
+                assert (D._places(key, stays) == told).all()
+            held = np.ones(key.shape, bool) if stays is None else stays
+            for t in range(0, 300, 37):
+                inside = [i for i in sorted(range(n), key=lambda i: (key[i, t], i)) if held[i, t]]
+                assert [int(p) for p in told[:, t]] == [inside.index(i) + 1 if held[i, t] else 0 for i in range(n)]
+    assert D._places(np.array([[np.nan], [1.0]]), None).tolist() == [[2], [1]]
+
+
 def _numbers(spark, n: int):
     cols = [F.when(F.col("id") % 7 != 0, F.sin("id")).alias("a"), (F.col("id") % 3).alias("b"), F.lit(None).cast("double").alias("c"),
             F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id") / 3).alias("d"), F.lit(2.5).alias("e"), (F.col("id") * 7).alias("f")]
