@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorwise.functions.exprs import laptime_ms, safe_float, safe_int, status_category
+from priorwise.functions.exprs import category_of, laptime_ms, normalize_status, safe_float, safe_int
 from priorwise.sources.snapshot import page_rows, records
 
 
@@ -103,8 +103,10 @@ def canon_results(snap: DataFrame, sprint: bool = False) -> DataFrame:
     """
     field = "SprintResults" if sprint else "Results"
     flat = flatten_results(snap, field).where(F.col("reason").isNull())
-    status = F.trim(F.coalesce(F.col("res.status"), F.lit("")))
-    cat = status_category(status, sprint=sprint)
+    # in steps: each is a column, computed once a row
+    flat = flat.withColumn("__status", F.trim(F.coalesce(F.col("res.status"), F.lit("")))) \
+        .withColumn("__normal", normalize_status("__status")).withColumn("__cat", category_of("__normal", sprint=sprint))
+    status, cat = F.col("__status"), F.col("__cat")
     return flat.select(
         "season", safe_int(F.col("race.round")).alias("round"), F.col("race.raceName").alias("race_name"),
         F.col("race.Circuit.circuitId").alias("circuit_id"), F.col("race.date").alias("race_date"),

@@ -94,12 +94,15 @@ def records(snap: DataFrame, kind: str) -> DataFrame:
 def page_rows(snap: DataFrame, array_field: str = "Results") -> DataFrame:
     """Flatten paged result documents: races x results, one row per result.
 
-    Keeps (page offset, race position, result position) for file order.
+    Keeps (page offset, race position, result position) for file order. A row carries its race less the race's arrays.
     """
+    # outer: of an inner one Spark infers a filter on the array's size, and pushes the parsing of the document into it a second time
+    # and, part by part, many times more. A document without races has a null one here, which has no results below.
     races = snap.select("season", "source_path", F.col("MRData.total").alias("total"),
                         F.col("MRData.offset").alias("offset"),
-                        F.posexplode(F.col("MRData.RaceTable.Races")).alias("race_pos", "race"))
-    return races.select("season", "source_path", "total", "offset", "race_pos", "race",
+                        F.posexplode_outer(F.col("MRData.RaceTable.Races")).alias("race_pos", "race"))
+    head = F.struct(*[F.col(f"race.{f.name}").alias(f.name) for f in RACE.fields if not isinstance(f.dataType, ArrayType)])
+    return races.select("season", "source_path", "total", "offset", "race_pos", head.alias("race"),
                         F.posexplode(F.col(f"race.{array_field}")).alias("res_pos", "res"))
 
 
@@ -210,8 +213,8 @@ def combined_results(snap: DataFrame, array_field: str = "Results") -> DataFrame
     earliest page (by offset, then path) stays. Rows of pages without an integer offset or total cannot be placed and are left out.
     """
     rows = snap.select("season", "source_path", F.trim(F.col("MRData.offset")).try_cast("bigint").alias("offset"),
-                       F.trim(F.col("MRData.total")).try_cast("bigint").alias("total"), F.posexplode(_page_results(array_field)).alias("pos", "r")) \
-        .withColumn("number", F.col("offset") + F.col("pos")).where("number < total")
+                       F.trim(F.col("MRData.total")).try_cast("bigint").alias("total"), F.posexplode_outer(_page_results(array_field)).alias("pos", "r")) \
+        .withColumn("number", F.col("offset") + F.col("pos")).where("number < total")  # outer as in page_rows; an empty page has no number
     copy = F.struct("offset", "source_path", "pos", "r")
     return rows.groupBy("season", "number").agg(F.min_by(copy, F.struct("offset", "source_path", "pos")).alias("c")) \
         .select("season", "number", "c.source_path", "c.offset", "c.r.race", "c.r.res")

@@ -74,6 +74,35 @@ def test_small_fields_are_ranked_without_sorting(monkeypatch):
     assert D._places(np.array([[np.nan], [1.0]]), None).tolist() == [[2], [1]]
 
 
+def test_results_rows_stay_narrow_and_normalise_once(spark, tmp_path):
+    """A result carries its race without the race's arrays, and its status is normalised once."""
+    import json
+
+    from pyspark.sql.types import ArrayType
+
+    from priorwise.operators import canon as C
+    from priorwise.sources import snapshot as S
+
+    row = {"position": "1", "grid": "2", "Driver": {"driverId": "a"}, "Constructor": {"constructorId": "b"}}
+    race = {"round": "3", "raceName": "R", "date": "2000-01-02", "Circuit": {"circuitId": "c"},
+            "Results": [{**row, "status": s} for s in (" Finished ", "+1  Lap", "Power \t Unit", "", "Disqualified")] + [row]}
+    (tmp_path / "season=2000").mkdir()
+    pages = [[race], [], [None, {**race, "Results": []}, {k: v for k, v in race.items() if k != "Results"}], None]  # those but the first give no rows
+    told = [json.dumps({"MRData": {"offset": "0", "total": "6", "RaceTable": {"Races": p}}}) for p in pages]
+    (tmp_path / "season=2000" / "p.json").write_text("\n".join(told))
+    snap = S.read_strict(spark, str(tmp_path), required=False)
+    assert S.page_rows(snap).count() == S.combined_results(snap).count() == 6
+    assert not [f for f in S.page_rows(snap).schema["race"].dataType if isinstance(f.dataType, ArrayType)]
+    out = C.canon_results(snap)
+    assert [(r["status_raw"], r["status_category"], r["finish_position"], r["dnf"]) for r in out.orderBy("res_pos").collect()] == [
+        ("Finished", "CLASSIFIED", 1, False), ("+1  Lap", "CLASSIFIED", 1, False), ("Power \t Unit", "MECHANICAL", None, True),
+        ("UNKNOWN", "OTHER", None, True), ("Disqualified", "DSQ", None, True), ("UNKNOWN", "OTHER", None, True)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("VariantExpressionEvalUtils.parseJson") == 1
+    plan = S.combined_results(snap)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("VariantExpressionEvalUtils.parseJson") == 1
+
+
 def _numbers(spark, n: int):
     cols = [F.when(F.col("id") % 7 != 0, F.sin("id")).alias("a"), (F.col("id") % 3).alias("b"), F.lit(None).cast("double").alias("c"),
             F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id") / 3).alias("d"), F.lit(2.5).alias("e"), (F.col("id") * 7).alias("f")]
