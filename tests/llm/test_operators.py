@@ -65,6 +65,30 @@ def test_jaccard_pivots_and_stragglers_lose_no_link(spark):
     assert 1 < len({c for _, c in want.values()}) < 70
 
 
+def test_jaccard_stragglers_are_near(spark):
+    """Texts that share their rare shingles and still differ in too many are no candidates; all that link are."""
+    from pyspark.sql import functions as F
+
+    from priorwise.llm.jaccard_join import _posted, _stragglers
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        text = [f"w{j}" for j in range(150)]
+        for j in rng.sample(range(4, 150), 2 if i < 70 else 1):
+            text[j] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    sets = {d: frozenset(brute.shingles(t)) for d, t in rows}
+    linked = {(d, e) for d in sets for e in sets if d < e and 100 * len(sets[d] & sets[e]) >= 85 * len(sets[d] | sets[e])}
+    _, _, bitmaps, postings, verifier = _posted(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 85, 20, 50_000)
+    pairs = _stragglers(postings.withColumn("comp", F.col("node")), bitmaps, 85)
+    got = {tuple(sorted(r)) for r in pairs.select("left", "right").collect()}
+    verifier.close()
+    met = postings.alias("a").join(postings.alias("b"), "token").where("a.node < b.node").select("a.node", "b.node").distinct().count()
+    assert linked <= got and linked
+    assert len(got) < met / 4
+
+
 def test_jaccard_links_are_all_counted(spark):
     """Links inside a group of near copies count as well; equal sets are one class."""
     from priorwise.llm.jaccard_join import jaccard_links
