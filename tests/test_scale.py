@@ -133,3 +133,12 @@ def test_training_features_move_once(spark):
 
     plan = m1_frame(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.splitlines()[0].startswith("Project") and plan.splitlines()[1].startswith("+- Join Inner")
+
+
+def test_rescale_reads_no_stored_features(spark, entry_mod, monkeypatch):
+    """The rate and the prior come from the results; the wide feature tables are not built for them."""
+    from priorwise.plans import carriers as K
+
+    monkeypatch.setattr(K, "_STORED", {})
+    assert entry_mod.queries()["rescale_to_rate"](spark, entry_mod.SF_SMOKE).count() > 0
+    assert not {name for *_, name in K._STORED} & {"features_baseline", "features_post_quali"}
