@@ -14,7 +14,7 @@ from priorwise.plans import carriers as K
 from priorwise.plans import snapshots as SN
 from priorwise.plans.carriers import with_carriers
 from priorwise.operators.dist import parse_tags
-from priorwise.plans.queries_score import D3_CTE, K8_SQL, V4_CTE, _d3, k8_predictions
+from priorwise.plans.queries_score import D3_CTE, K8_SQL, V4_CTE, _d3, heat_scores, k8_predictions
 from priorwise.plans.queries_asof import SQL_SP
 from priorwise.plans.registry import big, r6, register
 from priorwise.session import scratch_path
@@ -109,7 +109,7 @@ def q_prediction_tags(spark: SparkSession, sf: str) -> DataFrame:
     """The tags of a run say which outputs it stores: the order, the distribution, or both."""
     root = scratch_path(spark, "tagged_predictions")
     outputs = {"top": lambda: k8_predictions(spark, sf).select("season", "round", "driver_id", "predicted_position"),
-               "dist": lambda: _d3(spark, sf).select("season", "round", "heat", "driver_id", "position", "draws")}
+               "dist": lambda: _d3(heat_scores(spark, sf)).select("season", "round", "heat", "driver_id", "position", "draws")}
     for tag in sorted(parse_tags(" Dist,top ")):
         ST.store_predictions(outputs[tag](), root, stage="post_practice", kind=f"quali_{tag}", metadata={"tags": tag})
     back = spark.read.option("mergeSchema", True).parquet(root)

@@ -142,3 +142,10 @@ def test_rescale_reads_no_stored_features(spark, entry_mod, monkeypatch):
     monkeypatch.setattr(K, "_STORED", {})
     assert entry_mod.queries()["rescale_to_rate"](spark, entry_mod.SF_SMOKE).count() > 0
     assert not {name for *_, name in K._STORED} & {"features_baseline", "features_post_quali"}
+
+
+def test_scores_of_heats_are_computed_once(spark, entry_mod):
+    """Draws, grid and comparisons read the written scores: no prior is computed again in their plans."""
+    for name in ("compare_dist_detail", "compare_dist_dnf", "dense_matrix", "eval_dist"):
+        plan = entry_mod.queries()[name](spark, entry_mod.SF_SMOKE)._jdf.queryExecution().analyzed().toString()
+        assert "driver_q_avg_pos_season_prior" not in plan
