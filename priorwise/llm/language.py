@@ -214,12 +214,14 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang string, score double, spans array<struct<lang: string, start: long, end: long>>")
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def identify_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in by_bytes(batches):
             found = shared.value.identify(list(texts))
             yield pd.DataFrame({"lang": [f[0] for f in found], "score": [f[1] for f in found],
                                 "spans": [[{"lang": l, "start": int(a), "end": int(b)} for l, a, b in f[2]] for f in found]})
 
+    # a filter on lang_pred would otherwise be pushed below with a second evaluation, in a second worker beside the first
+    identify = identify_texts.asNondeterministic()
     return with_row(docs, l=identify(F.col(f"`{text_col}`"))) \
         .select("row", F.col("l.lang").alias("lang_pred"), "l.score", "l.spans")
 

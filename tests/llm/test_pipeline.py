@@ -65,3 +65,14 @@ def test_near_duplicates_are_five_words_and_four_fifths(spark):
     assert gone == {2, 4} and brute.components(rows)[2][1] == 2
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(set(sets) - gone)
+
+
+def test_a_stage_evaluates_its_texts_once(spark):
+    """A filter on a stage's result must not bring a second evaluation in a second worker."""
+    import corpus_pipeline
+    from priorwise.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    for step in (corpus_pipeline.language, corpus_pipeline.contamination, corpus_pipeline.tokens):
+        plan = step(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, step.__name__
